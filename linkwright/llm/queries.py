@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.llm import chat, language, licenses, mixing, secrets, sharding
+from linkwright.llm import chat, decontaminate, language, licenses, mixing, secrets, sharding, toxicity
 from linkwright.llm.shared import table
 
 #: Fixed conversation that every run of op7 formats too.
@@ -34,14 +34,23 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id, "op3_license_scan": op3_license_scan, "op4_sharding": op4_sharding,
-        "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op9_secret_scan": op9_secret_scan,
+        "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op8_decontamination": op8_decontamination,
+        "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity,
     }
 
 
