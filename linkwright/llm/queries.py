@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkwright.llm import chat, decontaminate, language, licenses, mixing, secrets, sharding, toxicity
+from linkwright.llm import chat, decontaminate, language, licenses, mixing, neighbours, secrets, sharding, toxicity
 from linkwright.llm.shared import table
 
 #: Fixed conversation that every run of op7 formats too.
@@ -17,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
@@ -48,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_language_id": op1_language_id, "op3_license_scan": op3_license_scan, "op4_sharding": op4_sharding,
+        "op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_license_scan": op3_license_scan, "op4_sharding": op4_sharding,
         "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op8_decontamination": op8_decontamination,
         "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity,
     }

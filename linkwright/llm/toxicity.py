@@ -112,7 +112,7 @@ class Decoder:
             if c in SEPARATORS:
                 options.append([("", SEPARATOR_COST)])
             elif c in IMITATES:
-                options += [[(x, IMITATION_COST) for x in IMITATES[c]] + [("", 6.0)]] * n
+                options += [[(x, IMITATION_COST) for x in IMITATES[c]] + ([] if c.isdigit() else [("", 6.0)])] * n
             elif c.isalpha() and n >= 3:
                 options.append([(c, REPEAT_COST), (c * 2, REPEAT_COST)])
             else:
