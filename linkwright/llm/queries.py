@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm import chat, decontaminate, language, licenses, mixing, neighbours, secrets, sharding, toxicity
+from linkwright.llm import chat, decontaminate, language, licenses, mixing, near_duplicates, neighbours, secrets, sharding, toxicity
 from linkwright.llm.shared import table
 
 #: Fixed conversation that every run of op7 formats too.
@@ -31,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_license_scan": op3_license_scan, "op4_sharding": op4_sharding,
-        "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op8_decontamination": op8_decontamination,
+        "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op8_decontamination": op8_decontamination,
         "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity,
     }
 
