@@ -56,11 +56,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_license_scan": op3_license_scan, "op4_sharding": op4_sharding,
         "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op8_decontamination": op8_decontamination,
-        "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity,
+        "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity, "pipeline": pipeline,
     }
 
 

@@ -18,7 +18,6 @@ learned from; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from linkwright.llm.shared import drop_written, written
-from linkwright.llm.text_arrays import ALNUM, WHITE, Slice, Words, mix, runs, slices, words
+from linkwright.llm.text_arrays import ALNUM, WHITE, Slice, Words, mix, slices, words
 
 SAMPLE_ROWS = 20_000
 BUCKET_BITS = 20
@@ -304,8 +304,9 @@ def learn(train: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _weights(counts.sum(axis=1), totals.sum(axis=1)), curve
 
 
-def score_texts(docs: DataFrame, model: np.ndarray, learned: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(doc_id, held_out, text) -> doc_id, held_out, score, predicted."""
+def score_texts(docs: DataFrame, model: np.ndarray, learned: tuple[np.ndarray, np.ndarray] | None, extra: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, text) -> doc_id, held_out, score, predicted, and the columns named in ``extra``."""
+    extra = extra or []
     shared = docs.sparkSession.sparkContext.broadcast((model, learned))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,16 +321,19 @@ def score_texts(docs: DataFrame, model: np.ndarray, learned: tuple[np.ndarray, n
                     texts, bucket = _distinct(texts[held], bucket[held])
                     signals = _signals(*_collected(None, weight, np.searchsorted(texts, np.arange(len(part) + 1)), bucket), n_words)
                     out[part.first : part.first + len(part)] = 1 / (1 + np.exp(-np.clip(signals @ curve, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32)), *[batch.column(c) for c in extra]], names=["doc_id", "held_out", "score", "predicted", *extra])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double").add("predicted", "integer")
+    for c in extra:
+        schema = schema.add(c, docs.schema[c].dataType)
+    return docs.select("doc_id", "held_out", *dict.fromkeys(["text", *extra])).mapInArrow(score, schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE_ROWS, extra: list[str] | None = None) -> DataFrame:
     """Learns from labelled rows outside the held-out fold and scores every row of ``docs``."""
     place = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held_out = F.coalesce(place % folds == held, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), *dict.fromkeys(["text", *(extra or [])]))
     model = letter_model(count_trigrams(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~(place % folds == held)).distinct()
     share = sample / max(1, known.count())
@@ -338,4 +342,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     train = rows.join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     train = train.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     train = train.select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
-    return score_texts(rows, model, learn(train, model))
+    return score_texts(rows, model, learn(train, model), extra)
