@@ -1,7 +1,7 @@
 """Licence scans by lookup of canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form (lower case, equivalent spellings, no
-copyright lines, no punctuation, single spaces), and the digest of the entire form
+A text is brought, line by line, to a canonical form (lower case, equivalent spellings,
+no copyright lines, no punctuation, single spaces), and the digest of the entire form
 is hash-joined to the digests of known licences. The same is done with each
 line, as an entire text of its own, for notices inside longer documents.
 
@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-#: Fixed spellings that count as equal, applied in this order to lower-case text.
+#: Copyright lines, in the form without punctuation.
+COPYRIGHT_LINE = r"^(?:(?:portions )?copyright (?:c |by |[0-9]{4})|c [0-9]{4} |(?:all|alle) rights? reserved$)"
+#: Fixed spellings that count as equal, replaced in this order in lower-case words between single spaces.
 SPELLINGS = [
-    (r"(sub)?[ -]?licen[cs]e", "$1license"), ("[‘’“”]", "'"), ("&", " and "), ("non[- ]commercial", "noncommercial"),
-    ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), ("fulfil(?:l)?", "fulfill"),
-    ("https?://", ""), (r"\bversion |\bv(?=[0-9])", ""), (r"\.0\b", ""), (r"\bgpl\b", "gnu general public license"), (r"\bthe\b", ""),
+    ("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" open source ", " opensource "), ("organis", "organiz"),
+    ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), (" fulfil ", " fulfill "), (" version ", " "), (" the ", " "), (" https ", " "), (" http ", " "),
 ]
 GRANTS = ["licensed under {}", "this work is licensed under {}", "released under {}", "distributed under {}", "this file is licensed under {}", "spdx-license-identifier: {}", "license: {}"]
 #: Fixed names of licences, by identifier.
@@ -57,12 +57,20 @@ TEXTS = {
 }
 
 
-def canonical(text: Column) -> Column:
-    """The form that is digested."""
-    form = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
-    for pattern, other in SPELLINGS:
-        form = F.regexp_replace(form, pattern, other)
-    return F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
+def canonical(line: Column) -> Column:
+    """The form of a line that is digested; empty for copyright lines."""
+    form = F.regexp_replace(F.lower(F.replace(line, F.lit("&"), F.lit(" and "))), r"[^\p{L}\p{N}]+", " ")
+    form = F.concat(F.lit(" "), form, F.lit(" "))
+    for old, new in SPELLINGS:
+        form = F.replace(form, F.lit(old), F.lit(new))
+    form = F.trim(form)
+    may_be = F.startswith(form, F.lit("copyright")) | F.startswith(form, F.lit("portions")) | F.startswith(form, F.lit("c ")) | F.startswith(form, F.lit("all"))
+    return F.when(may_be & F.regexp_like(form, F.lit(COPYRIGHT_LINE)), "").otherwise(form)
+
+
+def canonical_lines(text: Column) -> Column:
+    """Canonical forms of all lines that have one."""
+    return F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: x != "")
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -74,7 +82,7 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def license_digests(known: DataFrame) -> DataFrame:
     """(license, digest); a digest two licences share goes to the first by name."""
-    form = known.select("license", canonical(F.col("text")).alias("form")).where("form != ''")
+    form = known.select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("form")).where("form != ''")
     return form.groupBy(F.md5("form").alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -82,9 +90,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per document: its digest, the licence that is its entire text, and the licences of its lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = license_digests(known)
-    whole = docs.select("doc_id", F.md5(canonical(text)).alias("text_digest"), F.md5(text).alias("_h"))
-    lines = docs.select("doc_id", F.md5(text).alias("_h"), F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x != ""))).alias("line"))
-    found = lines.select("doc_id", "_h", F.md5(canonical(F.col("line"))).alias("digest")).join(digests, "digest").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set("license")).alias("ids"))
+    forms = docs.select("doc_id", F.xxhash64(text).alias("_h"), canonical_lines(text).alias("forms"))
+    whole = forms.select("doc_id", "_h", F.md5(F.array_join("forms", " ")).alias("text_digest"))
+    lines = forms.select("doc_id", "_h", F.explode(F.array_distinct("forms")).alias("form"))
+    found = lines.select("doc_id", "_h", F.md5("form").alias("digest")).join(digests, "digest").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set("license")).alias("ids"))
     out = whole.alias("w").join(digests.alias("d"), F.col("w.text_digest") == F.col("d.digest"), "left")
     out = out.join(found.alias("f"), F.col("w.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("w._h") == F.col("f._h")), "left")
     return out.select("w.doc_id", "w.text_digest", F.col("d.license").alias("text_license"), F.array_join(F.coalesce("f.ids", F.array().cast("array<string>")), ",").alias("notice_licenses"), F.coalesce(F.size("f.ids"), F.lit(0)).cast("long").alias("n_notices"))
