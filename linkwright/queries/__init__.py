@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from linkwright.queries.registry import ORACLES, QUERIES  # noqa: F401
-from linkwright.queries import linkage, states, texts  # noqa: F401, E402, I001
+from linkwright.queries import linkage, matching, states, texts  # noqa: F401, E402, I001
