@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.llm.shared import written
+
 SCOPE = 240
 LEAST_VALUE = 8
 
@@ -28,7 +30,7 @@ BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 #: Weaker parts, which count only beside their complements.
 USER = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})"""
 KEY = r"((?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9+/=_-]{18,})"
-ENDPOINT = r"""([a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+)"""
+ENDPOINT = r"""((?:https?|ftps?|sftp|ssh|s3|gs|redis|amqps?|mongodb|mysql|postgres(?:ql)?|wss?)://[^\x00-\x20"'<>]+)"""
 WEAK = {"user": USER, "key": KEY, "endpoint": ENDPOINT}
 ROLE = {"access": "id", "user": "id", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
 KINDS = [*BASE, *WEAK]
@@ -51,25 +53,25 @@ def spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(lengths, start, step, lambda a: a["got"])).otherwise(none)
 
 
-def base_spans(text: Column) -> list[Column]:
-    return [spans(text, p, k, LEAST_VALUE if k == "assign" else 0).alias(f"_{k}") for k, p in BASE.items()]
+def parts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, _h, _base, _weak): all parts of each text; weak ones only of texts that hold an identifier."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = F.concat(*[spans(text, p, k, LEAST_VALUE if k == "assign" else 0) for k, p in BASE.items()])
+    has_id = F.regexp_like(text, F.lit(ACCESS)) | F.regexp_like(text, F.lit(USER))
+    weak = F.when(has_id, F.concat(*[spans(text, p, k) for k, p in WEAK.items()])).otherwise(F.array().cast(SPANS))
+    return docs.select("doc_id", F.xxhash64(text).alias("_h"), base.alias("_base"), weak.alias("_weak"))
 
 
-def linked_parts(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, _h, extra): weak parts that have their complements within ``scope``.
 
     A weak secret needs an identifier, a weak identifier needs a secret, and an
-    endpoint needs both. Repeated rows are joined once.
+    endpoint needs both. Weak parts inside base spans don't count. Repeated rows are joined once.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select("doc_id", F.xxhash64(text).alias("_h"), F.concat(*base_spans(text)).alias("_base"), F.concat(*[spans(text, p, k) for k, p in WEAK.items()]).alias("_weak"))
     apart = F.filter("_weak", lambda w: ~F.exists("_base", lambda b: (w["s"] < b["e"]) & (b["s"] < w["e"])))
-    parts = parts.where(F.size("_weak") > 0).select("doc_id", "_h", F.concat("_base", apart).alias("_all"))
-    some = lambda role: F.exists("_all", lambda x: x["kind"].isin([k for k, r in ROLE.items() if r == role]))
-    weak = F.exists("_all", lambda x: x["o"] >= len(BASE))
-    parts = parts.where(weak & some("id") & some("secret"))
     role = F.when(F.col("p.kind").isin("access", "user"), "id").when(F.col("p.kind") == "endpoint", "endpoint").otherwise("secret")
-    parts = parts.select("doc_id", "_h", F.explode("_all").alias("p")).select("doc_id", "_h", "p", role.alias("role"), F.floor(F.col("p.s") / scope).alias("bucket")).distinct()
+    parts = parts.where(F.size("_weak") > 0).select("doc_id", "_h", F.explode(F.concat("_base", apart)).alias("p"))
+    parts = parts.select("doc_id", "_h", "p", role.alias("role"), F.floor(F.col("p.s") / scope).alias("bucket")).distinct()
     near = parts.where("role != 'endpoint'").select("doc_id", "_h", F.col("p.s").alias("s"), F.col("p.e").alias("e"), F.col("role").alias("other"), F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"))
     at = parts.where(F.col("p.o") >= len(BASE))
     pairs = at.alias("a").join(near.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.abs(F.col("a.p.s") - F.col("b.s")) <= scope) & (F.col("a.role") != F.col("b.other")) & ((F.col("a.p.e") <= F.col("b.s")) | (F.col("b.e") <= F.col("a.p.s"))))
@@ -84,10 +86,10 @@ def listed(found: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.xxhash64(text).alias("_h"), *base_spans(text))
-    base = base.select("doc_id", "_h", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.concat(*[f"_{k}" for k in BASE]).alias("_base"))
-    more = linked_parts(docs, scope)
-    both = base.alias("b").join(more.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b._h") == F.col("m._h")), "left")
+    """One row per document: counts and digest of base spans, and all spans. Texts are searched once; only positions are written for what follows."""
+    parts = written(parts_of(docs), "secret-parts")
+    more = linked_parts(parts, scope)
+    both = parts.alias("b").join(more.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b._h") == F.col("m._h")), "left")
+    count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     extra = F.coalesce("m.extra", F.array().cast(SPANS))
-    return both.select("b.doc_id", *[f"n_{k}" for k in BASE], F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("_base", extra)).alias("spans"))
+    return both.select("b.doc_id", *[count(k) for k in BASE], F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("_base", extra)).alias("spans"))
