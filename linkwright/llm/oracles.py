@@ -35,7 +35,7 @@ def shards(n: int = 40) -> str:
  d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.OVERHEAD_BYTES} AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
  c AS (SELECT doc_id, size, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, x: xor(p[(xor(a, x) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, poly),
  r AS (SELECT c.*, a.shard, b.grown_shard FROM c JOIN ({last.format(name='wa', out='shard')}) a USING (doc_id) JOIN ({last.format(name='wb', out='grown_shard')}) b USING (doc_id))
- SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, grown_shard FROM r"""
+ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id::VARCHAR), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM r"""
 
 
 def jaccard(size: int = 5, percent: int = 80) -> str:
@@ -80,6 +80,6 @@ def secret_scan() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan(), "op5_jaccard_join": jaccard(), "op6_mixing": mix(), "op9_secret_scan": secret_scan()}
+    return {"op3_license_scan": license_scan(), "op4_sharding": shards(), "op5_jaccard_join": jaccard(), "op6_mixing": mix(), "op9_secret_scan": secret_scan()}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm import chat, decontaminate, language, licenses, mixing, near_duplicates, neighbours, secrets, sharding, toxicity
+from linkwright.llm import chat, decontaminate, language, licenses, mixing, near_duplicates, neighbours, oracles, secrets, sharding, toxicity
 from linkwright.llm.shared import table
 
 #: Fixed conversation that every run of op7 formats too.
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

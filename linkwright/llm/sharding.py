@@ -49,11 +49,11 @@ def jump_shard(key: Column, n_shards: int) -> Column:
     return shard(F.coalesce(key.cast("long"), F.lit(0)))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, chunks: int = 1024) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """One row per document: its size, checksum, shard, place in the shard, and its shard if there were one more.
 
     ``slot`` numbers the rows of a shard from 0 without gaps. A shard is numbered
-    in ``chunks`` pieces by the checksum of the key, so that it needn't fit in a task.
+    in 4096 pieces by a digest of the key, so that it needn't fit in a task.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -63,7 +63,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, chunks: int = 1024) ->
         F.lit("key").alias("law"),
     )
     rows = rows.withColumn("shard", jump_shard(F.col("doc_id"), n_shards)).withColumn("grown_shard", jump_shard(F.col("doc_id"), n_shards + 1))
-    rows = rows.withColumn("_chunk", F.crc32(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary")) % chunks)
+    rows = rows.withColumn("_chunk", F.substring(F.md5(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")), 1, 3))
     order = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     placed = running_total(rows, ["shard"], "_chunk", order, F.lit(1), "slot")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
