@@ -76,3 +76,19 @@ def evidence_level(families: Column, title_definite: Column, identity: Column, o
     """strong needs a definite title and an independent identity; a language on one side only leaves medium."""
     n = F.size(F.array_distinct(families))
     return F.when(title_definite & identity & ~one_sided_language, "strong").when(n >= 1, "medium").otherwise("weak")
+
+
+def code_path(same_code: Column, conflicts: Column, score: Column) -> Column:
+    """struct(score, level, decision) where codes agree: certain without conflicts, else for review or none; null where they don't."""
+    clean = F.size(conflicts) == 0
+    capped = F.least(F.greatest(score, F.lit(0.65)), F.lit(0.95))
+    hard = F.exists(conflicts, lambda c: c.contains("title"))
+    decision = F.when(clean, "auto_accept").when(hard, "no_match").otherwise("review")
+    return F.when(same_code, F.struct(F.when(clean, 1.0).otherwise(capped).alias("score"), F.when(clean, "strong").otherwise("medium").alias("level"), decision.alias("decision")))
+
+
+def status(decision: Column, kinds: Column) -> Column:
+    """The search status of a result: its decision, or without any candidate the gravest kind of failure."""
+    order = ["auth_failed", "rate_limited", "timeout", "network_error", "upstream_error", "invalid_response"]
+    worst = F.get(F.filter(F.array(*[F.lit(k) for k in order]), lambda k: F.array_contains(kinds, k)), F.lit(0))
+    return F.when(decision == "auto_accept", "matched").when(decision == "review", "review").otherwise(F.coalesce(worst, F.lit("no_match")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkwright.functions import arrow
+from linkwright.operators import score as S
 from linkwright.operators import similarity as M
 from linkwright.plans import match, search
 from linkwright.queries.registry import query, read
+from linkwright.sources import readers
 
 GROUPS = [["周华健", "Emil Wakin Chau"], ["Jay Chou", "周杰伦"]]
 TITLE_PAIRS = [("Lemon", "Lemon"), ("Lemon (Live)", "Lemon"), ("さくら", "Sakura"), ("サクラ", "Cherry"), ("晴天", "Sunny Day"), ("夜に駆ける (Racing into the Night)", "Racing Into the Night"), ("Stay", "Stay Away"), ("", "x")]
@@ -71,3 +74,108 @@ def link_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks, catalog = list_of(spark, sf_dir)
     return match.rematch(tracks.where("id % 10 = 0"), catalog, ["cn", "hk"], GROUPS)
+
+
+@query()
+def jp_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(0, "Ａ　Ｂ"), (1, "カ・キ"), (2, " x  y ")], "id int, v string").select("id", arrow.normalize_japanese("v").alias("form"))
+
+
+@query()
+def script_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([(0, "さくら"), (1, "Sparkle [スパークル]"), (2, "Lemon"), (3, "とうきょう")], "id int, v string")
+    return t.select("id", F.posexplode(arrow.variants("v")).alias("pos", "x")).select("id", "pos", "x.*")
+
+
+@query()
+def greedy_artist_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ARTIST_PAIRS)], "id int, a array<string>, b array<string>")
+    return t.select("id", M.set_udf(GROUPS)("a", "b").alias("same"))
+
+
+@query()
+def variant_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ratio over all variants of two titles."""
+    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TITLE_PAIRS)], "id int, a string, b string")
+    crossed = t.select("id", F.explode(arrow.variants("a")).alias("x"), "b").select("id", "x", F.explode(arrow.variants("b")).alias("y"))
+    return crossed.select("id", arrow.sequence_ratio(F.lower("x.text"), F.lower("y.text")).alias("r")).groupBy("id").agg(F.max("r").alias("best"))
+
+
+@query()
+def library_link_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    wanted = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
+    return search.best_in_library(wanted, p.where("p_partkey % 50 != 0").select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist")))
+
+
+@query("SELECT p_partkey, arg_max(u.v, u.s) AS best FROM (SELECT p_partkey, unnest([{'v': p_name, 's': (p_partkey % 3)::DOUBLE}, {'v': p_brand, 's': (10 - p_partkey % 7)::DOUBLE}, {'v': p_type, 's': (p_partkey % 11 + 0.5)::DOUBLE}]) AS u FROM part) GROUP BY 1")
+def best_alternative_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alternative of highest score; here the scores are made from the key and differ."""
+    k = F.col("p_partkey")
+    alternatives = F.array(F.struct(F.col("p_name").alias("v"), (k % 3).cast("double").alias("s")), F.struct(F.col("p_brand").alias("v"), (10 - k % 7).cast("double").alias("s")), F.struct(F.col("p_type").alias("v"), (k % 11 + 0.5).cast("double").alias("s")))
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(alternatives).alias("u")).groupBy("p_partkey").agg(F.max_by("u.v", "u.s").alias("best"))
+
+
+@query("SELECT p_partkey, CASE WHEN k % 4 <> 0 THEN 1.0 ELSE least(greatest(s, 0.65), 0.95) END::DOUBLE AS score, CASE WHEN k % 4 <> 0 THEN 'strong' ELSE 'medium' END AS level, CASE WHEN k % 4 <> 0 THEN 'auto_accept' WHEN k % 8 = 0 THEN 'no_match' ELSE 'review' END AS decision FROM (SELECT p_partkey, p_partkey AS k, (p_partkey % 101) / 100.0::DOUBLE AS s FROM part) WHERE k % 3 = 0")
+def isrc_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    conflicts = F.when(k % 8 == 0, F.array(F.lit("title_mismatch"))).when(k % 4 == 0, F.array(F.lit("duration_conflict"))).otherwise(F.array().cast("array<string>"))
+    made = S.code_path(k % 3 == 0, conflicts, (k % 101) / F.lit(100.0))
+    return read(spark, sf_dir, "part").select("p_partkey", made.alias("m")).where("m is not null").select("p_partkey", "m.*")
+
+
+@query("SELECT user_id, CASE WHEN max(value) > 95 THEN 'matched' WHEN max(value) > 80 THEN 'review' WHEN bool_or(event_type = 'error') THEN 'rate_limited' ELSE 'no_match' END AS status FROM events GROUP BY 1")
+def result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("v"), F.collect_set(F.when(F.col("event_type") == "error", "rate_limited")).alias("kinds"))
+    decision = F.when(F.col("v") > 95, "auto_accept").when(F.col("v") > 80, "review").otherwise("no_match")
+    return e.select("user_id", S.status(decision, F.col("kinds")).alias("status"))
+
+
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_orderkey) AS first FROM (SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1")
+def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus")  # noqa: E741
+    both = l.where("l_returnflag = 'A'").unionByName(l.where("l_linestatus = 'O'"))
+    return both.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"), F.min("l_orderkey").alias("first"))
+
+
+@query("SELECT p_partkey, abs(d) >= 200 AS far FROM (SELECT p_partkey, p_size * 10 - 250 AS d FROM part)")
+def duration_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts with a fixed duration of 250 s (sizes stand for ten seconds each)."""
+    d = S.duration_conflict(F.col("p_size").cast("long") * 10_000, F.lit(250_000))
+    return read(spark, sf_dir, "part").select("p_partkey", (d & (F.abs(F.col("p_size") * 10 - 250) >= 200)).alias("far"))
+
+
+@query("WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS a FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM r WHERE a <= CASE WHEN event_type = 'view' THEN 4 ELSE 2 END) SELECT event_id, b AS ord FROM s WHERE b <= 8")
+def query_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caps per phase and in all."""
+    w = F.row_number()
+    e = read(spark, sf_dir, "events").withColumn("a", w.over(Window.partitionBy("user_id", "event_type").orderBy("event_id")))
+    e = e.where(F.col("a") <= F.when(F.col("event_type") == "view", 4).otherwise(2))
+    return e.withColumn("ord", w.over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")).where("ord <= 8").select("event_id", "ord")
+
+
+@query("SELECT o_custkey, list_has_any(list(o_orderkey % 5), [0]) AS shared FROM orders GROUP BY 1")
+def artist_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.collect_set(F.col("o_orderkey") % 5)
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.arrays_overlap(ids, F.array(F.lit(0).cast("bigint"))).alias("shared"))
+
+
+@query("SELECT a.p_partkey, min(b.p_partkey) AS file FROM part a JOIN part b ON contains(b.p_name || ' - ' || b.p_brand, string_split(a.p_name, ' ')[2]) AND contains(b.p_name || ' - ' || b.p_brand, a.p_brand || '') AND b.p_brand = a.p_brand AND b.p_partkey % 2 = 1 WHERE a.p_partkey % 10 = 0 GROUP BY 1")
+def local_file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose name holds title and artist: an equi-join on the words of the name, then the exact test, and the first by priority."""
+    p = read(spark, sf_dir, "part")
+    a = p.where("p_partkey % 10 = 0").select("p_partkey", "p_brand", F.element_at(F.split("p_name", " "), 2).alias("word"))
+    b = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("file"), "p_brand", F.concat_ws(" - ", "p_name", "p_brand").alias("name"), F.explode(F.split("p_name", " ")).alias("word"))
+    return a.join(b, ["p_brand", "word"]).where(F.contains("name", "word")).groupBy("p_partkey").agg(F.min("file").alias("file"))
+
+
+@query()
+def local_scan_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below a folder, one per title and artist (here the tables' own files)."""
+    return readers.audio_files(spark, sf_dir, ("parquet",)).select("title", "artist", "length")
+
+
+@query()
+def link_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks, catalog = list_of(spark, sf_dir)
+    return match.match(tracks.where("id = 10"), catalog, GROUPS)
