@@ -22,6 +22,8 @@ SPELLINGS = [
     ("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" open source ", " opensource "), ("organis", "organiz"),
     ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), (" fulfil ", " fulfill "), (" version ", " "), (" the ", " "), (" https ", " "), (" http ", " "),
 ]
+#: So many known texts at most are sent to all tasks; more are joined by shuffling.
+BROADCAST_ROWS = 50_000
 GRANTS = ["licensed under {}", "this work is licensed under {}", "released under {}", "distributed under {}", "this file is licensed under {}", "spdx-license-identifier: {}", "license: {}"]
 #: Fixed names of licences, by identifier.
 NAMES = {
@@ -90,10 +92,17 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per document: its digest, the licence that is its entire text, and the licences of its lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = license_digests(known)
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        digests = F.broadcast(digests)
+    # the entire text and each of its lines are looked up in one pass
     forms = docs.select("doc_id", F.xxhash64(text).alias("_h"), canonical_lines(text).alias("forms"))
-    whole = forms.select("doc_id", "_h", F.md5(F.array_join("forms", " ")).alias("text_digest"))
-    lines = forms.select("doc_id", "_h", F.explode(F.array_distinct("forms")).alias("form"))
-    found = lines.select("doc_id", "_h", F.md5("form").alias("digest")).join(digests, "digest").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set("license")).alias("ids"))
-    out = whole.alias("w").join(digests.alias("d"), F.col("w.text_digest") == F.col("d.digest"), "left")
-    out = out.join(found.alias("f"), F.col("w.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("w._h") == F.col("f._h")), "left")
-    return out.select("w.doc_id", "w.text_digest", F.col("d.license").alias("text_license"), F.array_join(F.coalesce("f.ids", F.array().cast("array<string>")), ",").alias("notice_licenses"), F.coalesce(F.size("f.ids"), F.lit(0)).cast("long").alias("n_notices"))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.md5(F.array_join("forms", " ")).alias("digest")))
+    lines = F.transform(F.array_distinct("forms"), lambda f: F.struct(F.lit(False).alias("whole"), F.md5(f).alias("digest")))
+    looked = forms.select("doc_id", "_h", F.inline(F.concat(whole, lines))).join(digests, "digest", "left").where("whole or license is not null")
+    lines_license, whole_only = F.when(~F.col("whole"), F.col("license")), F.when(F.col("whole"), F.col("digest"))
+    found = looked.groupBy("doc_id", "_h").agg(
+        F.max(whole_only).alias("text_digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
+        F.array_sort(F.collect_set(lines_license)).alias("ids"), F.count_if("whole").alias("copies"),
+    )
+    out = found.select("doc_id", "text_digest", "text_license", F.array_join("ids", ",").alias("notice_licenses"), F.size("ids").cast("long").alias("n_notices"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.drop("col")
