@@ -60,3 +60,9 @@ def test_readers(spark, tmp_path):
     assert [(r.title, r.artists, r.isrc) for r in got] == [("Hello, World", ["A", "B"], "US123")]
     (tmp_path / "c.csv").write_text("One,A\nTwo\n")
     assert [(r.title, r.artists) for r in readers.read_csv(spark, str(tmp_path / "c.csv")).collect()] == [("One", ["A"]), ("Two", [])]
+
+
+def test_config():
+    from linkwright.config import LinkConfig
+
+    assert LinkConfig(storefront="HK").storefronts == ("hk", "tw", "us")
