@@ -4,20 +4,25 @@ Documents are sets of hashed shingles. Equal sets are one vertex, whatever the
 number of copies. The exact join of vertices has these steps:
 
 1. Every vertex is posted under the prefix of its set: in any fixed order of
-   shingles, two sets that link share a shingle of their prefixes. Frequent shingles
-   come last in the order, so passages that many documents hold hardly ever count.
-2. A first pass links the members of a posting list to its smallest member, after
-   an exact comparison. That takes a number of pairs in proportion to the lists,
-   and puts large groups of near copies in one component.
-3. In lists that still hold several components, signature trees find the other
-   links: leaves hold members in order of size, nodes an OR-combined bitmap, the range of
+   shingles, two sets that link share shingles of their prefixes, and how many at
+   least follows from their sizes. Frequent shingles come last in the order, so
+   passages that many documents hold hardly ever count.
+2. Short lists give their pairs, and a pair goes on if it shares enough prefix
+   shingles. Members of long lists are paired with one of them, a number of pairs in
+   proportion to the list. Every vertex is first compared with its best partner, which
+   puts large groups of near copies in few components.
+3. Long lists that still hold several components are joined by signature trees:
+   leaves hold members in order of size, nodes an OR-combined bitmap, the range of
    sizes and the components below. A dual traversal goes down a pair of nodes only
-   if their largest possible overlap may reach the threshold and they aren't
-   all of one component; surviving pairs are compared exactly. Long lists are cut into blocks, and
-   pairs of blocks go to different tasks.
+   if their largest possible overlap may reach the threshold and they aren't all of
+   one component. Very long lists are cut into blocks, and pairs of blocks go to
+   different tasks.
+4. Pairs of different components are compared: first the best of each vertex and
+   component, then all that are left. Bounds by bitmaps and by 16 bits a shingle go
+   first, so that whole sets are sent for few pairs.
 
-Links left out join vertices that are in one component already, so components
-are those of all links.
+Comparisons are exact. Links left out join vertices that are in one component
+already, so components are those of all links.
 
 Edge cases: null and empty texts and texts without words have the empty set, are
 linked with nothing and form their own component; repeated rows are copies; a
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.components import connected_components
@@ -45,12 +50,15 @@ HOT_TABLE = 1 << 17
 HOT_IN_TASK = 8
 COUNT_AT_ONCE = 1 << 22
 BLOCK_MEMBERS = 2048
+SHORT_LIST = 32
 LEAF = 16
 FANOUT = 8
 FILTER_BITS = 1 << 26
 #: Shingles of this rank (eight times the binary logarithm of the count) have long lists.
 SALTED_RANK = 80
 SALTS = 16
+#: Passes over long lists with other leads.
+LEADS = 3
 
 
 def shingle_hashes(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +120,10 @@ def vertex_of(s: np.ndarray) -> int:
 
 
 def documents_and_hot(docs: DataFrame) -> DataFrame:
-    """(kind, id, n, vertex): kind 0 has documents with their set's size and vertex, kind 1 shingles that a task saw often and their counts."""
+    """(kind, id, n, vertex, bitmap): kind 0 has documents with their set's size, vertex and bitmap, kind 1 shingles that a task saw often and their counts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "vertex"]
+        names = ["kind", "id", "n", "vertex", "bitmap"]
         waiting: list[np.ndarray] = []
         held = 0
         counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -129,20 +137,23 @@ def documents_and_hot(docs: DataFrame) -> DataFrame:
             return x[keep], n[keep]
 
         for batch in batches:
-            n, vertex = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, vertex, bitmaps = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for i, s in _sets(batch.column("text")):
                 n[i], vertex[i] = len(s), vertex_of(s)
+                bits = np.zeros(BITMAP_BITS, bool)
+                bits[s >> np.uint64(53)] = True
+                bitmaps[i] = np.packbits(bits).tobytes()
                 waiting.append(s)
                 held += len(s)
                 if held > COUNT_AT_ONCE:
                     counts, waiting, held = merged(), [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(n), pa.array(vertex, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(n), pa.array(vertex, pa.int64()), pa.array(bitmaps, pa.binary())], names=names)
         counts = merged()
         often = counts[1] >= HOT_IN_TASK
         x, n = counts[0][often], counts[1][often]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x.view(np.int64)), pa.array(n), pa.nulls(len(x), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x.view(np.int64)), pa.array(n), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "kind int, id long, n long, vertex long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "kind int, id long, n long, vertex long, bitmap binary")
 
 
 def hot_order(found: DataFrame) -> np.ndarray:
@@ -235,8 +246,8 @@ def shared_tokens(posted: DataFrame) -> DataFrame:
     return spread.mapInArrow(find, "token long, lead long, vertex long")
 
 
-def sets_of(docs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """(vertex, n, bitmap, shingles) of wanted vertices, from the texts; vertices: (vertex, doc_id) with one document of each.
+def sets_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(vertex, n, shingles) of wanted vertices, from the texts; vertices: (vertex, doc_id) with one document of each.
 
     A filter of a fixed size at most tells tasks which documents to take; the join behind it is exact.
     """
@@ -254,42 +265,121 @@ def sets_of(docs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch.column("b").to_numpy()]))
             ids = batch.column("doc_id")
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], []]
             held = 0
             for i, s in _sets(batch.column("text")):
-                bitmap = np.zeros(BITMAP_BITS, bool)
-                bitmap[s >> np.uint64(53)] = True
-                for column, value in zip(out, (ids[i].as_py(), vertex_of(s), len(s), np.packbits(bitmap).tobytes(), s.view(np.int64)), strict=True):
+                for column, value in zip(out, (ids[i].as_py(), vertex_of(s), s.view(np.int64)), strict=True):
                     column.append(value)
                 held += len(s)
                 if held > 500_000:
-                    yield _as_batch(out)
-                    out, held = [[], [], [], [], []], 0
+                    yield _as_batch(*out)
+                    out, held = [[], [], []], 0
             if out[0]:
-                yield _as_batch(out)
+                yield _as_batch(*out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    made = rows.mapInArrow(make, "doc_id long, vertex long, n long, bitmap binary, shingles array<long>")
-    # rows that share a doc_id may hold several texts: the vertex decides, and one row of each is kept
-    return made.join(vertices, ["vertex", "doc_id"], "left_semi").drop("doc_id").dropDuplicates(["vertex"])
-
-
-def _as_batch(out: list[list]) -> pa.RecordBatch:
-    ids, vertex, n, bitmap, sets = out
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets)))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vertex, pa.int64()), pa.array(n, pa.int64()), pa.array(bitmap, pa.binary()), lists], names=["doc_id", "vertex", "n", "bitmap", "shingles"])
+    made = rows.mapInArrow(make, "doc_id long, vertex long, n long, shingles array<long>")
+    # rows that share a doc_id may hold several texts: the vertex decides
+    return made.join(vertices, ["vertex", "doc_id"], "left_semi").drop("doc_id")
+
+
+def _as_batch(ids: list, vertex: list, sets: list) -> pa.RecordBatch:
+    sizes = [len(s) for s in sets]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets)))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vertex, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "vertex", "n", "shingles"])
+
+
+class Comparer:
+    """Compares pairs of sets exactly. Sets are made from the texts once and kept in the shared folder for later pairs."""
+
+    def __init__(self, docs: DataFrame, vertices: DataFrame, percent: int):
+        self.docs, self.vertices, self.percent, self.kept = docs, vertices, percent, []
+
+    def _sets(self) -> DataFrame:
+        out = self.kept[0]
+        for t in self.kept[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def _fetch(self, pairs: DataFrame) -> DataFrame:
+        """The sets of all members of pairs, made now if they weren't before."""
+        members = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
+        if self.kept:
+            members = members.join(self._sets().select("vertex"), "vertex", "left_anti")
+        members = written(self.vertices.select("vertex", "doc_id").join(members, "vertex"), "members")
+        if not self.kept or not members.isEmpty():
+            self.kept.append(written(sets_of(self.docs, members), "shingles"))
+        drop_written(members)
+        return self._sets()
+
+    def may_link(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may link by the upper 16 bits of their shingles: a bound close to the exact number, at a quarter of the size."""
+        few = self._fetch(pairs).select("vertex", "n", F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 48).cast("smallint"))).alias("u"))
+        x = few.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))
+        y = few.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+        both = pairs.select("a", "b").join(x, "a").join(y, "b")
+        # shingles that fall together in their own set may all be common
+        most = F.size(F.array_intersect("ua", "ub")) + F.least(F.col("na") - F.size("ua"), F.col("nb") - F.size("ub"))
+        return written(both.where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b"), "close")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) pairs that link."""
+        sets = self._fetch(pairs)
+        x = sets.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+        y = sets.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+        both = pairs.select("a", "b").join(x, "a").join(y, "b")
+        inter = F.size(F.array_intersect("sa", "sb")).cast("long")
+        return written(both.where(100 * inter >= self.percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"), "linked")
+
+    def close(self) -> None:
+        drop_written(*self.kept)
+
+
+class Classes:
+    """Components of vertices, which links join step by step."""
+
+    def __init__(self) -> None:
+        self.roots: DataFrame | None = None
+
+    def of(self, df: DataFrame, vertex: str, name: str) -> DataFrame:
+        """Adds the component of a vertex, itself if it has no link."""
+        if self.roots is None:
+            return df.withColumn(name, F.col(vertex))
+        named = self.roots.select(F.col("node").alias(vertex), F.col("root").alias(name))
+        return df.join(named, vertex, "left").withColumn(name, F.coalesce(name, vertex))
+
+    def join(self, links: DataFrame) -> bool:
+        """Whether there were links between components."""
+        ends = self.of(self.of(links, "a", "ra"), "b", "rb").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        ends = written(ends, "links")
+        if ends.isEmpty():
+            drop_written(ends)
+            return False
+        above = written(connected_components(ends), "roots")
+        drop_written(ends)
+        if self.roots is not None:
+            # of(): nodes of roots that moved have a new root now; new nodes come from above
+            moved = self.roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            new = above.join(self.roots.select("node"), "node", "left_anti").select("node", "root")
+            old, self.roots = self.roots, written(moved.unionByName(new), "roots")
+            drop_written(old, above)
+        else:
+            self.roots = above
+        return True
+
+
+def least_common(na: Column, nb: Column, percent: int) -> Column:
+    """How many prefix shingles two sets of these sizes share if they link.
+
+    Of the set whose prefix ends first, all prefix shingles that the other has are in
+    the other's prefix too; those behind the prefix can't make up for the rest.
+    """
+    overlap = F.ceil(percent * (na + nb) / (100 + percent))
+    return F.greatest(F.lit(1), overlap - F.ceil(percent * F.greatest(na, nb) / 100) + 1)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs whose sets link, compared exactly. Pairs that can't by size or bitmap go first."""
-    x = sets.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    small = sets.select("vertex", "n")
-    sized = pairs.join(small.select(F.col("vertex").alias("a"), F.col("n").alias("na")), "a").join(small.select(F.col("vertex").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = sized.join(x, "a").join(y, "b")
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b")
+def may_be_near(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
 class Tree:
@@ -352,7 +442,7 @@ def dual_traversal(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
 
 
 def tree_candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """(task, side, vertex, n, bitmap, component) -> (a, b) pairs of different components that may link.
+    """(task, side, vertex, n, bitmap, component) -> (a, b, weight) pairs of different components that may link.
 
     Sides 0 and 1 of a task are joined with each other; side 2 with itself.
     """
@@ -372,7 +462,7 @@ def tree_candidates(lists: DataFrame, percent: int) -> DataFrame:
                 i, j = dual_traversal(x[1], y[1], percent)
                 other = x[2][i] != y[2][j]
                 a, b = x[0][i[other]], y[0][j[other]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "weight"])
 
         def tasks(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             at = runs(table.column("task").to_numpy())
@@ -390,45 +480,111 @@ def tree_candidates(lists: DataFrame, percent: int) -> DataFrame:
             table, held = pa.Table.from_batches(held), []
             yield from tasks(table, last=True)
 
-    return lists.mapInArrow(join, "a long, b long")
+    return lists.mapInArrow(join, "a long, b long, weight long")
 
 
-def lists_by_task(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Posting lists that hold several components, dealt to tasks: a long list is cut into blocks, and its pairs of blocks are tasks."""
-    whole = shared.select("token", "vertex").distinct().join(roots.select(F.col("node").alias("vertex"), "root"), "vertex", "left")
-    whole = whole.withColumn("component", F.coalesce("root", "vertex")).drop("root")
+def mixed_lists(lists: DataFrame, classes: Classes) -> DataFrame:
+    """(token, vertex, n, component, size): posting lists that hold several components."""
+    whole = classes.of(lists.select("token", "vertex", "n"), "vertex", "component")
     mixed = whole.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("token", "size")
-    rows = whole.join(mixed, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
+    return whole.join(mixed, "token").select("token", "vertex", "n", "component", "size")
+
+
+def lead_pairs(lists: DataFrame, number: int, percent: int) -> DataFrame:
+    """(a, b, weight): members of mixed lists with a lead of another component, a different lead each time.
+
+    Only lists that have this lead count towards what two sets share, so half of what a link needs is enough here.
+    """
+    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("vertex", F.lit(number)).alias("h"), "vertex", "n", "component")).alias("l"))
+    met = lists.join(lead, "token").where(F.col("component") != F.col("l.component"))
+    na, nb = F.col("na"), F.col("nb")
+    counted = met.groupBy(F.col("l.vertex").alias("a"), F.col("vertex").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("common"))
+    counted = counted.where(may_be_near(na, nb, percent) & (2 * F.col("common") >= least_common(na, nb, percent)))
+    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("common").alias("weight"))
+
+
+def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight) of lists of at most SHORT_LIST members that share enough prefix shingles."""
+    members = lists.groupBy("token").agg(F.collect_list(F.struct("vertex", "n", "component")).alias("m"))
+    partners = lambda x: F.filter("m", lambda y: (y["vertex"] > x["vertex"]) & (y["component"] != x["component"]) & may_be_near(x["n"], y["n"], percent))
+    found = F.flatten(F.transform("m", lambda x: F.transform(partners(x), lambda y: F.struct(x["vertex"].alias("a"), y["vertex"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    pairs = members.select(F.explode(found).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("common"))
+    return pairs.where(F.col("common") >= least_common(F.col("na"), F.col("nb"), percent)).select("a", "b", F.col("common").alias("weight"))
+
+
+def lists_by_task(lists: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Long lists dealt to tasks: a very long one is cut into blocks, and its pairs of blocks are tasks."""
+    rows = lists.withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks").cast("long")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"), F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
     rows = rows.select("token", "vertex", "component", F.explode(others).alias("o"))
     rows = rows.select(F.xxhash64("token", "o.x", "o.y").alias("task"), F.col("o.side").alias("side"), "vertex", "component")
-    return rows.join(sets.select("vertex", "n", "bitmap"), "vertex").repartition("task").sortWithinPartitions("task", "side", "n", "vertex").select("task", "side", "vertex", "n", "bitmap", "component")
+    return rows.join(vertices.select("vertex", "n", "bitmap"), "vertex").repartition("task").sortWithinPartitions("task", "side", "n", "vertex").select("task", "side", "vertex", "n", "bitmap", "component")
+
+
+def within_bitmaps(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight): pairs that may link by their bitmaps: bits that only one set has are shingles that only it has."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64) for c in ("xa", "xb"))
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64))
+            yield batch.select(["a", "b", "weight"]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+
+    small = lambda v: vertices.select(F.col("vertex").alias(v), F.col("n").alias(f"n{v}"), F.col("bitmap").alias(f"x{v}"))
+    both = pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "weight", "na", "nb", "xa", "xb")
+    return both.mapInArrow(check, "a long, b long, weight long")
+
+
+def best_partners(pairs: DataFrame, classes: Classes, per_component: bool) -> DataFrame:
+    """(a, b, weight, place): pairs of different components; place orders the partners of b, or those it has in one component, by weight."""
+    live = classes.of(classes.of(pairs.select("a", "b", "weight"), "a", "ra"), "b", "rb").where("ra != rb")
+    group = ["b", "ra"] if per_component else ["b"]
+    return live.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("weight").desc(), "a"))).select("a", "b", "weight", "place")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     found = written(documents_and_hot(docs), "sets")
     rows = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "vertex")
+    vertices = written(found.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("doc_id"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "vertices")
     shared = written(shared_tokens(postings(docs, hot_order(found), percent)), "lists")
-    heads = shared.where("lead = vertex")
-    parts = heads.join(heads.groupBy("token").agg(F.min("lead").alias("a")), "token").where("a != lead").select("a", F.col("lead").alias("b"))
-    stars = written(shared.where("lead != vertex").select(F.col("lead").alias("a"), F.col("vertex").alias("b")).unionByName(parts).distinct(), "pairs")
-    members = stars.select(F.col("a").alias("vertex")).unionByName(stars.select(F.col("b").alias("vertex"))).distinct()
-    one = rows.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(sets_of(docs, one.join(members, "vertex"), percent), "shingles")
-    first = written(linked(stars, sets, percent), "first")
-    roots = written(connected_components(first), "roots")
-    candidates = tree_candidates(lists_by_task(shared, sets, roots), percent).distinct()
-    second = linked(candidates, sets, percent)
-    # the second links join components of the first, so only their roots need to be joined again
-    named = roots.withColumnRenamed("node", "vertex")
-    ends = second.join(named.select(F.col("vertex").alias("a"), F.col("root").alias("ra")), "a", "left").join(named.select(F.col("vertex").alias("b"), F.col("root").alias("rb")), "b", "left")
-    above = connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    inner = one.join(named, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    inner = inner.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    compare, classes = Comparer(docs, vertices, percent), Classes()
+    # every list member with its component (itself, so far) and its list's length
+    members = mixed_lists(shared.select("token", "vertex").distinct().join(vertices.select("vertex", "n"), "vertex"), classes)
+    short = written(short_list_pairs(members.where(F.col("size") <= SHORT_LIST), percent), "pairs")
+    long = written(members.where(F.col("size") > SHORT_LIST), "long")
+    drop_written(shared)
+    # first each vertex is compared with its best partner, from short lists or the leads of long ones
+    for number in range(LEADS):
+        pairs = lead_pairs(long, number, percent)
+        best = written(best_partners(pairs if number else pairs.unionByName(short), classes, per_component=False).where("place = 1"), "best")
+        more = not best.isEmpty() and classes.join(compare.linked(best))
+        drop_written(best)
+        if not more and number:
+            break
+        old, long = long, written(mixed_lists(long, classes), "long")
+        drop_written(old)
+    # then what two bounds leave of the other pairs: for each vertex its best partner of each other component, and all the rest
+    every = short.unionByName(tree_candidates(lists_by_task(long, vertices), percent)).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    pairs = written(within_bitmaps(best_partners(every, classes, per_component=True).drop("place"), vertices, percent), "pairs")
+    drop_written(short, long)
+    for most in (1, None):
+        turn = written(best_partners(pairs, classes, per_component=True), "turn")
+        drop_written(pairs)
+        pairs = turn
+        if turn.isEmpty():
+            break
+        close = compare.may_link(turn if most is None else turn.where(F.col("place") <= most))
+        classes.join(compare.linked(close))
+        drop_written(close)
+        pairs = turn.where(F.col("place") > (most or 0))
+    drop_written(pairs)
+    compare.close()
+    inner = classes.of(vertices.select("vertex", "doc_id"), "vertex", "root")
     least = inner.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = written(inner.join(least, "root").select("vertex", "component_id"), "classes")
-    drop_written(shared, stars, sets, first, roots)
-    out = rows.join(classes, "vertex", "left")
+    named = written(inner.join(least, "root").select("vertex", "component_id"), "classes")
+    out = rows.join(named, "vertex", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
