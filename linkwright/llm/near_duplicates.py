@@ -53,6 +53,8 @@ BLOCK_MEMBERS = 2048
 SHORT_LIST = 32
 LEAF = 16
 FANOUT = 8
+#: Pairs of nodes that a task compares at a time.
+NODE_PAIRS = 1 << 12
 FILTER_BITS = 1 << 26
 #: Shingles of this rank (eight times the binary logarithm of the count) have long lists.
 SALTED_RANK = 80
@@ -415,30 +417,41 @@ def may_link(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
     return (100 * overlap >= percent * least) & ~one
 
 
-def dual_traversal(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of two trees that may link; of a tree with itself each pair once."""
-    level_a, level_b = len(a.levels) - 1, len(b.levels) - 1
-    i = j = np.zeros(1, np.int64)
-    while len(i):
+def dual_traversal(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of two trees that may link, in pieces; of a tree with itself each pair once.
+
+    Goes down depth first with NODE_PAIRS pairs at a time, so its memory does not depend on how many pairs there are.
+    """
+    todo = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        level_a, level_b, i, j = todo.pop()
+        if len(i) > NODE_PAIRS:
+            todo.append((level_a, level_b, i[NODE_PAIRS:], j[NODE_PAIRS:]))
+            i, j = i[:NODE_PAIRS], j[:NODE_PAIRS]
         keep = may_link(a.levels[level_a], b.levels[level_b], i, j, percent)
         i, j = i[keep], j[keep]
+        if a is b:
+            # of two nodes of one level the first comes first; a node meets itself
+            ordered = (i <= j) if level_a else (i < j)
+            if level_a == level_b:
+                i, j = i[ordered], j[ordered]
+        if not len(i):
+            continue
         if not level_a and not level_b:
-            break
-        if level_a >= level_b:
+            yield i, j
+            continue
+        down_a, down_b = level_a >= level_b, level_b >= level_a
+        if down_a:
             first, end = a.children(level_a, i)
             n = end - first
             j = np.repeat(j, n)
             i = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            level_a -= 1
-        if level_b > level_a:
+        if down_b:
             first, end = b.children(level_b, j)
             n = end - first
             i = np.repeat(i, n)
             j = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            level_b -= 1
-    if a is b:
-        i, j = i[i < j], j[i < j]
-    return i, j
+        todo.append((level_a - down_a, level_b - down_b, i, j))
 
 
 def tree_candidates(lists: DataFrame, percent: int) -> DataFrame:
@@ -450,25 +463,24 @@ def tree_candidates(lists: DataFrame, percent: int) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def task(table: pa.Table) -> pa.RecordBatch:
+        def task(table: pa.Table) -> Iterator[pa.RecordBatch]:
             side, vertex, n, component = (table.column(c).to_numpy() for c in ("side", "vertex", "n", "component"))
             bitmaps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(n), -1)
             trees = {s: (vertex[side == s], Tree(n[side == s], bitmaps[side == s], component[side == s]), component[side == s]) for s in np.unique(side)}
             x = trees.get(2) or trees.get(0)
             y = trees.get(2) or trees.get(1)
             if x is None or y is None:
-                a = b = np.zeros(0, np.int64)
-            else:
-                i, j = dual_traversal(x[1], y[1], percent)
+                return
+            for i, j in dual_traversal(x[1], y[1], percent):
                 other = x[2][i] != y[2][j]
                 a, b = x[0][i[other]], y[0][j[other]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "weight"])
 
         def tasks(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             at = runs(table.column("task").to_numpy())
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi < len(table) or last:
-                    yield task(table.slice(lo, hi - lo).combine_chunks())
+                    yield from task(table.slice(lo, hi - lo).combine_chunks())
                 else:
                     held.extend(table.slice(lo).to_batches())
 

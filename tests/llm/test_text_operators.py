@@ -85,7 +85,7 @@ def test_dual_traversal_finds_every_link():
         bitmaps[i, s >> np.uint64(53)] = True
     packed = np.packbits(bitmaps, axis=1).view(np.uint64)
     tree = near_duplicates.Tree(np.array([len(s) for s in sets]), packed, np.arange(len(sets)))
-    found = set(zip(*near_duplicates.dual_traversal(tree, tree, 80), strict=True))
+    found = {pair for i, j in near_duplicates.dual_traversal(tree, tree, 80) for pair in zip(i, j, strict=True)}
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
             common = len(np.intersect1d(sets[i], sets[j]))
