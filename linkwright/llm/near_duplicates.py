@@ -12,7 +12,7 @@ number of copies. The exact join of vertices has these steps:
    proportion to the list. Every vertex is first compared with its best partner, which
    puts large groups of near copies in few components.
 3. Long lists that still hold several components are joined by signature trees:
-   leaves hold members in order of size, nodes an OR-combined bitmap, the range of
+   lists with much the same members are one; leaves hold members in order of size, nodes an OR-combined bitmap, the range of
    sizes and the components below. A dual traversal goes down a pair of nodes only
    if their largest possible overlap may reach the threshold and they aren't all of
    one component. Very long lists are cut into blocks, and pairs of blocks go to
@@ -524,9 +524,21 @@ def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("common") >= least_common(F.col("na"), F.col("nb"), percent)).select("a", "b", F.col("common").alias("weight"))
 
 
+def bundles(lists: DataFrame) -> DataFrame:
+    """(token, vertex, component, size): lists with much the same members as one list of all their members.
+
+    A passage gives many such lists, each with the same pairs. Two minima of hashes of the members are the key: lists that share them are alike.
+    """
+    first, second = F.min(F.xxhash64("vertex", F.lit("first"))), F.min(F.xxhash64("vertex", F.lit("second")))
+    keys = lists.groupBy("token").agg(F.xxhash64(first, second).alias("bundle"))
+    rows = lists.join(keys, "token").select(F.col("bundle").alias("token"), "vertex", "component").distinct()
+    sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
+    return rows.join(sizes, "token")
+
+
 def lists_by_task(lists: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Long lists dealt to tasks: a very long one is cut into blocks, and its pairs of blocks are tasks."""
-    rows = lists.withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
+    """Long lists, in bundles, dealt to tasks: a very long one is cut into blocks, and its pairs of blocks are tasks."""
+    rows = bundles(lists).withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks").cast("long")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"), F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
     rows = rows.select("token", "vertex", "component", F.explode(others).alias("o"))
