@@ -6,10 +6,14 @@ under its pointer and moves on if a random bit of (j, symbol) says so, which
 turns a small edit distance into a small Hamming distance. Bit sampling hashes a
 few steps of the walk; a few walks are made and each is sampled several times, so that windows
 with edits meet their item with the wanted recall, and equal windows always do.
-Windows begin at every word and are as long as the items of a length class.
-
-Before the walk, windows that can't be within the distance are left out: an
-item's word count less the allowed edits must be words of some item. That
+A walk sees little more than the first half of a long window, so an item of
+``LEAST_PARTED`` words or more posts several windows of a length class, each with its offset:
+what their walks see covers the item, wherever its edits stand. A text's
+windows begin at every word.
+
+Before the walk, windows with too many foreign words are left out: some window
+of an item within the distance has no more edits than its share (no word is in more
+than ``overlap`` of them), and the words left must be words of some item. That
 bound and the table of wanted keys are bitmaps of a fixed size, so what goes to
 the tasks doesn't grow with the benchmark. Keys are joined by Spark, and each
 candidate's edit distance is computed exactly.
@@ -38,6 +42,8 @@ WALKS = 3
 SAMPLES = 8
 STEPS_IN_KEY = 3
 MOST_STEPS = 64
+#: Items of so many words or more are looked for by several windows.
+LEAST_PARTED = 16
 WINDOWS_AT_ONCE = 1 << 16
 
 
@@ -50,9 +56,27 @@ def _class_of(n_words: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(CLASSES), n_words, "right") - 1
 
 
+def _steps(size: int) -> int:
+    return int(min(MOST_STEPS, max(2, 2 * size - size // 3)))
+
+
+def item_windows(n_words: int, share: float) -> tuple[int, np.ndarray, int]:
+    """Length class and offsets of the windows an item posts, and the edits that the least edited of them has at most."""
+    edits = int(allowed_edits(n_words, share))
+    if n_words < LEAST_PARTED:
+        return int(_class_of(np.array([n_words]))[0]), np.zeros(1, np.int64), edits
+    class_id = int(_class_of(np.array([n_words // 2]))[0])
+    size = CLASSES[class_id]
+    # a walk moves on at every other step
+    count = -(-n_words // (_steps(size) // 2))
+    offsets = np.linspace(0, n_words - size, count).astype(np.int64)
+    overlap = int((np.searchsorted(offsets, offsets + size) - np.arange(count)).max())
+    return class_id, offsets, min(edits, -(-edits * overlap // count))
+
+
 def _sampled_steps(walk: int, size: int) -> np.ndarray:
     """[SAMPLES, STEPS_IN_KEY]: steps of a walk over ``size`` words, which takes about two steps a word."""
-    most = int(min(MOST_STEPS, max(2, 2 * size - size // 3)))
+    most = _steps(size)
     rng = np.random.default_rng(1000 * walk + size)
     # one step from each of equal stretches, so that the steps of a key see different words
     return ((np.arange(STEPS_IN_KEY) + rng.random((SAMPLES, STEPS_IN_KEY))) * most / STEPS_IN_KEY).astype(np.int64)
@@ -93,7 +117,7 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def item_table(items: DataFrame, share: float) -> DataFrame:
-    """(item_id, text) -> item_id, n, class_id, symbols, keys."""
+    """(item_id, text) -> item_id, n, class_id, edits (of a window), symbols, and the keys of all windows with their offsets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,17 +126,19 @@ def item_table(items: DataFrame, share: float) -> DataFrame:
                 h = w.hashes()
                 ids = batch.column("item_id").slice(part.first, len(part))
                 sizes = np.diff(w.bounds)
-                out = [], [], [], [], []
+                out = [], [], [], [], [], [], []
                 for i in np.flatnonzero(sizes):
                     own = h[w.bounds[i] : w.bounds[i + 1]]
-                    c = int(_class_of(sizes[i : i + 1])[0])
-                    keys = cgk_keys(own, coin_tosses(own), np.zeros(1, np.int64), np.array([len(own)]), c)[0]
-                    for column, value in zip(out, (ids[int(i)].as_py(), len(own), c, own.view(np.int64).tolist(), keys.view(np.int64).tolist()), strict=True):
+                    c, offsets, edits = item_windows(len(own), share)
+                    keys = cgk_keys(own, coin_tosses(own), offsets, np.full(len(offsets), len(own)), c)
+                    keys, offsets = keys.view(np.int64).ravel().tolist(), np.repeat(offsets, keys.shape[1]).tolist()
+                    for column, value in zip(out, (ids[int(i)].as_py(), len(own), c, edits, own.view(np.int64).tolist(), offsets, keys), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "n", "class_id", "symbols", "keys"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "n", "class_id", "edits", "symbols", "offsets", "keys"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(make, "item_id long, n int, class_id int, symbols array<long>, keys array<long>")
+    kinds = "item_id long, n int, class_id int, edits int, symbols array<long>, offsets array<long>, keys array<long>"
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(make, kinds)
 
 
 def _bitmap(values: DataFrame) -> np.ndarray:
@@ -123,8 +149,8 @@ def _bitmap(values: DataFrame) -> np.ndarray:
     return out
 
 
-def candidate_windows(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarray, classes: dict[int, int], share: float) -> DataFrame:
-    """(doc_id, text) -> doc_id, key, start: windows with a wanted key. classes: the longest item of each."""
+def candidate_windows(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarray, classes: dict[int, int]) -> DataFrame:
+    """(doc_id, text) -> doc_id, key, start: windows with a wanted key. classes: the most edits in a window of each."""
     shared = docs.sparkSession.sparkContext.broadcast((np.packbits(vocabulary), np.packbits(wanted)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +167,9 @@ def candidate_windows(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarra
                 text_of = np.repeat(np.arange(len(part)), np.diff(w.bounds))
                 end = w.bounds[text_of + 1]
                 out = [], []
-                for c, longest in classes.items():
+                for c, edits in classes.items():
                     size = CLASSES[c]
                     # an edit costs one known word at most
-                    edits = int(allowed_edits(longest, share))
                     stop = np.minimum(np.arange(n) + size, end)
                     fits = np.flatnonzero((known[stop] - known[:-1] >= size - edits) & (stop - np.arange(n) >= size - edits))
                     for lo in range(0, len(fits), WINDOWS_AT_ONCE):
@@ -234,9 +259,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> D
     """One row per document and benchmark item it holds within ``share`` of the item's words: doc_id, item_id, distance, place."""
     items = item_table(benchmark, share)
     vocabulary = _bitmap(items.select(F.explode("symbols")))
-    keys = items.select("item_id", F.explode("keys").alias("key"))
+    keys = items.select("item_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("offsets").alias("offset"))))
     wanted = _bitmap(keys.select("key"))
-    classes = {r["class_id"]: r["n"] for r in items.groupBy("class_id").agg(F.max("n").alias("n")).orderBy("class_id").collect()}
-    found = candidate_windows(docs, vocabulary, wanted, classes, share)
-    pairs = found.join(keys, "key").select("doc_id", "item_id", "start").distinct()
+    classes = {r["class_id"]: r["edits"] for r in items.groupBy("class_id").agg(F.max("edits").alias("edits")).orderBy("class_id").collect()}
+    found = candidate_windows(docs, vocabulary, wanted, classes)
+    # where the item would begin
+    pairs = found.join(keys, "key").select("doc_id", "item_id", (F.col("start") - F.col("offset")).alias("start")).distinct()
     return verified(pairs, docs, items, share)

@@ -118,6 +118,25 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("place", ["front", "middle", "end", "uniform"])
+def test_contaminated_by_long_items_with_edits_anywhere(spark, place):
+    """All of the allowed edits in one place: no window at one end of the item is enough."""
+    rng = np.random.default_rng(13)
+    items, docs = [], []
+    for i in range(60):
+        n = (59, 100, 200)[i % 3]
+        w = [f"i{i}x{j}" for j in range(n)]
+        items.append((i, " ".join(w)))
+        edits = n // 10
+        lo, hi = {"front": (0, 30), "middle": (n // 2 - 12, n // 2 + 12), "end": (n - 30, n), "uniform": (0, n)}[place]
+        for at in sorted(rng.choice(np.arange(lo, hi), edits, replace=False), reverse=True):
+            w[at : at + 1] = [["zz"], [], ["zz", w[at]]][int(rng.integers(3))]
+        docs.append((i, " ".join([*rng.choice(WORDS, 40), *w, *rng.choice(WORDS, 40)])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 57
+
+
 def test_edit_distance():
     def plain(a, b):
         best = None
