@@ -159,6 +159,22 @@ def test_neighbours_recall(spark, seed):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_neighbours_recall_with_unequal_norms(spark, sigma):
+    """Inner products go by norms too: a long vector at a middling angle may be among the best."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 64))
+    x *= (np.exp(sigma * rng.normal(size=len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(v, v.where("vec_id % 100 = 0"), 20).toPandas()
+    hits = []
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20]) & set(g.vec_id)) / 20)
+    assert np.mean(hits) >= 0.95
+
+
 def test_footrule_from_own_files_only():
     rng = np.random.default_rng(3)
     x, pivots = rng.normal(size=(50, 8)), neighbours.axis_pivots(8)
