@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The mix is a number of equal blocks of words. Seats (blocks) go to the sources
+The mix is a number of equal blocks of words; sources whose targets are but a few
+blocks share finer blocks among themselves, so that each comes near its target. Seats (blocks) go to the sources
 by the highest quotients target / (2k + 1); house sizes grow shard by shard, so
 each shard has integer quotas of its own and the quotas of all shards add up to
 those of the whole. A source whose quota exceeds its blocks is read again from
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from linkwright.llm.shared import running_total, word_count
 
 MOST_REPEATS = 3
+#: A source's target has so many blocks at least, unless blocks are single words.
+LEAST_BLOCKS = 20
+FINER = 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_REPEATS) -> DataFrame:
@@ -46,20 +50,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return ranked.withColumn("target", F.least(target, F.col("_cap").cast("double"))).drop("_cap", "_left", "_weights", "_share", "_capped", "_level")
 
 
-def sainte_lague(targets: DataFrame, blocks: int, shards: int, most: int = MOST_REPEATS) -> DataFrame:
+def sainte_lague(targets: DataFrame, blocks: int, shards: int, most: int = MOST_REPEATS, least: int = 1) -> DataFrame:
     """Integer quotas: (source, shard, quota, block), one row per source and shard that has blocks.
 
-    A block has ``block`` words. A source gets no seat beyond ``most`` times its
-    own blocks. Only seats are ranked, about ``blocks`` and one per source.
+    A block has ``block`` words. Sources with a target below ``least`` blocks have finer
+    blocks and a house of their own: by powers of ``FINER``, until the target has ``least``
+    blocks or a block is one word. A source gets no seat beyond ``most`` times its
+    own blocks. Only seats are ranked: about ``blocks``, and at most ``least * FINER`` and one for each source with finer blocks.
     """
     block = F.greatest(F.lit(1), F.ceil(F.col("_total") / F.lit(blocks))).cast("long")
-    t = targets.where("target > 0").withColumn("block", block)
-    house = F.ceil(F.col("_total") / F.col("block"))
+    steps = F.greatest(F.lit(0), F.ceil(F.log(block * least / F.col("target")) / F.log(F.lit(float(FINER))) - 1e-9))
+    t = targets.where("target > 0").withColumn("block", F.greatest(F.lit(1), F.floor(block / F.pow(F.lit(float(FINER)), steps))).cast("long"))
+    # rounded: targets are shares of whole words; before seats are listed, so that each source counts once
+    t = t.withColumn("_house", F.ceil(F.round(F.sum("target").over(Window.partitionBy("block")), 3) / F.col("block")).cast("long"))
     seats = t.select(
-        "source", "target", "block", house.cast("long").alias("_house"),
+        "source", "target", "block", "_house",
         F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.ceil(F.col("target") / F.col("block")), most * F.ceil(F.col("source_size") / F.col("block")) - 1).cast("long"))).alias("k"),
     )
-    order = Window.partitionBy(F.lit(0)).orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k")
+    order = Window.partitionBy("block").orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k")
     won = seats.withColumn("seat", F.row_number().over(order) - 1).where(F.col("seat") < F.col("_house"))
     return won.groupBy("source", F.floor(F.col("seat") * shards / F.col("_house")).cast("int").alias("shard"), "block").agg(F.count("*").alias("quota"))
 
@@ -71,7 +79,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), blocks: i
     rows = rows.withColumn("_chunk", F.substring("_order", 1, 3))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights)
-    quotas = sainte_lague(targets, blocks, shards).groupBy("source").agg((F.sum("quota") * F.max("block")).alias("_words"))
+    quotas = sainte_lague(targets, blocks, shards, least=LEAST_BLOCKS).groupBy("source").agg((F.sum("quota") * F.max("block")).alias("_words"))
     plan = targets.alias("t").join(quotas.alias("q"), F.col("t.source").eqNullSafe(F.col("q.source")), "left").select(
         "t.source", "t.source_size", "t.target", F.least(F.coalesce("q._words", F.lit(0)), MOST_REPEATS * F.col("t.source_size")).alias("_words")
     )

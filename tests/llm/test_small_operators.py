@@ -76,6 +76,18 @@ def test_quotas_are_highest_quotients(spark):
     assert seats == {"a": 6, "b": 3, "c": 1} and {q.shard for q in quotas} == {0, 1}
 
 
+def test_mixing_keeps_small_sources_beside_a_huge_one(spark):
+    """A block is 5,000 words here; targets of some hundred words are far below half of it."""
+    small = [("b", 100), ("c", 157), ("d", 311), ("e", 1)]
+    rows = [(i, "w " * 10_000, "a") for i in range(200)]
+    rows += [(1000 * (k + 1) + i, "w", s) for k, (s, n) in enumerate(small) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, blocks=400).join(docs.select("doc_id", "source"), "doc_id")
+    got = {r.source: r for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert {s: got[s].target for s, _ in small} == {s: 3 * n for s, n in small}
+    assert all(abs(r.taken - r.target) <= max(1, 0.05 * r.target) for r in got.values())
+
+
 def test_chat_round_trip(spark):
     text = r"a <|end|> <\|new|> [INST] </s> <s> \\ " + "\n"
     rows = [(1, t, "system" if t == 0 else "assistant" if t % 2 == 0 else "user", f"{text}{t} " + "w " * (t * 7 % 50)) for t in range(60)]
