@@ -1,28 +1,27 @@
 """Jaccard join on word shingles with signature trees.
 
 Documents are sets of hashed shingles. Equal sets are one vertex, whatever the
-number of copies. The exact join of vertices has these steps:
-
-1. Every vertex is posted under the prefix of its set: in any fixed order of
-   shingles, two sets that link share shingles of their prefixes, and how many at
-   least follows from their sizes. Frequent shingles come last in the order, so
-   passages that many documents hold hardly ever count.
-2. Short lists give their pairs, and a pair goes on if it shares enough prefix
-   shingles. Members of long lists are paired with one of them, a number of pairs in
-   proportion to the list. Every vertex is first compared with its best partner, which
-   puts large groups of near copies in few components.
-3. Long lists that still hold several components are joined by signature trees:
-   lists with much the same members are one; leaves hold members in order of size, nodes an OR-combined bitmap, the range of
-   sizes and the components below. A dual traversal goes down a pair of nodes only
-   if their largest possible overlap may reach the threshold and they aren't all of
-   one component. Very long lists are cut into blocks, and pairs of blocks go to
-   different tasks.
-4. Pairs of different components are compared: first the best of each vertex and
-   component, then all that are left. Bounds by bitmaps and by 16 bits a shingle go
-   first, so that whole sets are sent for few pairs.
-
-Comparisons are exact. Links left out join vertices that are in one component
-already, so components are those of all links.
+number of copies. Links are found in these steps:
+
+1. Spark deals the vertices to groups: in any fixed order of shingles, two sets that
+   link share a shingle of their prefixes, so each shingle of a prefix names a group.
+   Frequent shingles come last in the order, so passages that many documents hold
+   hardly ever name one. Groups with much the same members are one.
+2. In each group the vertices are the leaves of signature trees, in order of size; nodes
+   hold an OR-combined bitmap, the range of sizes and the components below. A dual traversal
+   goes down a pair of nodes only if their largest possible overlap may reach the
+   threshold and they aren't all of one component. It is the only source of candidates.
+3. Rounds of joining: groups are cut into small cells, and each vertex keeps its best and
+   its first candidate of its cell. These pairs, two a vertex at most, are compared exactly,
+   and links join components. Later rounds take one vertex of each component of a group.
+4. What is left is done in full: groups that still hold several components are cut into blocks by size and
+   hash, and each pair of blocks whose sizes allow a link is a task with a tree for each
+   block. Vertices that have a candidate there get their whole set sent to the task,
+   which compares exactly and puts out no more links than join its components.
+
+No step puts out more than a few rows for each vertex of a group, so groups of copies of any
+size give rows in proportion to their members. Comparisons are exact, and links left out
+join vertices that are in one component already: components are those of all links.
 
 Edge cases: null and empty texts and texts without words have the empty set, are
 linked with nothing and form their own component; repeated rows are copies; a
@@ -49,18 +48,21 @@ BITMAP_BITS = 2048
 HOT_TABLE = 1 << 17
 HOT_IN_TASK = 8
 COUNT_AT_ONCE = 1 << 22
+#: Members and shingles of a block of the last step, at most on average.
 BLOCK_MEMBERS = 2048
-SHORT_LIST = 32
+BLOCK_SHINGLES = 1 << 20
+#: Members of a cell of the rounds of joining, on average.
+CELL_MEMBERS = 256
 LEAF = 16
 FANOUT = 8
 #: Pairs of nodes that a task compares at a time.
-NODE_PAIRS = 1 << 12
+NODE_PAIRS = 1 << 13
 FILTER_BITS = 1 << 26
 #: Shingles of this rank (eight times the binary logarithm of the count) have long lists.
 SALTED_RANK = 80
 SALTS = 16
-#: Passes over long lists with other leads.
-LEADS = 3
+#: Rounds of joining at most; the last step is exact after any number of them.
+ROUNDS = 4
 
 
 def shingle_hashes(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -281,8 +283,9 @@ def sets_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
     made = rows.mapInArrow(make, "doc_id long, vertex long, n long, shingles array<long>")
-    # rows that share a doc_id may hold several texts: the vertex decides
-    return made.join(vertices, ["vertex", "doc_id"], "left_semi").drop("doc_id")
+    # rows that share a doc_id, or have none, may hold several texts: the vertex decides
+    wanted_rows = vertices.select(F.col("vertex").alias("v"), F.col("doc_id").alias("d"))
+    return made.join(wanted_rows, (F.col("vertex") == F.col("v")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").drop("doc_id")
 
 
 def _as_batch(ids: list, vertex: list, sets: list) -> pa.RecordBatch:
@@ -297,36 +300,27 @@ class Comparer:
     def __init__(self, docs: DataFrame, vertices: DataFrame, percent: int):
         self.docs, self.vertices, self.percent, self.kept = docs, vertices, percent, []
 
-    def _sets(self) -> DataFrame:
+    def _kept(self) -> DataFrame:
         out = self.kept[0]
         for t in self.kept[1:]:
             out = out.unionByName(t)
         return out
 
-    def _fetch(self, pairs: DataFrame) -> DataFrame:
-        """The sets of all members of pairs, made now if they weren't before."""
-        members = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
+    def sets(self, members: DataFrame) -> DataFrame:
+        """(vertex, n, shingles) with all of ``members`` (vertex), which are made now if they weren't before."""
+        members = members.distinct()
         if self.kept:
-            members = members.join(self._sets().select("vertex"), "vertex", "left_anti")
+            members = members.join(self._kept().select("vertex"), "vertex", "left_anti")
         members = written(self.vertices.select("vertex", "doc_id").join(members, "vertex"), "members")
         if not self.kept or not members.isEmpty():
             self.kept.append(written(sets_of(self.docs, members), "shingles"))
         drop_written(members)
-        return self._sets()
-
-    def may_link(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that may link by the upper 16 bits of their shingles: a bound close to the exact number, at a quarter of the size."""
-        few = self._fetch(pairs).select("vertex", "n", F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 48).cast("smallint"))).alias("u"))
-        x = few.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))
-        y = few.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"))
-        both = pairs.select("a", "b").join(x, "a").join(y, "b")
-        # shingles that fall together in their own set may all be common
-        most = F.size(F.array_intersect("ua", "ub")) + F.least(F.col("na") - F.size("ua"), F.col("nb") - F.size("ub"))
-        return written(both.where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b"), "close")
+        # repeated rows give a set more than once
+        return self._kept().dropDuplicates(["vertex"])
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs that link."""
-        sets = self._fetch(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))))
         x = sets.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
         both = pairs.select("a", "b").join(x, "a").join(y, "b")
@@ -370,203 +364,246 @@ class Classes:
         return True
 
 
-def least_common(na: Column, nb: Column, percent: int) -> Column:
-    """How many prefix shingles two sets of these sizes share if they link.
+class Forest:
+    """Signature trees over consecutive rows: ``bounds`` says where the rows of each tree begin, and where the last ends.
 
-    Of the set whose prefix ends first, all prefix shingles that the other has are in
-    the other's prefix too; those behind the prefix can't make up for the rest.
+    Level 0 has the rows themselves, in order of size within a tree; every tree has one node at the top level.
     """
-    overlap = F.ceil(percent * (na + nb) / (100 + percent))
-    return F.greatest(F.lit(1), overlap - F.ceil(percent * F.greatest(na, nb) / 100) + 1)
-
-
-def may_be_near(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
-
-class Tree:
-    """A signature tree over members in order of size. Level 0 has the members themselves."""
-
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, components: np.ndarray):
-        self.levels = [(bitmaps, sizes, sizes, np.bitwise_count(bitmaps).sum(axis=1), components, components)]
+    def __init__(self, bounds: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, components: np.ndarray):
+        self.levels = [(bitmaps, sizes, sizes, np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64), components, components)]
+        self.children: list[tuple[np.ndarray, np.ndarray]] = []
         step = LEAF
-        while len(self.levels[-1][1]) > 1:
+        while len(self.levels) == 1 or (np.diff(bounds) > 1).any():
             bitmap, low, high, bits, first, last = self.levels[-1]
-            at = np.arange(0, len(low), step)
+            nodes = -(-np.diff(bounds) // step)
+            above = np.concatenate([[0], np.cumsum(nodes)])
+            at = np.repeat(bounds[:-1], nodes) + step * (np.arange(above[-1]) - np.repeat(above[:-1], nodes))
+            self.children.append((at, np.append(at[1:], bounds[-1])))
             self.levels.append((np.bitwise_or.reduceat(bitmap, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(bits, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
-            step = FANOUT
+            bounds, step = above, FANOUT
 
-    def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        step = LEAF if level == 1 else FANOUT
-        below = len(self.levels[level - 1][1])
-        first = node * step
-        return first, np.minimum(first + step, below)
 
+def may_link(level: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether members below nodes i and j may link and aren't all of one component.
 
-def may_link(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether members below nodes i and j may link.
-
-    A member of a has at most its size, less its bits that no member of b sets, in
-    common with one of b; its bits that b sets are at most the common bits of the nodes.
+    A member of i has at most its size, less its bits that no member of j sets, in
+    common with one of j; its bits that j sets are at most the common bits of the nodes.
     """
-    common = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1).astype(np.int64)
-    overlap = np.minimum(a[2][i] - np.maximum(a[3][i].astype(np.int64) - common, 0), b[2][j] - np.maximum(b[3][j].astype(np.int64) - common, 0))
-    least = np.maximum(a[1][i], b[1][j])
-    # union is at least the larger set, and at most what the two sizes leave
-    one = (a[4][i] == a[5][i]) & (b[4][j] == b[5][j]) & (a[4][i] == b[4][j])
-    return (100 * overlap >= percent * least) & ~one
+    bitmap, low, high, bits, first, last = level
+    common = np.bitwise_count(bitmap[i] & bitmap[j]).sum(axis=1, dtype=np.int64)
+    overlap = np.minimum(high[i] - np.maximum(bits[i] - common, 0), high[j] - np.maximum(bits[j] - common, 0))
+    one = (first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j])
+    return (100 * overlap >= percent * np.maximum(low[i], low[j])) & ((100 + percent) * overlap >= percent * (low[i] + low[j])) & ~one
 
 
-def dual_traversal(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members of two trees that may link, in pieces; of a tree with itself each pair once.
+def dual_traversal(forest: Forest, trees_a: np.ndarray, trees_b: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the trees a and b, one by one, that may link, in pieces; of a tree with itself each pair once.
 
     Goes down depth first with NODE_PAIRS pairs at a time, so its memory does not depend on how many pairs there are.
     """
-    todo = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    todo = [(len(forest.levels) - 1, trees_a, trees_b)]
     while todo:
-        level_a, level_b, i, j = todo.pop()
+        level, i, j = todo.pop()
         if len(i) > NODE_PAIRS:
-            todo.append((level_a, level_b, i[NODE_PAIRS:], j[NODE_PAIRS:]))
+            todo.append((level, i[NODE_PAIRS:], j[NODE_PAIRS:]))
             i, j = i[:NODE_PAIRS], j[:NODE_PAIRS]
-        keep = may_link(a.levels[level_a], b.levels[level_b], i, j, percent)
+        keep = may_link(forest.levels[level], i, j, percent)
         i, j = i[keep], j[keep]
-        if a is b:
-            # of two nodes of one level the first comes first; a node meets itself
-            ordered = (i <= j) if level_a else (i < j)
-            if level_a == level_b:
-                i, j = i[ordered], j[ordered]
         if not len(i):
             continue
-        if not level_a and not level_b:
+        if not level:
             yield i, j
             continue
-        down_a, down_b = level_a >= level_b, level_b >= level_a
-        if down_a:
-            first, end = a.children(level_a, i)
-            n = end - first
-            j = np.repeat(j, n)
-            i = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        if down_b:
-            first, end = b.children(level_b, j)
-            n = end - first
-            i = np.repeat(i, n)
-            j = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        todo.append((level_a - down_a, level_b - down_b, i, j))
-
-
-def tree_candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """(task, side, vertex, n, bitmap, component) -> (a, b, weight) pairs of different components that may link.
-
-    Sides 0 and 1 of a task are joined with each other; side 2 with itself.
-    """
+        first, end = forest.children[level - 1]
+        wide = end[j] - first[j]
+        pairs = (end[i] - first[i]) * wide
+        at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        wide = np.repeat(wide, pairs)
+        a, b = np.repeat(first[i], pairs) + at // wide, np.repeat(first[j], pairs) + at % wide
+        # a node with itself: each pair of children once
+        once = ~np.repeat(i == j, pairs) | (a < b) | ((a == b) & (level > 1))
+        todo.append((level - 1, a[once], b[once]))
+
+
+def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by ``task`` as tables of whole tasks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[0].column("task")[0] != batch.column("task")[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        last = int(runs(batch.column("task").to_numpy())[-2])
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def task(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            side, vertex, n, component = (table.column(c).to_numpy() for c in ("side", "vertex", "n", "component"))
-            bitmaps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(n), -1)
-            trees = {s: (vertex[side == s], Tree(n[side == s], bitmaps[side == s], component[side == s]), component[side == s]) for s in np.unique(side)}
-            x = trees.get(2) or trees.get(0)
-            y = trees.get(2) or trees.get(1)
-            if x is None or y is None:
-                return
-            for i, j in dual_traversal(x[1], y[1], percent):
-                other = x[2][i] != y[2][j]
-                a, b = x[0][i[other]], y[0][j[other]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "weight"])
-
-        def tasks(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            at = runs(table.column("task").to_numpy())
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if hi < len(table) or last:
-                    yield from task(table.slice(lo, hi - lo).combine_chunks())
-                else:
-                    held.extend(table.slice(lo).to_batches())
 
-        for batch in batches:
-            table = pa.Table.from_batches([*held, batch])
-            held = []
-            yield from tasks(table, last=False)
-        if held:
-            table, held = pa.Table.from_batches(held), []
-            yield from tasks(table, last=True)
+def planted(table: pa.Table, bitmaps: np.ndarray) -> tuple[Forest, np.ndarray, np.ndarray]:
+    """A forest with one tree for each side of each task, and the pairs of trees to join: side 0 with side 1, side 2 with itself."""
+    task, side = table.column("task").to_numpy(), table.column("side").to_numpy()
+    bounds = np.unique(np.concatenate([runs(task), runs(side)]))
+    forest = Forest(bounds, table.column("n").to_numpy(), bitmaps, table.column("component").to_numpy())
+    t, s = task[bounds[:-1]], side[bounds[:-1]]
+    tree = np.arange(len(t))
+    facing = np.flatnonzero((t[1:] == t[:-1]) & (s[:-1] == 0) & (s[1:] == 1))
+    return forest, np.concatenate([tree[s == 2], facing]), np.concatenate([tree[s == 2], facing + 1])
 
-    return lists.mapInArrow(join, "a long, b long, weight long")
 
+def packed(column: pa.ChunkedArray) -> np.ndarray:
+    """[rows, words]: a column of bitmaps."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-def mixed_lists(lists: DataFrame, classes: Classes) -> DataFrame:
-    """(token, vertex, n, component, size): posting lists that hold several components."""
-    whole = classes.of(lists.select("token", "vertex", "n"), "vertex", "component")
-    mixed = whole.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("token", "size")
-    return whole.join(mixed, "token").select("token", "vertex", "n", "component", "size")
 
+TASK_COLUMNS = ["task", "side", "vertex", "n", "component"]
 
-def lead_pairs(lists: DataFrame, number: int, percent: int) -> DataFrame:
-    """(a, b, weight): members of mixed lists with a lead of another component, a different lead each time.
 
-    Only lists that have this lead count towards what two sets share, so half of what a link needs is enough here.
-    """
-    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("vertex", F.lit(number)).alias("h"), "vertex", "n", "component")).alias("l"))
-    met = lists.join(lead, "token").where(F.col("component") != F.col("l.component"))
-    na, nb = F.col("na"), F.col("nb")
-    counted = met.groupBy(F.col("l.vertex").alias("a"), F.col("vertex").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("common"))
-    counted = counted.where(may_be_near(na, nb, percent) & (2 * F.col("common") >= least_common(na, nb, percent)))
-    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("common").alias("weight"))
+def partners(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight): for members b of tasks their candidate with most common bits, and their first candidate (weight 0)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_task(batches):
+            vertex = table.column("vertex").to_numpy()
+            forest, trees_a, trees_b = planted(table, packed(table.column("bitmap")))
+            bitmap, bits = forest.levels[0][0], forest.levels[0][3]
+            n = len(vertex)
+            best, lead = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+            order = np.argsort(vertex, kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            for i, j in dual_traversal(forest, trees_a, trees_b, percent):
+                common = np.bitwise_count(bitmap[i] & bitmap[j]).sum(axis=1, dtype=np.int64)
+                weight = (common << 12) // np.maximum(bits[i] + bits[j] - common, 1) << 32
+                for x, y in ((i, j), (j, i)):
+                    np.maximum.at(best, x, weight + (n - rank[y]))
+                    np.minimum.at(lead, x, rank[y])
+            has = np.flatnonzero(best >= 0)
+            near, first = vertex[order[n - (best[has] & 0xFFFFFFFF)]], vertex[order[lead[has]]]
+            other = first < vertex[has]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([near, first[other]])), pa.array(np.concatenate([vertex[has], vertex[has][other]])), pa.array(np.concatenate([best[has] >> 32, np.zeros(other.sum(), np.int64)]))], names=["a", "b", "weight"])
+
+    return members.mapInArrow(find, "a long, b long, weight long")
+
+
+def flagged(members: DataFrame, percent: int) -> DataFrame:
+    """The members of tasks that have a candidate of another component there."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_task(batches):
+            forest, trees_a, trees_b = planted(table, packed(table.column("bitmap")))
+            component = forest.levels[0][4]
+            has = np.zeros(len(component), bool)
+            for i, j in dual_traversal(forest, trees_a, trees_b, percent):
+                other = component[i] != component[j]
+                has[i[other]] = has[j[other]] = True
+            yield from table.select(TASK_COLUMNS).filter(pa.array(has)).to_batches()
+
+    return members.mapInArrow(find, "task long, side int, vertex long, n long, component long")
+
+
+def bits_of(sets: list[np.ndarray]) -> np.ndarray:
+    """[sets, words]: the bitmaps of sets of shingles."""
+    out = np.zeros((len(sets), BITMAP_BITS), bool)
+    for i, s in enumerate(sets):
+        out[i, s >> np.uint64(53)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def links_of_tasks(members: DataFrame, percent: int) -> DataFrame:
+    """(task, side, vertex, n, component, shingles) -> (a, b): exact links that join the components of a task."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_task(batches):
+            vertex, component, task = (table.column(c).to_numpy() for c in ("vertex", "component", "task"))
+            lists = table.column("shingles").combine_chunks()
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sets = [np.sort(flat[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            forest, trees_a, trees_b = planted(table, bits_of(sets))
+            above: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(x: tuple[int, int], above: dict = above) -> tuple[int, int]:
+                while x in above:
+                    x = above[x]
+                return x
+
+            out: list[tuple[int, int]] = []
+            for i, j in dual_traversal(forest, trees_a, trees_b, percent):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = root((int(task[x]), int(component[x]))), root((int(task[y]), int(component[y])))
+                    if p == q:
+                        continue
+                    s, t = sets[x], sets[y]
+                    inter = int(np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s))
+                    if 100 * inter >= percent * (len(s) + len(t) - inter):
+                        above[max(p, q)] = min(p, q)
+                        out.append((int(vertex[x]), int(vertex[y])))
+            a, b = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, weight) of lists of at most SHORT_LIST members that share enough prefix shingles."""
-    members = lists.groupBy("token").agg(F.collect_list(F.struct("vertex", "n", "component")).alias("m"))
-    partners = lambda x: F.filter("m", lambda y: (y["vertex"] > x["vertex"]) & (y["component"] != x["component"]) & may_be_near(x["n"], y["n"], percent))
-    found = F.flatten(F.transform("m", lambda x: F.transform(partners(x), lambda y: F.struct(x["vertex"].alias("a"), y["vertex"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
-    pairs = members.select(F.explode(found).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("common"))
-    return pairs.where(F.col("common") >= least_common(F.col("na"), F.col("nb"), percent)).select("a", "b", F.col("common").alias("weight"))
+    return members.mapInArrow(find, "a long, b long")
 
 
-def bundles(lists: DataFrame) -> DataFrame:
-    """(token, vertex, component, size): lists with much the same members as one list of all their members.
+def groups_of(shared: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(task, vertex, n): the lists of shingles with much the same members as one group of all their members.
 
     A passage gives many such lists, each with the same pairs. Two minima of hashes of the members are the key: lists that share them are alike.
     """
+    hot = F.shiftrightunsigned("token", 56) >= SALTED_RANK
     first, second = F.min(F.xxhash64("vertex", F.lit("first"))), F.min(F.xxhash64("vertex", F.lit("second")))
-    keys = lists.groupBy("token").agg(F.xxhash64(first, second).alias("bundle"))
-    rows = lists.join(keys, "token").select(F.col("bundle").alias("token"), "vertex", "component").distinct()
-    sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
-    return rows.join(sizes, "token")
-
+    keys = shared.groupBy("token").agg(F.xxhash64(first, second).alias("task"))
+    # long lists meet their key in parts
+    keys = keys.select("token", "task", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    salted = shared.select("token", "vertex", F.when(hot, F.pmod(F.xxhash64("vertex"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"))
+    return salted.join(keys, ["token", "salt"]).select("task", "vertex").distinct().join(vertices.select("vertex", "n"), "vertex")
+
+
+def mixed_groups(groups: DataFrame, classes: Classes) -> DataFrame:
+    """(task, vertex, n, component, size) of groups that hold several components."""
+    whole = written(classes.of(groups.select("task", "vertex", "n"), "vertex", "component"), "whole")
+    mixed = written(whole.groupBy("task").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("task", "size"), "mixed")
+    out = written(whole.join(mixed, "task").select("task", "vertex", "n", "component", "size"), "groups")
+    drop_written(whole, mixed)
+    return out
 
-def lists_by_task(lists: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Long lists, in bundles, dealt to tasks: a very long one is cut into blocks, and its pairs of blocks are tasks."""
-    rows = bundles(lists).withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks").cast("long")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"), F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
-    rows = rows.select("token", "vertex", "component", F.explode(others).alias("o"))
-    rows = rows.select(F.xxhash64("token", "o.x", "o.y").alias("task"), F.col("o.side").alias("side"), "vertex", "component")
-    return rows.join(vertices.select("vertex", "n", "bitmap"), "vertex").repartition("task").sortWithinPartitions("task", "side", "n", "vertex").select("task", "side", "vertex", "n", "bitmap", "component")
 
+def planted_rows(rows: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Rows of tasks with their bitmaps, dealt and in the order of the trees."""
+    rows = rows.select(*TASK_COLUMNS).join(vertices.select("vertex", "bitmap"), "vertex")
+    return rows.repartition("task").sortWithinPartitions("task", "side", "n", "vertex").select(*TASK_COLUMNS, "bitmap")
 
-def within_bitmaps(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """(a, b, weight): pairs that may link by their bitmaps: bits that only one set has are shingles that only it has."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64) for c in ("xa", "xb"))
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64))
-            yield batch.select(["a", "b", "weight"]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+def cells(groups: DataFrame, number: int) -> DataFrame:
+    """Groups cut into cells by hash; after the first round one member of each component of a group, another one each time."""
+    if number:
+        one = groups.groupBy("task", "component").agg(F.min(F.struct(F.xxhash64("vertex", F.lit(number)).alias("h"), "vertex", "n", "size")).alias("m"))
+        groups = one.select("task", "component", "m.vertex", "m.n", "m.size")
+    cell = F.pmod(F.xxhash64("vertex", F.lit(-1 - number)), F.ceil(F.col("size") / CELL_MEMBERS).cast("long"))
+    return groups.select(F.xxhash64("task", cell).alias("task"), F.lit(2).alias("side"), "vertex", "n", "component")
 
-    small = lambda v: vertices.select(F.col("vertex").alias(v), F.col("n").alias(f"n{v}"), F.col("bitmap").alias(f"x{v}"))
-    both = pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "weight", "na", "nb", "xa", "xb")
-    return both.mapInArrow(check, "a long, b long, weight long")
 
+def blocks(groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs of blocks of the groups whose sizes allow a link, as tasks; a small group is one block.
 
-def best_partners(pairs: DataFrame, classes: Classes, per_component: bool) -> DataFrame:
-    """(a, b, weight, place): pairs of different components; place orders the partners of b, or those it has in one component, by weight."""
-    live = classes.of(classes.of(pairs.select("a", "b", "weight"), "a", "ra"), "b", "rb").where("ra != rb")
-    group = ["b", "ra"] if per_component else ["b"]
-    return live.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("weight").desc(), "a"))).select("a", "b", "weight", "place")
+    A block holds sets of one class of sizes. Classes meet if their ranges of sizes allow a link, which few of a group's classes do.
+    """
+    small = groups.where(F.col("size") <= BLOCK_MEMBERS).select("task", F.lit(2).alias("side"), "vertex", "n", "component")
+    large = groups.where(F.col("size") > BLOCK_MEMBERS).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int"))
+    number = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    ranges = large.groupBy("task", "class").agg(number.alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"))
+    other = ranges.select("task", F.col("class").alias("other"), F.col("blocks").alias("others"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    allowed = (100 * F.col("high2") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("low2"))
+    near = ranges.join(other, "task").where(allowed).select("task", "class", "blocks", "other", "others")
+    met = large.join(near, ["task", "class"]).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks").cast("long")).cast("int"))
+    met = met.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    here, there = F.struct("class", "block"), F.struct(F.col("other").alias("class"), F.col("at").alias("block"))
+    side = F.when(here == there, 2).when(here < there, 0).otherwise(1)
+    met = met.select(F.xxhash64("task", F.least(here, there), F.greatest(here, there)).alias("task"), side.alias("side"), "vertex", "n", "component")
+    return small.unionByName(met)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -575,40 +612,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "vertex")
     vertices = written(found.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("doc_id"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "vertices")
     shared = written(shared_tokens(postings(docs, hot_order(found), percent)), "lists")
-    compare, classes = Comparer(docs, vertices, percent), Classes()
-    # every list member with its component (itself, so far) and its list's length
-    members = mixed_lists(shared.select("token", "vertex").distinct().join(vertices.select("vertex", "n"), "vertex"), classes)
-    short = written(short_list_pairs(members.where(F.col("size") <= SHORT_LIST), percent), "pairs")
-    long = written(members.where(F.col("size") > SHORT_LIST), "long")
+    groups = written(groups_of(shared, vertices), "groups")
     drop_written(shared)
-    # first each vertex is compared with its best partner, from short lists or the leads of long ones
-    for number in range(LEADS):
-        pairs = lead_pairs(long, number, percent)
-        best = written(best_partners(pairs if number else pairs.unionByName(short), classes, per_component=False).where("place = 1"), "best")
-        more = not best.isEmpty() and classes.join(compare.linked(best))
-        drop_written(best)
-        if not more and number:
-            break
-        old, long = long, written(mixed_lists(long, classes), "long")
+    compare, classes = Comparer(docs, vertices, percent), Classes()
+    for number in range(ROUNDS):
+        old, groups = groups, mixed_groups(groups, classes)
         drop_written(old)
-    # then what two bounds leave of the other pairs: for each vertex its best partner of each other component, and all the rest
-    every = short.unionByName(tree_candidates(lists_by_task(long, vertices), percent)).groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    pairs = written(within_bitmaps(best_partners(every, classes, per_component=True).drop("place"), vertices, percent), "pairs")
-    drop_written(short, long)
-    for most in (1, None):
-        turn = written(best_partners(pairs, classes, per_component=True), "turn")
-        drop_written(pairs)
-        pairs = turn
-        if turn.isEmpty():
+        nearest = partners(planted_rows(cells(groups, number), vertices), percent)
+        best = nearest.groupBy("b").agg(F.max(F.struct("weight", "a")).getField("a").alias("near"), F.min("a").alias("first"))
+        pairs = best.select("b", F.explode(F.array("near", "first")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
+        links = None if pairs.isEmpty() else compare.linked(pairs)
+        joined = links is not None and classes.join(links)
+        drop_written(pairs, *([links] if links is not None else []))
+        if not joined:
             break
-        close = compare.may_link(turn if most is None else turn.where(F.col("place") <= most))
-        classes.join(compare.linked(close))
-        drop_written(close)
-        pairs = turn.where(F.col("place") > (most or 0))
-    drop_written(pairs)
+    old, groups = groups, mixed_groups(groups, classes)
+    drop_written(old)
+    rest = written(flagged(planted_rows(blocks(groups, percent), vertices), percent), "rest")
+    if not rest.isEmpty():
+        sets = compare.sets(rest.select("vertex")).select("vertex", "shingles")
+        links = written(links_of_tasks(rest.join(sets, "vertex").repartition("task").sortWithinPartitions("task", "side", "n", "vertex").select(*TASK_COLUMNS, "shingles"), percent), "linked")
+        classes.join(links)
+        drop_written(links)
+    drop_written(rest, groups)
     compare.close()
     inner = classes.of(vertices.select("vertex", "doc_id"), "vertex", "root")
     least = inner.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = written(inner.join(least, "root").select("vertex", "component_id"), "classes")
+    if classes.roots is not None:
+        drop_written(classes.roots)
+    drop_written(vertices)
     out = rows.join(named, "vertex", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

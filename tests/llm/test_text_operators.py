@@ -40,8 +40,8 @@ def brute_components(rows):
     return {rows[i][0]: min(groups[find(i)]) for i in range(len(rows))}, {rows[i][0]: len(sets[i]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "rounds", "cell", "block"), [(1, 4, 256, 2048), (2, 4, 4, 8), (3, 0, 256, 2048), (4, 0, 4, 8)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, seed, rounds, cell, block):
     """Groups of near copies in chains, a passage that most texts hold, short texts, copies."""
     rng = np.random.default_rng(seed)
     passage = list(rng.choice(WORDS, 30))
@@ -56,11 +56,9 @@ def test_near_duplicates_match_brute_force(spark, seed):
             for _ in range(int(rng.integers(0, 3))):
                 base[int(rng.integers(len(base)))] = str(rng.choice(WORDS))
     rows += [(len(rows) + i, t) for i, t in enumerate(["", None, "   ", "A b", "a B", "one", rows[0][1]])]
-    near_duplicates.SHORT_LIST, kept = 4, near_duplicates.SHORT_LIST  # long lists take the trees
-    try:
-        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    finally:
-        near_duplicates.SHORT_LIST = kept
+    for name, value in (("ROUNDS", rounds), ("CELL_MEMBERS", cell), ("BLOCK_MEMBERS", block)):
+        monkeypatch.setattr(near_duplicates, name, value)  # with no round, all is left to the last step
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     component, size = brute_components(rows)
     assert {r.doc_id: r.component_id for r in got} == component
     assert {r.doc_id: r.n_shingles for r in got} == size
@@ -68,8 +66,14 @@ def test_near_duplicates_match_brute_force(spark, seed):
 
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, "a b c d e f g", 0), (1, "a b c d e f g", 0), (None, "a b c d e f g", 0), (2, "\U0001f600 " * 50_000, 0)]
+    # a chain through a text that only rows without a doc_id have, more than once
+    w = [f"x{i}" for i in range(40)]
+    chain = [" ".join(w), " ".join([*w[:36], "y", "y", "y", "y"]), " ".join(["z", "z", "z", "z", *w[4:36], "y", "y", "y", "y"])]
+    rows += [(5, chain[0], 0), (None, chain[1], 0), (None, chain[1], 0), (6, chain[2], 0)]
+    # two texts of one doc_id
+    rows += [(7, "one text of this number", 0), (7, "and quite another text with it", 0)]
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, vertex int")).collect()
-    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 2)]
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (0, 5), (0, 5), (1, 1), (1, 1), (2, 2), (5, 5), (6, 5), (7, 7), (7, 7)]
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -84,8 +88,11 @@ def test_dual_traversal_finds_every_link():
     for i, s in enumerate(sets):
         bitmaps[i, s >> np.uint64(53)] = True
     packed = np.packbits(bitmaps, axis=1).view(np.uint64)
-    tree = near_duplicates.Tree(np.array([len(s) for s in sets]), packed, np.arange(len(sets)))
-    found = {pair for i, j in near_duplicates.dual_traversal(tree, tree, 80) for pair in zip(i, j, strict=True)}
+    n = len(sets)
+    forest = near_duplicates.Forest(np.array([0, n]), np.array([len(s) for s in sets]), packed, np.arange(n))
+    pieces = [pair for i, j in near_duplicates.dual_traversal(forest, np.zeros(1, int), np.zeros(1, int), 80) for pair in zip(i, j, strict=True)]
+    found = set(pieces)
+    assert len(found) == len(pieces)
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
             common = len(np.intersect1d(sets[i], sets[j]))
