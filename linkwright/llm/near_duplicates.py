@@ -11,11 +11,12 @@ number of copies. Links are found in these steps:
    hold an OR-combined bitmap, the range of sizes and the components below. A dual traversal
    goes down a pair of nodes only if their largest possible overlap may reach the
    threshold and they aren't all of one component. It is the only source of candidates.
-3. Rounds of joining: groups are cut into small cells, and each vertex keeps its best and
-   its first candidate of its cell. These pairs, two a vertex at most, are compared exactly,
-   and links join components. Later rounds take one vertex of each component of a group.
+3. Rounds of joining: each member of a group that has candidates keeps its best and its first one; large
+   groups are cut into small cells for this. These pairs, two a vertex at most, are compared exactly,
+   and links join components. Members of small groups without a candidate are done.
+   Later rounds take the rest, and of large groups one vertex of each component.
 4. What is left is done in full: groups that still hold several components are cut into blocks by size and
-   hash, and each pair of blocks whose sizes allow a link is a task with a tree for each
+   hash, and each pair of blocks whose sizes allow a link is a task with trees for each
    block. Vertices that have a candidate there get their whole set sent to the task,
    which compares exactly and puts out no more links than join its components.
 
@@ -44,7 +45,10 @@ from linkwright.llm.text_arrays import WHITE, Slice, mix, runs, slices, words
 
 SHINGLE = 5
 PERCENT = 80
+#: Bits of the bitmap of a set of at most ``BITMAP_SET`` shingles; twice as many for each doubling of the set, up to class ``MOST_CLASS``.
 BITMAP_BITS = 2048
+BITMAP_SET = 512
+MOST_CLASS = 6
 HOT_TABLE = 1 << 17
 HOT_IN_TASK = 8
 COUNT_AT_ONCE = 1 << 22
@@ -61,8 +65,9 @@ FILTER_BITS = 1 << 26
 #: Shingles of this rank (eight times the binary logarithm of the count) have long lists.
 SALTED_RANK = 80
 SALTS = 16
-#: Rounds of joining at most; the last step is exact after any number of them.
+#: Rounds of joining at most, and the share of compared pairs that must link for another; the last step is exact after any number of them.
 ROUNDS = 4
+WORTHWHILE = 0.05
 
 
 def shingle_hashes(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +128,19 @@ def vertex_of(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0].view(np.int64))
 
 
+def bitmap_class(n: np.ndarray | int) -> np.ndarray:
+    """Sets that link are of one class or of two that follow."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / BITMAP_SET)), 0, MOST_CLASS).astype(np.int64)
+
+
+def bitmap_of(s: np.ndarray) -> bytes:
+    """The bitmap of a set. The upper half laid over the lower one is the bitmap of half as many bits."""
+    bits = BITMAP_BITS << int(bitmap_class(len(s)))
+    out = np.zeros(bits, bool)
+    out[s & np.uint64(bits - 1)] = True
+    return np.packbits(out).tobytes()
+
+
 def documents_and_hot(docs: DataFrame) -> DataFrame:
     """(kind, id, n, vertex, bitmap): kind 0 has documents with their set's size, vertex and bitmap, kind 1 shingles that a task saw often and their counts."""
 
@@ -144,9 +162,7 @@ def documents_and_hot(docs: DataFrame) -> DataFrame:
             n, vertex, bitmaps = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for i, s in _sets(batch.column("text")):
                 n[i], vertex[i] = len(s), vertex_of(s)
-                bits = np.zeros(BITMAP_BITS, bool)
-                bits[s >> np.uint64(53)] = True
-                bitmaps[i] = np.packbits(bits).tobytes()
+                bitmaps[i] = bitmap_of(s)
                 waiting.append(s)
                 held += len(s)
                 if held > COUNT_AT_ONCE:
@@ -444,50 +460,62 @@ def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def planted(table: pa.Table, bitmaps: np.ndarray) -> tuple[Forest, np.ndarray, np.ndarray]:
-    """A forest with one tree for each side of each task, and the pairs of trees to join: side 0 with side 1, side 2 with itself."""
-    task, side = table.column("task").to_numpy(), table.column("side").to_numpy()
-    bounds = np.unique(np.concatenate([runs(task), runs(side)]))
-    forest = Forest(bounds, table.column("n").to_numpy(), bitmaps, table.column("component").to_numpy())
-    t, s = task[bounds[:-1]], side[bounds[:-1]]
-    tree = np.arange(len(t))
-    facing = np.flatnonzero((t[1:] == t[:-1]) & (s[:-1] == 0) & (s[1:] == 1))
-    return forest, np.concatenate([tree[s == 2], facing]), np.concatenate([tree[s == 2], facing + 1])
-
+def candidates(table: pa.Table, bitmaps: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, weight): pairs of rows of a task that may link: side 0 with side 1, side 2 with itself. The weight is the share of common bits in 4096.
 
-def packed(column: pa.ChunkedArray) -> np.ndarray:
-    """[rows, words]: a column of bitmaps."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    For each class of bitmaps there is a forest: its sets, and those of the next class with their bitmaps folded.
+    """
+    task, side, n, component = (table.column(c).to_numpy() for c in ("task", "side", "n", "component"))
+    classes = bitmap_class(n)
+    for c in np.unique(classes):
+        at = np.flatnonzero((classes == c) | (classes == c + 1))
+        above = classes[at] > c
+        words = BITMAP_BITS << int(c) >> 6
+        bits = np.zeros((len(at), words), np.uint64)
+        bits[~above] = np.frombuffer(b"".join(bitmaps[i] for i in at[~above]), np.uint64).reshape(-1, words)
+        wide = np.frombuffer(b"".join(bitmaps[i] for i in at[above]), np.uint64).reshape(-1, 2 * words)
+        bits[above] = wide[:, :words] | wide[:, words:]
+        # a tree for each task, side and class
+        bounds = np.unique(np.concatenate([runs(task[at]), runs(side[at]), runs(above)]))
+        t, s, u = task[at][bounds[:-1]], side[at][bounds[:-1]], above[bounds[:-1]]
+        own = np.flatnonzero((s == 2) & ~u)
+        a, b = [own], [own]
+        for step in (1, 2, 3):
+            x = np.arange(max(len(t) - step, 0))
+            y = x + step
+            x = x[(t[x] == t[y]) & ~(u[x] & u[y]) & (((s[x] == 0) & (s[y] == 1)) | ((s[x] == 2) & (s[y] == 2)))]
+            a.append(x)
+            b.append(x + step)
+        forest = Forest(bounds, n[at], bits, component[at])
+        count = forest.levels[0][3]
+        for i, j in dual_traversal(forest, np.concatenate(a), np.concatenate(b), percent):
+            common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+            yield at[i], at[j], (common << 12) // np.maximum(count[i] + count[j] - common, 1)
 
 
 TASK_COLUMNS = ["task", "side", "vertex", "n", "component"]
 
 
 def partners(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, weight): for members b of tasks their candidate with most common bits, and their first candidate (weight 0)."""
+    """(task, b, near, first, weight): members b of tasks that have candidates, with the one with most common bits and the first one."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_task(batches):
-            vertex = table.column("vertex").to_numpy()
-            forest, trees_a, trees_b = planted(table, packed(table.column("bitmap")))
-            bitmap, bits = forest.levels[0][0], forest.levels[0][3]
+            vertex, task = table.column("vertex").to_numpy(), table.column("task")
             n = len(vertex)
             best, lead = np.full(n, -1, np.int64), np.full(n, n, np.int64)
             order = np.argsort(vertex, kind="stable")
             rank = np.empty(n, np.int64)
             rank[order] = np.arange(n)
-            for i, j in dual_traversal(forest, trees_a, trees_b, percent):
-                common = np.bitwise_count(bitmap[i] & bitmap[j]).sum(axis=1, dtype=np.int64)
-                weight = (common << 12) // np.maximum(bits[i] + bits[j] - common, 1) << 32
+            for i, j, weight in candidates(table, table.column("bitmap").to_pylist(), percent):
                 for x, y in ((i, j), (j, i)):
-                    np.maximum.at(best, x, weight + (n - rank[y]))
+                    np.maximum.at(best, x, (weight << 32) + (n - rank[y]))
                     np.minimum.at(lead, x, rank[y])
             has = np.flatnonzero(best >= 0)
             near, first = vertex[order[n - (best[has] & 0xFFFFFFFF)]], vertex[order[lead[has]]]
-            other = first < vertex[has]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([near, first[other]])), pa.array(np.concatenate([vertex[has], vertex[has][other]])), pa.array(np.concatenate([best[has] >> 32, np.zeros(other.sum(), np.int64)]))], names=["a", "b", "weight"])
+            yield pa.RecordBatch.from_arrays([task.take(pa.array(has)).combine_chunks(), *map(pa.array, (vertex[has], near, first, best[has] >> 32))], names=["task", "b", "near", "first", "weight"])
 
-    return members.mapInArrow(find, "a long, b long, weight long")
+    return members.mapInArrow(find, "task long, b long, near long, first long, weight long")
 
 
 def flagged(members: DataFrame, percent: int) -> DataFrame:
@@ -495,10 +523,9 @@ def flagged(members: DataFrame, percent: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_task(batches):
-            forest, trees_a, trees_b = planted(table, packed(table.column("bitmap")))
-            component = forest.levels[0][4]
+            component = table.column("component").to_numpy()
             has = np.zeros(len(component), bool)
-            for i, j in dual_traversal(forest, trees_a, trees_b, percent):
+            for i, j, _ in candidates(table, table.column("bitmap").to_pylist(), percent):
                 other = component[i] != component[j]
                 has[i[other]] = has[j[other]] = True
             yield from table.select(TASK_COLUMNS).filter(pa.array(has)).to_batches()
@@ -506,14 +533,6 @@ def flagged(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(find, "task long, side int, vertex long, n long, component long")
 
 
-def bits_of(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, words]: the bitmaps of sets of shingles."""
-    out = np.zeros((len(sets), BITMAP_BITS), bool)
-    for i, s in enumerate(sets):
-        out[i, s >> np.uint64(53)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
-
-
 def links_of_tasks(members: DataFrame, percent: int) -> DataFrame:
     """(task, side, vertex, n, component, shingles) -> (a, b): exact links that join the components of a task."""
 
@@ -523,7 +542,6 @@ def links_of_tasks(members: DataFrame, percent: int) -> DataFrame:
             lists = table.column("shingles").combine_chunks()
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
             sets = [np.sort(flat[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            forest, trees_a, trees_b = planted(table, bits_of(sets))
             above: dict[tuple[int, int], tuple[int, int]] = {}
 
             def root(x: tuple[int, int], above: dict = above) -> tuple[int, int]:
@@ -532,7 +550,7 @@ def links_of_tasks(members: DataFrame, percent: int) -> DataFrame:
                 return x
 
             out: list[tuple[int, int]] = []
-            for i, j in dual_traversal(forest, trees_a, trees_b, percent):
+            for i, j, _ in candidates(table, [bitmap_of(s) for s in sets], percent):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     p, q = root((int(task[x]), int(component[x]))), root((int(task[y]), int(component[y])))
                     if p == q:
@@ -562,11 +580,15 @@ def groups_of(shared: DataFrame, vertices: DataFrame) -> DataFrame:
     return salted.join(keys, ["token", "salt"]).select("task", "vertex").distinct().join(vertices.select("vertex", "n"), "vertex")
 
 
-def mixed_groups(groups: DataFrame, classes: Classes) -> DataFrame:
-    """(task, vertex, n, component, size) of groups that hold several components."""
+def mixed_groups(groups: DataFrame, classes: Classes, percent: int) -> DataFrame:
+    """(task, vertex, n, component, size) of groups that hold several components; of a small group the members that have another of a size that allows a link."""
     whole = written(classes.of(groups.select("task", "vertex", "n"), "vertex", "component"), "whole")
     mixed = written(whole.groupBy("task").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("task", "size"), "mixed")
-    out = written(whole.join(mixed, "task").select("task", "vertex", "n", "component", "size"), "groups")
+    found = whole.join(mixed, "task").select("task", "vertex", "n", "component", "size")
+    by_size = Window.partitionBy("task").orderBy("n", "vertex")
+    small = found.where(F.col("size") <= BLOCK_MEMBERS).withColumn("below", F.lag("n").over(by_size)).withColumn("over", F.lead("n").over(by_size))
+    small = small.where((100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("over"))).drop("below", "over")
+    out = written(small.unionByName(found.where(F.col("size") > BLOCK_MEMBERS)), "groups")
     drop_written(whole, mixed)
     return out
 
@@ -578,12 +600,14 @@ def planted_rows(rows: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def cells(groups: DataFrame, number: int) -> DataFrame:
-    """Groups cut into cells by hash; after the first round one member of each component of a group, another one each time."""
+    """Small groups, and large ones cut into cells by hash: after the first round one member of each component, another one each time."""
+    small, large = (groups.where(F.col("size") <= BLOCK_MEMBERS), groups.where(F.col("size") > BLOCK_MEMBERS))
     if number:
-        one = groups.groupBy("task", "component").agg(F.min(F.struct(F.xxhash64("vertex", F.lit(number)).alias("h"), "vertex", "n", "size")).alias("m"))
-        groups = one.select("task", "component", "m.vertex", "m.n", "m.size")
+        one = large.groupBy("task", "component").agg(F.min(F.struct(F.xxhash64("vertex", F.lit(number)).alias("h"), "vertex", "n", "size")).alias("m"))
+        large = one.select("task", "component", "m.vertex", "m.n", "m.size")
     cell = F.pmod(F.xxhash64("vertex", F.lit(-1 - number)), F.ceil(F.col("size") / CELL_MEMBERS).cast("long"))
-    return groups.select(F.xxhash64("task", cell).alias("task"), F.lit(2).alias("side"), "vertex", "n", "component")
+    large = large.withColumn("task", F.xxhash64("task", cell))
+    return small.select("task", F.lit(2).alias("side"), "vertex", "n", "component").unionByName(large.select("task", F.lit(2).alias("side"), "vertex", "n", "component"))
 
 
 def blocks(groups: DataFrame, percent: int) -> DataFrame:
@@ -615,19 +639,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = written(groups_of(shared, vertices), "groups")
     drop_written(shared)
     compare, classes = Comparer(docs, vertices, percent), Classes()
+    compared: list[DataFrame] = []
     for number in range(ROUNDS):
-        old, groups = groups, mixed_groups(groups, classes)
+        old, groups = groups, mixed_groups(groups, classes, percent)
         drop_written(old)
-        nearest = partners(planted_rows(cells(groups, number), vertices), percent)
-        best = nearest.groupBy("b").agg(F.max(F.struct("weight", "a")).getField("a").alias("near"), F.min("a").alias("first"))
+        nearest = written(partners(planted_rows(cells(groups, number), vertices), percent), "nearest")
+        # members of small groups without a candidate are done; what is left of a group goes on
+        old_groups, groups = groups, written(groups.where(F.col("size") > BLOCK_MEMBERS).unionByName(groups.join(nearest.select("task", F.col("b").alias("vertex")), ["task", "vertex"], "left_semi").where(F.col("size") <= BLOCK_MEMBERS)), "groups")
+        best = nearest.groupBy("b").agg(F.max(F.struct("weight", "near")).getField("near").alias("near"), F.min("first").alias("first"))
         pairs = best.select("b", F.explode(F.array("near", "first")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        links = None if pairs.isEmpty() else compare.linked(pairs)
-        joined = links is not None and classes.join(links)
-        drop_written(pairs, *([links] if links is not None else []))
-        if not joined:
+        for old in compared:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        compared.append(written(pairs, "pairs"))
+        drop_written(old_groups, nearest)
+        n_pairs = compared[-1].count()
+        if not n_pairs:
+            break
+        links = compare.linked(compared[-1])
+        n_links = links.count()
+        classes.join(links)
+        drop_written(links)
+        if n_links < WORTHWHILE * n_pairs:
             break
-    old, groups = groups, mixed_groups(groups, classes)
+    drop_written(*compared)
+    old, groups = groups, mixed_groups(groups, classes, percent)
     drop_written(old)
     rest = written(flagged(planted_rows(blocks(groups, percent), vertices), percent), "rest")
     if not rest.isEmpty():
@@ -639,9 +674,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     compare.close()
     inner = classes.of(vertices.select("vertex", "doc_id"), "vertex", "root")
     least = inner.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(inner.join(least, "root").select("vertex", "component_id"), "classes")
-    if classes.roots is not None:
-        drop_written(classes.roots)
-    drop_written(vertices)
-    out = rows.join(named, "vertex", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = inner.join(least, "root").select("vertex", "component_id")
+    joined = rows.join(named, "vertex", "left")
+    out = written(joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "duplicates")
+    drop_written(found, vertices, *([classes.roots] if classes.roots is not None else []))
+    return out

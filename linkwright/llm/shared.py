@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "linkwright-work")
+    """The shared folder that the session names. There is no other: a folder of one machine is of no use to the rest of a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -58,3 +58,8 @@ def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Colum
     valued = valued.withColumn("_in", F.coalesce(F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     both = valued.alias("a").join(sums.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, chunk)])
     return both.select("a.*", (F.col("b._before") + F.col("a._in")).cast("long").alias(name)).drop("_v", "_in")
+
+
+def ordered(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """A written table with a column ``_range`` that cuts groups into ranges of the order, as running_total() wants them, whatever their size."""
+    return written(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id()), "ranges")
