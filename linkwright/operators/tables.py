@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import usable_id, usable_isrc
+from linkwright.sources.store import saved
 
 
 def stable_key(isrc: Column, source: Column, original_id: Column, *recording: Column) -> Column:
@@ -47,17 +48,23 @@ def cache_state(row_version: dict[str, Column], current: dict[str, Column], deci
     return F.when(decision == "user_confirmed", "use").when(dropped, "miss").when(any_old, "rescore").otherwise("use")
 
 
-def chunked(df: DataFrame, order: str, size: int, group: str | None = None) -> DataFrame:
-    """Adds the number of the chunk of ``size`` rows."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
+def chunked(df: DataFrame, order: str, size: int, group: str) -> DataFrame:
+    """Adds the number of the chunk of ``size`` rows within the group."""
+    w = Window.partitionBy(group).orderBy(order)
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
 def rolling_count(df: DataFrame, group: str, ts: str, seconds: int) -> DataFrame:
-    """Adds how many rows of the group fall in the last ``seconds``, the row itself included; the far end is open."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(group).orderBy("_at").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("_at", at).withColumn("recent", F.count("*").over(w)).drop("_at")
+    """Adds how many rows of the group fall in the last ``seconds``, the row itself included; the far end is open.
+
+    Time is cut into stretches of that length, and each row goes into the next one too, uncounted: a group
+    with most of the rows is spread over its stretches.
+    """
+    micros = seconds * 1_000_000
+    at = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    both = at.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_stretch", F.floor(F.col("_at") / micros) + F.when(F.col("_own"), 0).otherwise(1))
+    w = Window.partitionBy(group, "_stretch").orderBy("_at").rangeBetween(-micros + 1, 0)
+    return both.withColumn("recent", F.count("*").over(w)).where("_own").drop("_at", "_own", "_stretch")
 
 
 def failure_runs(df: DataFrame, group: str, order: str, failed: Column) -> DataFrame:
@@ -75,10 +82,33 @@ def aborted_after(df: DataFrame, group: str, order: str, fatal: Column) -> DataF
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
-    """The value at the 0-based place min(floor(n * share), n - 1) of each group in order."""
-    w = Window.partitionBy(group)
-    placed = df.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    return placed.where(F.col("_i") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(group, F.col(value).alias(f"{value}_p"))
+    """The value at the 0-based place min(floor(n * share), n - 1) of each group in order.
+
+    Equal values are counted first, and running totals are taken by ranges of values, so a group with most of the rows isn't sorted in one task.
+    """
+    counted = df.groupBy(group, value).agg(F.count("*").alias("_c"))
+    dealt = saved(counted.repartitionByRange(F.col(group), F.col(value)).withColumn("_range", F.spark_partition_id()), "ranges")
+    placed = running_total(dealt, [group], "_range", [F.col(value)], F.col("_c"), "_before")
+    wanted = dealt.groupBy(F.col(group).alias("_g")).agg(F.sum("_c").alias("_n")).withColumn("_place", F.least(F.floor(F.col("_n") * share), F.col("_n") - 1))
+    both = placed.join(wanted, F.col(group).eqNullSafe(F.col("_g")))
+    return both.where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_c"))).select(group, F.col(value).alias(f"{value}_p"))
+
+
+def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row of its group.
+
+    Rows are ordered by ``chunk`` (a column that cuts a group into even pieces)
+    and then by ``order``. Only the sums of chunks meet in one place: a group of
+    any size is spread over its chunks.
+    """
+    valued = df.withColumn("_v", value)
+    sums = valued.groupBy(*group, chunk).agg(F.sum("_v").alias("_s"))
+    each = Window.partitionBy(*[F.col(g) for g in group]).orderBy(chunk)
+    sums = sums.withColumn("_sums_before", F.coalesce(F.sum("_s").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(*[F.col(g) for g in group], F.col(chunk)).orderBy(*order)
+    valued = valued.withColumn("_in", F.coalesce(F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = valued.alias("a").join(sums.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, chunk)])
+    return both.select("a.*", (F.col("b._sums_before") + F.col("a._in")).cast("long").alias(name)).drop("_v", "_in")
 
 
 def merge_schema(*tables: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
@@ -89,3 +119,17 @@ def merge_schema(*tables: DataFrame, defaults: dict[str, Column] | None = None)
     for c, v in (defaults or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), v) if c in out.columns else v)
     return out
+
+
+def failure_of(outcomes: DataFrame, key: str, kinds: list[str], default: str = "no_match") -> DataFrame:
+    """(key, kind): of each key's outcomes (key, kind) the kind that stands first in ``kinds``; ``default`` where it has none of them."""
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    gravest = F.min(F.when(place > 0, F.struct(place.alias("place"), "kind")))
+    return outcomes.groupBy(key).agg(F.coalesce(gravest.getField("kind"), F.lit(default)).alias("kind"))
+
+
+def retry_after(outcomes: DataFrame, key: str, default: float = 10.0) -> DataFrame:
+    """(key, retry_after): the wait that the first rate-limited outcome with one asks for, for keys with a rate-limited outcome."""
+    limited = outcomes.where("kind = 'rate_limited'")
+    first = F.min(F.when(F.col("retry_after").isNotNull(), F.struct("ordinal", "retry_after")))
+    return limited.groupBy(key).agg(F.coalesce(first.getField("retry_after").cast("double"), F.lit(default)).alias("retry_after"))
