@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.components import connected_components
-from linkwright.llm.shared import drop_written, written
+from linkwright.llm.shared import drop_written, row_digest, written
 from linkwright.llm.text_arrays import WHITE, Slice, mix, runs, slices, words
 
 SHINGLE = 5
@@ -142,10 +142,10 @@ def bitmap_of(s: np.ndarray) -> bytes:
 
 
 def documents_and_hot(docs: DataFrame) -> DataFrame:
-    """(kind, id, n, vertex, bitmap): kind 0 has documents with their set's size, vertex and bitmap, kind 1 shingles that a task saw often and their counts."""
+    """(kind, id, row, n, vertex, bitmap): kind 0 has documents with their row's digest and their set's size, vertex and bitmap, kind 1 shingles that a task saw often and their counts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "vertex", "bitmap"]
+        names = ["kind", "id", "row", "n", "vertex", "bitmap"]
         waiting: list[np.ndarray] = []
         held = 0
         counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -167,13 +167,14 @@ def documents_and_hot(docs: DataFrame) -> DataFrame:
                 held += len(s)
                 if held > COUNT_AT_ONCE:
                     counts, waiting, held = merged(), [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(n), pa.array(vertex, pa.int64()), pa.array(bitmaps, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(vertex, pa.int64()), pa.array(bitmaps, pa.binary())], names=names)
         counts = merged()
         often = counts[1] >= HOT_IN_TASK
         x, n = counts[0][often], counts[1][often]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x.view(np.int64)), pa.array(n), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x.view(np.int64)), pa.nulls(len(x), pa.int64()), pa.array(n), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "kind int, id long, n long, vertex long, bitmap binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest().alias("row"), "text")
+    return texts.mapInArrow(make, "kind int, id long, row long, n long, vertex long, bitmap binary")
 
 
 def hot_order(found: DataFrame) -> np.ndarray:
@@ -631,9 +632,9 @@ def blocks(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id, row (its row's digest) and component (a digest; null without words)."""
     found = written(documents_and_hot(docs), "sets")
-    rows = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "vertex")
+    rows = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "vertex", "row")
     vertices = written(found.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("doc_id"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "vertices")
     shared = written(shared_tokens(postings(docs, hot_order(found), percent)), "lists")
     groups = written(groups_of(shared, vertices), "groups")
@@ -674,8 +675,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     compare.close()
     inner = classes.of(vertices.select("vertex", "doc_id"), "vertex", "root")
     least = inner.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = inner.join(least, "root").select("vertex", "component_id")
+    named = inner.join(least, "root").select("vertex", "component_id", F.col("root").alias("component"))
     joined = rows.join(named, "vertex", "left")
-    out = written(joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "duplicates")
+    out = written(joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row", "component"), "duplicates")
     drop_written(found, vertices, *([classes.roots] if classes.roots is not None else []))
     return out

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkwright.sources.store import saved
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -14,20 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names. There is no other: a folder of one machine is of no use to the rest of a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back, which cuts the lineage for good."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df, tag)
 
 
 def drop_written(*tables: DataFrame) -> None:
@@ -39,25 +28,13 @@ def drop_written(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+def row_digest() -> Column:
+    """Tells rows apart that share a doc_id or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over the rows before each row of its group.
-
-    Rows are ordered by ``chunk`` (a column that cuts a group into even pieces)
-    and then by ``order``. Only the sums of chunks meet in one place: a group of
-    any size is spread over its chunks.
-    """
-    valued = df.withColumn("_v", value)
-    sums = valued.groupBy(*group, chunk).agg(F.sum("_v").alias("_s"))
-    each = Window.partitionBy(*[F.col(g) for g in group]).orderBy(chunk)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = Window.partitionBy(*[F.col(g) for g in group], F.col(chunk)).orderBy(*order)
-    valued = valued.withColumn("_in", F.coalesce(F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    both = valued.alias("a").join(sums.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, chunk)])
-    return both.select("a.*", (F.col("b._before") + F.col("a._in")).cast("long").alias(name)).drop("_v", "_in")
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def ordered(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
