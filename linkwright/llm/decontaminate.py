@@ -14,13 +14,16 @@ windows begin at every word.
 Before the walk, windows with too many foreign words are left out: some window
 of an item within the distance has no more edits than its share (no word is in more
 than ``overlap`` of them), and the words left must be words of some item. That
-bound and the table of wanted keys are bitmaps of a fixed size, so what goes to
-the tasks doesn't grow with the benchmark. Keys are joined by Spark, and each
-candidate's edit distance is computed exactly.
+bound and the wanted keys go to the tasks as bitmaps of ``FILTER_BITS`` bits a value (one key in a
+thousand passes by chance), and of 2^``MOST_FILTER`` bits at most. Beyond that size more windows
+pass, and none is lost, for keys are then joined by Spark. Only documents with a wanted key
+leave their task, as word hashes. Each candidate is compared exactly: first
+the words that both sides hold, then the edit distance.
 
 Edge cases: null and empty texts and items take no part; items of fewer than
 ``LEAST_WORDS`` words are compared as wholes of that length, without edits;
-repeated rows give one result; empty tables give no rows; other columns are ignored.
+repeated rows give one result; a null doc_id or item_id is kept as null (rows of one doc_id, or of none, give
+one result for each item and text); very long texts are read whole; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.text_arrays import ALNUM, mix, slices, words
+from linkwright.llm.shared import drop_written, row_digest, written
+from linkwright.llm.text_arrays import ALNUM, mix, runs, slices, words
 
-BITMAP_BITS = 22
+FILTER_BITS = 64
+MOST_FILTER = 28
 LEAST_WORDS = 8
 #: Length classes: an item of n words belongs to the largest that is at most n.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 19, 24, 30, 38, 48)
@@ -112,49 +117,67 @@ def cgk_keys(symbols: np.ndarray, tosses: list[np.ndarray], starts: np.ndarray,
     return keys
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+class Filter:
+    """A bitmap that holds values by ``probes`` bits each."""
+
+    def __init__(self, words: np.ndarray, bits: int, probes: int):
+        self.words, self.bits, self.probes = words, bits, probes
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(values.shape, bool)
+        for probe in range(self.probes):
+            # stretches of bits from the upper end of a hash
+            at = (values << np.uint64(probe * 31)) >> np.uint64(64 - self.bits)
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def _filter(values: DataFrame, probes: int) -> Filter:
+    """The filter of a column of hashes. Spark sets the bits: a sixty-fourth of their number comes back at most."""
+    name = values.columns[0]
+    bits = int(np.clip(np.ceil(np.log2(max(1, FILTER_BITS * values.count()))), 16, MOST_FILTER))
+    at = F.array(*[F.shiftrightunsigned(F.shiftleft(name, probe * 31), 64 - bits) for probe in range(probes)])
+    places = values.select(F.explode(at).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    found = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    if found.num_rows:
+        words[found.column("w").to_numpy()] = found.column("v").to_numpy().view(np.uint64)
+    return Filter(words, bits, probes)
 
 
 def item_table(items: DataFrame, share: float) -> DataFrame:
-    """(item_id, text) -> item_id, n, class_id, edits (of a window), symbols, and the keys of all windows with their offsets."""
+    """(item_id, text) -> item_id, item (a key), n, class_id, edits (of a window), symbols, and the keys of all windows with their offsets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 w = words(part, ALNUM)
                 h = w.hashes()
-                ids = batch.column("item_id").slice(part.first, len(part))
+                ids, numbers = (batch.column(c).slice(part.first, len(part)) for c in ("item_id", "item"))
                 sizes = np.diff(w.bounds)
-                out = [], [], [], [], [], [], []
+                out = [], [], [], [], [], [], [], []
                 for i in np.flatnonzero(sizes):
                     own = h[w.bounds[i] : w.bounds[i + 1]]
                     c, offsets, edits = item_windows(len(own), share)
                     keys = cgk_keys(own, coin_tosses(own), offsets, np.full(len(offsets), len(own)), c)
                     keys, offsets = keys.view(np.int64).ravel().tolist(), np.repeat(offsets, keys.shape[1]).tolist()
-                    for column, value in zip(out, (ids[int(i)].as_py(), len(own), c, edits, own.view(np.int64).tolist(), offsets, keys), strict=True):
+                    for column, value in zip(out, (ids[int(i)].as_py(), numbers[int(i)].as_py(), len(own), c, edits, own.view(np.int64).tolist(), offsets, keys), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "n", "class_id", "edits", "symbols", "offsets", "keys"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "item", "n", "class_id", "edits", "symbols", "offsets", "keys"])
 
-    kinds = "item_id long, n int, class_id int, edits int, symbols array<long>, offsets array<long>, keys array<long>"
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(make, kinds)
+    kinds = "item_id long, item long, n int, class_id int, edits int, symbols array<long>, offsets array<long>, keys array<long>"
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return rows.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").mapInArrow(make, kinds)
 
 
-def _bitmap(values: DataFrame) -> np.ndarray:
-    """A bitmap of a column of hashes, built by Spark: at most 2^BITMAP_BITS numbers come back."""
-    at = values.select(F.shiftrightunsigned(values.columns[0], 64 - BITMAP_BITS).alias("b")).distinct().toArrow().column("b").to_numpy()
-    out = np.zeros(1 << BITMAP_BITS, bool)
-    out[at] = True
-    return out
-
-
-def candidate_windows(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarray, classes: dict[int, int]) -> DataFrame:
-    """(doc_id, text) -> doc_id, key, start: windows with a wanted key. classes: the most edits in a window of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(vocabulary), np.packbits(wanted)))
+def candidates(docs: DataFrame, vocabulary: Filter, wanted: Filter, classes: dict[int, int]) -> DataFrame:
+    """(doc_id, text) -> doc_id, row, symbols, keys, starts: the documents with a wanted key. classes: the most edits in a window of each."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, wanted))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, wanted = (np.unpackbits(x).view(bool) for x in shared.value)
+        vocabulary, wanted = shared.value
         for batch in batches:
             for part in slices(batch.column("text")):
                 w = words(part, ALNUM)
@@ -163,7 +186,7 @@ def candidate_windows(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarra
                 if not n:
                     continue
                 tosses = coin_tosses(h)
-                known = np.concatenate([[0], np.cumsum(vocabulary[_bits(h)])])
+                known = np.concatenate([[0], np.cumsum(vocabulary(h))])
                 text_of = np.repeat(np.arange(len(part)), np.diff(w.bounds))
                 end = w.bounds[text_of + 1]
                 out = [], []
@@ -175,17 +198,26 @@ def candidate_windows(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarra
                     for lo in range(0, len(fits), WINDOWS_AT_ONCE):
                         starts = fits[lo : lo + WINDOWS_AT_ONCE]
                         keys = cgk_keys(h, tosses, starts, end[starts], c)
-                        row, column = np.nonzero(wanted[_bits(keys)])
+                        row, column = np.nonzero(wanted(keys))
                         out[0].append(starts[row])
                         out[1].append(keys[row, column])
-                if not out[0] or not sum(map(len, out[0])):
+                if not sum(map(len, out[0])):
                     continue
                 starts, keys = (np.concatenate(x) for x in out)
-                first = w.bounds[text_of[starts]]
-                ids = batch.column("doc_id").take(pa.array(part.first + text_of[starts]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(starts - first, pa.int64())], names=["doc_id", "key", "start"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, key long, start long")
+                order = np.argsort(starts, kind="stable")
+                starts, keys = starts[order], keys[order]
+                at = runs(text_of[starts])
+                texts = text_of[starts[at[:-1]]]
+                rows = batch.select(["doc_id", "row"]).take(pa.array(part.first + texts))
+                own = np.concatenate([h[w.bounds[t] : w.bounds[t + 1]] for t in texts])
+                lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, lists(np.concatenate([[0], np.cumsum(np.diff(w.bounds)[texts])]), own.view(np.int64)), lists(at, keys.view(np.int64)), lists(at, starts - w.bounds[text_of[starts]])],
+                    names=["doc_id", "row", "symbols", "keys", "starts"],
+                )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest().alias("row"), "text")
+    return texts.mapInArrow(find, "doc_id long, row long, symbols array<long>, keys array<long>, starts array<long>")
 
 
 def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -225,44 +257,55 @@ def _stretches(starts: list[int], n: int, edits: int) -> Iterator[tuple[int, int
         yield lo, hi
 
 
-def verified(pairs: DataFrame, docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """(doc_id, item_id, start) candidates -> those whose exact edit distance is allowed."""
-    near = pairs.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set("start")).alias("starts")).join(items.select("item_id", "n", "symbols"), "item_id")
-    near = near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "starts", "symbols")).alias("c"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def common_words(item: np.ndarray, text: np.ndarray) -> int:
+    """How many words of ``item`` the text holds, repeats counted: all others cost an edit."""
+    kinds, wanted = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+    return int(np.minimum(np.bincount(at[kinds[at] == text], minlength=len(kinds)), wanted).sum())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """(row, item, start) candidates -> those whose exact edit distance is allowed."""
+    near = pairs.groupBy("row", "item").agg(F.array_sort(F.collect_set("start")).alias("starts")).join(items.select("item", "item_id", "n", F.col("symbols").alias("words")), "item")
+    near = near.groupBy("row").agg(F.collect_list(F.struct("item_id", "n", "starts", "words")).alias("c"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_pairs = batch.column("doc_id").to_pylist(), batch.column("c")
-            out = [], [], [], [], []
-            for part in slices(batch.column("text")):
-                w = words(part, ALNUM)
-                h = w.hashes()
-                for i in range(len(part)):
-                    own = h[w.bounds[i] : w.bounds[i + 1]]
-                    for x in all_pairs[part.first + i].as_py():
-                        item = np.array(x["symbols"], np.int64).view(np.uint64)
-                        edits = int(allowed_edits(x["n"], share))
-                        for lo, hi in _stretches(x["starts"], x["n"], edits):
-                            distance, begin, end = edit_distance_within(item, own[lo:hi])
-                            if distance <= edits:
-                                for column, value in zip(out, (ids[part.first + i], x["item_id"], lo + begin, lo + end, distance), strict=True):
-                                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "item_id", "first_word", "end_word", "distance"])
-
-    found = texts.join(near, "doc_id").mapInArrow(verify, "doc_id long, item_id long, first_word long, end_word long, distance long")
-    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.distance").alias("distance"), F.col("b.first_word").alias("first_word"), F.col("b.end_word").alias("end_word"))
+            symbols = batch.column("symbols")
+            bounds, flat = symbols.offsets.to_numpy(), symbols.values.to_numpy()
+            ids, rows, all_pairs = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("c")
+            out = [], [], [], [], [], []
+            for i, doc_id in enumerate(ids):
+                own = flat[bounds[i] : bounds[i + 1]]
+                for x in all_pairs[i].as_py():
+                    item = np.array(x["words"], np.int64)
+                    edits = int(allowed_edits(x["n"], share))
+                    for lo, hi in _stretches(x["starts"], x["n"], edits):
+                        if common_words(item, own[lo:hi]) < x["n"] - edits:
+                            continue
+                        distance, begin, end = edit_distance_within(item, own[lo:hi])
+                        if distance <= edits:
+                            for column, value in zip(out, (doc_id, rows[i], x["item_id"], lo + begin, lo + end, distance), strict=True):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "row", "item_id", "first_word", "end_word", "distance"])
+
+    once = texts.select("doc_id", "row", "symbols").dropDuplicates(["row"])
+    found = once.join(near, "row").select("doc_id", "row", "symbols", "c").mapInArrow(verify, "doc_id long, row long, item_id long, first_word long, end_word long, distance long")
+    best = found.groupBy("doc_id", "row", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.distance").alias("distance"), F.col("b.first_word").alias("first_word"), F.col("b.end_word").alias("end_word"), "row")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> DataFrame:
-    """One row per document and benchmark item it holds within ``share`` of the item's words: doc_id, item_id, distance, place."""
-    items = item_table(benchmark, share)
-    vocabulary = _bitmap(items.select(F.explode("symbols")))
-    keys = items.select("item_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("offsets").alias("offset"))))
-    wanted = _bitmap(keys.select("key"))
+    """One row per document and benchmark item it holds within ``share`` of the item's words: doc_id, item_id, distance, place, row (its row's digest)."""
+    items = written(item_table(benchmark, share), "items")
+    vocabulary = _filter(items.select(F.explode("symbols").alias("s")).distinct(), 1)
+    keys = items.select("item", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("offsets").alias("offset"))))
+    wanted = _filter(keys.select("key"), 2)
     classes = {r["class_id"]: r["edits"] for r in items.groupBy("class_id").agg(F.max("edits").alias("edits")).orderBy("class_id").collect()}
-    found = candidate_windows(docs, vocabulary, wanted, classes)
+    texts = written(candidates(docs, vocabulary, wanted, classes), "candidates")
+    found = texts.select("row", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("starts").alias("start"))))
     # where the item would begin
-    pairs = found.join(keys, "key").select("doc_id", "item_id", (F.col("start") - F.col("offset")).alias("start")).distinct()
-    return verified(pairs, docs, items, share)
+    pairs = found.join(keys, "key").select("row", "item", (F.col("start") - F.col("offset")).alias("start")).distinct()
+    out = written(verified(pairs, texts, items, share), "contaminated")
+    drop_written(items, texts)
+    return out
