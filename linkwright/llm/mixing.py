@@ -4,21 +4,24 @@ The mix is a number of equal blocks of words; sources whose targets are but a fe
 blocks share finer blocks among themselves, so that each comes near its target. Seats (blocks) go to the sources
 by the highest quotients target / (2k + 1); house sizes grow shard by shard, so
 each shard has integer quotas of its own and the quotas of all shards add up to
-those of the whole. A source whose quota exceeds its blocks is read again from
-its start, three times at most. Its documents stand in a seeded order (a digest
-of seed and doc_id), so the first blocks of the last pass are a seeded choice.
+those of the whole.
+
+A source's documents stand in a seeded order (a digest of seed, doc_id and size), which is read again from its start
+when it ends, three times at most, and cut into blocks of that size. Its seats take the blocks in turn, shard by shard: its k-th seat
+has the k-th block. What the mix takes of a document is what the seats' blocks hold of it.
 
 Edge cases: a null text has size 0 and is never taken; null sources form one
 source that sorts last; an empty table gives an empty result; repeated rows
-count each; a source without words has target 0. Further columns are ignored.
+count each; very long texts are cut where a block ends; a source without words has target 0. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.shared import running_total, word_count
+from linkwright.llm.shared import drop_written, ordered, word_count, written
+from linkwright.operators.tables import running_total
 
 MOST_REPEATS = 3
 #: A source's target has so many blocks at least, unless blocks are single words.
@@ -34,26 +37,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     sources in the order of cap / weight, those that hit their cap come first.
     ``sizes`` has one row per source.
     """
-    everything = Window.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("_cap", F.lit(most) * F.col("source_size")).withColumn("_total", F.sum("source_size").over(everything))
-    tight_first = everything.orderBy((F.col("_cap") / F.col("weight")), F.col("source").asc_nulls_last())
-    before = tight_first.rowsBetween(Window.unboundedPreceding, -1)
-    after = tight_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = ranked.withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0))).withColumn("_weights", F.sum("weight").over(after))
-    ranked = ranked.withColumn("_share", F.col("_left") / F.col("_weights"))
-    ranked = ranked.withColumn("_capped", F.col("_cap") <= F.col("weight") * F.col("_share"))
+    name = F.col("source").asc_nulls_last()
+    dealt = ordered(sizes, [], [name])
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int"))
+    ranked = running_total(dealt, [], "_range", [name], F.lit(1), "_rank").select("source", "source_size", weight.alias("weight"), (F.lit(most) * F.col("source_size")).alias("_cap"))
+    tight_first = [F.col("_cap") / F.col("weight"), name]
+    by_cap = ordered(ranked, [], tight_first)
+    drop_written(dealt)
+    total, weight_of_all = by_cap.agg(F.sum("source_size"), F.sum("weight")).first()
+    sums = running_total(running_total(by_cap, [], "_range", tight_first, F.col("_cap"), "_caps"), [], "_range", tight_first, F.col("weight"), "_weights")
+    share = (F.lit(total or 0) - F.col("_caps")) / (F.lit(weight_of_all or 0) - F.col("_weights"))
+    shared = written(sums.withColumn("_share", share).withColumn("_capped", F.col("_cap") <= F.col("weight") * F.col("_share")), "shares")
+    drop_written(by_cap)
     # the first source below its cap has the share of all that follow; those computed after it are lower
-    ranked = ranked.withColumn("_level", F.max(F.when(~F.col("_capped"), F.col("_share"))).over(everything))
-    target = F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(F.col("weight") * F.col("_level"))
-    return ranked.withColumn("target", F.least(target, F.col("_cap").cast("double"))).drop("_cap", "_left", "_weights", "_share", "_capped", "_level")
+    level = shared.where(~F.col("_capped")).agg(F.max("_share")).first()[0]
+    target = F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(F.col("weight") * F.lit(level).cast("double"))
+    return shared.select("source", "source_size", "weight", F.lit(total or 0).alias("_total"), F.least(target, F.col("_cap").cast("double")).alias("target"))
 
 
-def sainte_lague(targets: DataFrame, blocks: int, shards: int, most: int = MOST_REPEATS, least: int = 1) -> DataFrame:
-    """Integer quotas: (source, shard, quota, block), one row per source and shard that has blocks.
+def seats(targets: DataFrame, blocks: int, shards: int, most: int = MOST_REPEATS, least: int = 1) -> DataFrame:
+    """(source, source_size, k, shard, block): the seats that sources win, with the size of their blocks in words.
 
-    A block has ``block`` words. Sources with a target below ``least`` blocks have finer
+    Sources with a target below ``least`` blocks have finer
     blocks and a house of their own: by powers of ``FINER``, until the target has ``least``
     blocks or a block is one word. A source gets no seat beyond ``most`` times its
     own blocks. Only seats are ranked: about ``blocks``, and at most ``least * FINER`` and one for each source with finer blocks.
@@ -61,31 +66,40 @@ def sainte_lague(targets: DataFrame, blocks: int, shards: int, most: int = MOST_
     block = F.greatest(F.lit(1), F.ceil(F.col("_total") / F.lit(blocks))).cast("long")
     steps = F.greatest(F.lit(0), F.ceil(F.log(block * least / F.col("target")) / F.log(F.lit(float(FINER))) - 1e-9))
     t = targets.where("target > 0").withColumn("block", F.greatest(F.lit(1), F.floor(block / F.pow(F.lit(float(FINER)), steps))).cast("long"))
-    # rounded: targets are shares of whole words; before seats are listed, so that each source counts once
-    t = t.withColumn("_house", F.ceil(F.round(F.sum("target").over(Window.partitionBy("block")), 3) / F.col("block")).cast("long"))
-    seats = t.select(
-        "source", "target", "block", "_house",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.ceil(F.col("target") / F.col("block")), most * F.ceil(F.col("source_size") / F.col("block")) - 1).cast("long"))).alias("k"),
-    )
-    order = Window.partitionBy("block").orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k")
-    won = seats.withColumn("seat", F.row_number().over(order) - 1).where(F.col("seat") < F.col("_house"))
-    return won.groupBy("source", F.floor(F.col("seat") * shards / F.col("_house")).cast("int").alias("shard"), "block").agg(F.count("*").alias("quota"))
-
-
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), blocks: int = 20000, shards: int = 8, seed: str = "mix-1") -> DataFrame:
-    """One row per document with the words the mix takes of it, repeats counted."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    rows = rows.withColumn("_chunk", F.substring("_order", 1, 3))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights)
-    quotas = sainte_lague(targets, blocks, shards, least=LEAST_BLOCKS).groupBy("source").agg((F.sum("quota") * F.max("block")).alias("_words"))
-    plan = targets.alias("t").join(quotas.alias("q"), F.col("t.source").eqNullSafe(F.col("q.source")), "left").select(
-        "t.source", "t.source_size", "t.target", F.least(F.coalesce("q._words", F.lit(0)), MOST_REPEATS * F.col("t.source_size")).alias("_words")
-    )
-    placed = running_total(rows, ["source"], "_chunk", [F.col("_order"), F.col("doc_id"), F.col("size")], F.col("size"), "_start")
-    both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    whole = F.when(F.col("p.source_size") > 0, F.floor(F.col("p._words") / F.greatest(F.col("p.source_size"), F.lit(1)))).otherwise(F.lit(0))
-    rest = F.col("p._words") - whole * F.col("p.source_size")
-    part = F.least(F.col("d.size"), F.greatest(F.lit(0), rest - F.col("d._start")))
-    return both.select("d.doc_id", "d.size", "p.source_size", F.col("p.target").alias("target"), (whole * F.col("d.size") + part).cast("long").alias("taken"))
+    # rounded: targets are shares of whole words
+    houses = t.groupBy("block").agg(F.round(F.sum("target"), 3).alias("_words")).select("block", F.ceil(F.col("_words") / F.col("block")).cast("long").alias("_house"))
+    last = F.least(F.ceil(F.col("target") / F.col("block")), most * F.ceil(F.col("source_size") / F.col("block")) - 1).cast("long")
+    asked = t.join(houses, "block").select("source", "source_size", "block", "_house", "target", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    order = [(F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), F.col("k")]
+    dealt = ordered(asked, ["block"], order)
+    won = running_total(dealt, ["block"], "_range", order, F.lit(1), "seat").where("seat < _house")
+    won = written(won.select("source", "source_size", "k", F.floor(F.col("seat") * shards / F.col("_house")).cast("int").alias("shard"), "block"), "seats")
+    drop_written(dealt)
+    return won
+
+
+def sainte_lague(targets: DataFrame, blocks: int, shards: int, most: int = MOST_REPEATS, least: int = 1) -> DataFrame:
+    """Integer quotas: (source, shard, quota, block), one row per source and shard that has blocks of ``block`` words."""
+    return seats(targets, blocks, shards, most, least).groupBy("source", "shard", "block").agg(F.count("*").alias("quota"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), blocks: int = 20000, shards: int = 8, seed: str = "mix-1", row: Column | None = None) -> DataFrame:
+    """One row per document with the words the mix takes of it, repeats counted, the shard that reads its first word first, and what ``row`` says of it."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string")))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (F.lit(None).cast("long") if row is None else row).alias("row"))
+    rows = written(rows.withColumn("_order", order), "sizes")
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    won = seats(targets, blocks, shards, least=LEAST_BLOCKS)
+    words = won.groupBy(F.col("source").alias("_s")).agg(F.max("block").alias("block"), F.sum("block").alias("_words"))
+    plan = targets.join(words, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "block", F.least(F.coalesce("_words", F.lit(0)), MOST_REPEATS * F.col("source_size")).alias("_words"))
+    placed = running_total(rows.withColumn("_chunk", F.substring("_order", 1, 3)), ["source"], "_chunk", [F.col("_order"), F.col("doc_id"), F.col("size")], F.col("size"), "_start")
+    both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.target", "p.block", "p._words")
+    # all words once for each time that the blocks go through the whole source, and those before the last block's end once more
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("_words") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_words") - whole * F.col("source_size") - F.col("_start")))
+    both = both.withColumn("taken", (whole * F.col("size") + part).cast("long"))
+    first = won.select(F.col("source").alias("_s"), F.col("k").alias("_k"), "shard")
+    both = both.join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.floor(F.col("_start") / F.col("block")) == F.col("_k")), "left")
+    out = written(both.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("shard")).alias("shard"), "row"), "mix")
+    drop_written(rows, won, targets)
+    return out
