@@ -7,8 +7,8 @@ the unit vectors of its training documents. The language with the largest cosine
 
 Edge cases: null texts and texts without letters get ``und`` and score 0; ties
 go to the language that sorts first; with no training rows every text gets
-``und``; repeated rows each get a row; an empty table gives no rows; other
-columns are ignored.
+``und``; repeated rows each get a row; very long texts are read whole; an empty table gives no rows; other
+columns are ignored; more than ``MOST_LANGUAGES`` languages are an error, none is left out.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from linkwright.llm.text_arrays import Slice, slices
 
 DIMENSIONS = 1024
-MOST_LANGUAGES = 1000
+#: Prototypes have 8 KB each; a column with more different values doesn't hold languages, and is an error.
+MOST_LANGUAGES = 20_000
 SMALL = 128
 ROWS_AT_ONCE = 256
 
-_LETTER = np.array([chr(i).isalpha() for i in range(0x30000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 class Encoder:
@@ -68,7 +69,7 @@ class Encoder:
         texts = [" " + raw[at[i] : at[i + 1]].decode("utf-8", "replace").lower() + " " for i in range(len(part))]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        is_letter = _LETTER[np.minimum(points, 0x2FFFF)]
+        is_letter = _LETTER[points]
         points = np.where(is_letter, points, 32)
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]
@@ -108,7 +109,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def learn_prototypes(train: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """(text, lang) -> languages in order and their unit prototypes; MOST_LANGUAGES bounds what comes to the driver."""
+    """(text, lang) -> languages in order and their unit prototypes; with more than MOST_LANGUAGES it raises an error."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions), {}
@@ -125,7 +126,9 @@ def learn_prototypes(train: DataFrame, dimensions: int = DIMENSIONS) -> tuple[li
 
     parts = train.select("text", "lang").where("lang is not null and text is not null").mapInArrow(bundle, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
-    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select("lang", F.transform("v", lambda s: s["x"]).alias("v")).orderBy("lang").limit(MOST_LANGUAGES).collect()
+    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select("lang", F.transform("v", lambda s: s["x"]).alias("v")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     return [r["lang"] for r in rows], _unit(np.array([r["v"] for r in rows])) if rows else np.zeros((0, dimensions))
 
 

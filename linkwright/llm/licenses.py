@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Copyright lines, in the form without punctuation.
-COPYRIGHT_LINE = r"^(?:(?:portions )?copyright (?:c |by |[0-9]{4})|c [0-9]{4} |(?:all|alle) rights? reserved$)"
-#: Fixed spellings that count as equal, replaced in this order in lower-case words between single spaces.
+#: Copyright statements, in the form without punctuation: to the end of the line or to the opening of a licence behind it.
+STATEMENT = r"(?:portions )?copyright (?:c |by |[0-9]{4}).*?( (?:permission is hereby granted|permission to use copy|redistribution and use|(?:this work is |this file is )?licensed under|released under|distributed under) .*|$)"
+COPYRIGHT_LINE = r"^(?:c [0-9]{4} |(?:all|alle) rights? reserved$)"
+#: Fixed spellings that count as equal, replaced in this order in lower-case words that have a space on each side of their own.
 SPELLINGS = [
-    ("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" open source ", " opensource "), ("organis", "organiz"),
-    ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), (" fulfil ", " fulfill "), (" version ", " "), (" the ", " "), (" https ", " "), (" http ", " "),
+    ("licenc", "licens"), (" version ", ""), (" the ", ""), (" https ", ""), (" http ", ""), (" sub  licens", " sublicens"), (" non  commercial", " noncommercial"),
+    (" open  source ", " opensource "), ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), (" fulfil ", " fulfill "),
 ]
 #: So many known texts at most are sent to all tasks; more are joined by shuffling.
 BROADCAST_ROWS = 50_000
@@ -51,22 +52,54 @@ _MIT_BODY = (
     "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
     "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
-#: Fixed whole licence texts.
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+    "laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit "
+    "of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+    'present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+    "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
+#: Fixed whole licence texts, with and without their headings.
 TEXTS = {
     "MIT": ["MIT License " + _MIT_BODY, _MIT_BODY, "The MIT License (MIT) " + _MIT_BODY],
     "ISC": [f"{t}{_PERMISSION}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}" for t in ("", "ISC License ")],
     "0BSD": [f"{t}{_PERMISSION}. {_ISC_END}" for t in ("", "Zero-Clause BSD ", "BSD Zero Clause License ")],
+    "BSD-2-Clause": [f"{t}{_BSD_START}{_BSD_END}" for t in ("", "BSD 2-Clause License ")],
+    "BSD-3-Clause": [f"{t}{_BSD_START}{_BSD_THIRD}{_BSD_END}" for t in ("", "BSD 3-Clause License ")],
+    "Unlicense": [_UNLICENSE, f"{_UNLICENSE} For more information, please refer to <https://unlicense.org>", f"{_UNLICENSE} For more information, please refer to <https://unlicense.org/>"],
 }
 
 
 def canonical(line: Column) -> Column:
-    """The form of a line that is digested; empty for copyright lines."""
+    """The form of a line that is digested; empty for copyright lines. A form is its own form."""
     form = F.regexp_replace(F.lower(F.replace(line, F.lit("&"), F.lit(" and "))), r"[^\p{L}\p{N}]+", " ")
-    form = F.concat(F.lit(" "), form, F.lit(" "))
+    # words that follow each other don't share a space, so that each is found
+    form = F.replace(F.concat(F.lit(" "), form, F.lit(" ")), F.lit(" "), F.lit("  "))
     for old, new in SPELLINGS:
         form = F.replace(form, F.lit(old), F.lit(new))
-    form = F.trim(form)
-    may_be = F.startswith(form, F.lit("copyright")) | F.startswith(form, F.lit("portions")) | F.startswith(form, F.lit("c ")) | F.startswith(form, F.lit("all"))
+    form = F.trim(F.replace(form, F.lit("  "), F.lit(" ")))
+    form = F.when(F.contains(form, F.lit("copyright ")), F.trim(F.regexp_replace(form, STATEMENT, "$1"))).otherwise(form)
+    may_be = F.startswith(form, F.lit("c ")) | F.startswith(form, F.lit("all"))
     return F.when(may_be & F.regexp_like(form, F.lit(COPYRIGHT_LINE)), "").otherwise(form)
 
 

@@ -10,10 +10,11 @@ def _quoted(text: str) -> str:
 
 
 def license_scan() -> str:
-    form = "concat(' ', regexp_replace(lower(replace(x, '&', ' and ')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')"
+    form = "replace(concat(' ', regexp_replace(lower(replace(x, '&', ' and ')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ', '  ')"
     for old, new in licenses.SPELLINGS:
         form = f"replace({form}, {_quoted(old)}, {_quoted(new)})"
-    form = f"trim({form})"
+    form = f"trim(replace({form}, '  ', ' '))"
+    form = f"trim(regexp_replace({form}, {_quoted(licenses.STATEMENT)}, '\\1', 'g'))"
     copyright_line = _quoted(licenses.COPYRIGHT_LINE)
     forms = f"list_filter(list_transform(list_transform(string_split(%s, chr(10)), lambda x: {form}), lambda f: CASE WHEN regexp_matches(f, {copyright_line}) THEN '' ELSE f END), lambda f: f <> '')"
     rows = [(k, t) for k, ts in licenses.TEXTS.items() for t in ts] + [(k, g.format(n)) for k, names in licenses.NAMES.items() for n in names for g in licenses.GRANTS]
@@ -35,7 +36,7 @@ def shards(n: int = 40) -> str:
  d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.OVERHEAD_BYTES} AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
  c AS (SELECT doc_id, size, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, x: xor(p[(xor(a, x) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, poly),
  r AS (SELECT c.*, a.shard, b.grown_shard FROM c JOIN ({last.format(name='wa', out='shard')}) a USING (doc_id) JOIN ({last.format(name='wb', out='grown_shard')}) b USING (doc_id))
- SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id::VARCHAR), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM r"""
+ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, size, text_crc32)), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM r"""
 
 
 def jaccard(size: int = 5, percent: int = 80) -> str:
@@ -50,7 +51,7 @@ def jaccard(size: int = 5, percent: int = 80) -> str:
 
 def mix(weights: tuple[int, ...] = (1, 2, 3), blocks: int = 20000, seed: str = "mix-1") -> str:
     most = mixing.MOST_REPEATS
-    return f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('{seed}:' || doc_id) AS o FROM documents),
+    return f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(concat_ws(':', '{seed}', doc_id, size)) AS o FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source), w AS (SELECT *, {list(weights)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1)::INT] AS weight, sum(source_size) OVER () AS total, {most} * source_size AS cap FROM s),
  c AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),
  v AS (SELECT *, cap <= weight * share AS capped, max(CASE WHEN cap > weight * share THEN share END) OVER () AS level FROM c),

@@ -4,7 +4,7 @@ The key is mixed to 64 bits and then jumps through ever larger bucket numbers
 until it would leave the range. With one more shard a row either stays or goes
 to the new shard, so no ring table has to be kept anywhere.
 
-Edge cases: a null key hashes as 0; a null or empty text has size 16 and the
+Edge cases: a null key hashes as 0, so rows without one go to the shard of 0; a null or empty text has size 16 and the
 checksum 0; repeated rows each get a slot of their own; an empty table gives an
 empty result; further columns of the input are ignored by shard_documents().
 """
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.shared import running_total
+from linkwright.operators.tables import running_total
 
 JUMP_FACTOR = 2862933555777941757
 OVERHEAD_BYTES = 16
@@ -53,7 +53,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """One row per document: its size, checksum, shard, place in the shard, and its shard if there were one more.
 
     ``slot`` numbers the rows of a shard from 0 without gaps. A shard is numbered
-    in 4096 pieces by a digest of the key, so that it needn't fit in a task.
+    in 4096 pieces by a digest of the row, so that neither it nor the rows of one key need fit in a task.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -63,7 +63,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
         F.lit("key").alias("law"),
     )
     rows = rows.withColumn("shard", jump_shard(F.col("doc_id"), n_shards)).withColumn("grown_shard", jump_shard(F.col("doc_id"), n_shards + 1))
-    rows = rows.withColumn("_chunk", F.substring(F.md5(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")), 1, 3))
+    rows = rows.withColumn("_chunk", F.substring(F.md5(F.concat_ws(":", "doc_id", "size", "text_crc32")), 1, 3))
     order = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     placed = running_total(rows, ["shard"], "_chunk", order, F.lit(1), "slot")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

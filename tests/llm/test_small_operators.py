@@ -158,6 +158,32 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.nearest_neighbours(few, few, 5).count() == 6
 
 
+def test_neighbours_with_repeated_rows_and_clashing_columns(spark):
+    """Rows of one vec_id are rows of their own: both are candidates, and queries that don't see themselves alone."""
+    rows = [(1, [1.0, 0.0]), (1, [15.0, 0.0]), (2, [2.0, 0.0]), (3, [3.0, 1.0]), (3, [3.0, 1.0]), (4, [0.5, 0.5])]
+    v = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "vec_id long, embedding array<double>, row int, query_id int, block int")
+    got = neighbours.nearest_neighbours(v, v.where("vec_id in (1, 2, 3)"), 3).collect()
+    best = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        best.setdefault((r.query_id, r.query_row), []).append((r.vec_id, r.score))
+    of = {q: [x for k, x in best.items() if k[0] == q] for q in (1, 2, 3)}
+    assert sorted(of[1]) == sorted([[(1, 15.0), (3, 3.0), (3, 3.0)], [(3, 45.0), (3, 45.0), (2, 30.0)]])
+    assert of[2] == [[(1, 30.0), (3, 6.0), (3, 6.0)]]
+    assert of[3] == [[(1, 45.0), (3, 10.0), (2, 6.0)]]
+
+
+def test_neighbours_recall_on_the_table(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = v.orderBy("vec_id").toPandas()
+    ids, x = x["vec_id"].to_numpy(), np.array(x["embedding"].tolist(), np.float64)
+    hits = []
+    for q, g in neighbours.nearest_neighbours(v, v.where("vec_id % 20 = 0"), 20).toPandas().groupby("query_id"):
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits.append(len(set(ids[np.argsort(-s)[:20]]) & set(g.vec_id)) / 20)
+    assert len(hits) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.95
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_neighbours_recall(spark, seed):
     x = np.random.default_rng(seed).normal(size=(6000, 32))
@@ -190,12 +216,12 @@ def test_neighbours_recall_with_unequal_norms(spark, sigma):
 def test_footrule_from_own_files_only():
     rng = np.random.default_rng(3)
     x, pivots = rng.normal(size=(50, 8)), neighbours.axis_pivots(8)
-    files, own = neighbours.inverted_files(x, pivots, 8), neighbours.prefixes(x, pivots, 8)
+    files, own = neighbours.InvertedFiles(x, pivots, 8), neighbours.prefixes(x, pivots, 8)
     place = np.full((50, 16), 8)
     for i in range(50):
         place[i, own[i]] = np.arange(8)
     for i in range(50):
-        assert (neighbours.footrule(files, own[i], 8) == np.abs(place - place[i]).sum(axis=1)).all()
+        assert (files.footrule(own[i]) == np.abs(place - place[i]).sum(axis=1)).all()
 
 
 def test_components(spark):
