@@ -3,25 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from linkwright.functions.arrow import normalized
+from linkwright.functions.notes import LANGUAGES, TAGS, WORK_SOURCE, tells_note
+from linkwright.functions.text import PLACEHOLDER_ARTISTS
 
-# Fixed tables: words of each version tag and of each language version.
-TAGS = {
-    "live": ["live", "现场", "现场版", "演唱会"], "remix": ["remix", "混音", "club mix", "extended mix", "dj版"], "instrumental": ["instrumental", "伴奏", "伴奏版", "纯伴奏", "karaoke", "卡拉ok", "off vocal"],
-    "acoustic": ["acoustic", "不插电"], "demo": ["demo", "小样", "试听版"], "cover": ["cover", "翻唱"], "remaster": ["remaster", "remastered", "重制", "重制版"], "piano": ["piano", "钢琴", "钢琴版"],
-    "guitar": ["guitar", "吉他", "吉他版"], "orchestral": ["orchestral", "交响", "管弦乐", "symphonic", "orchestra"], "radio_edit": ["radio edit", "电台版"], "deluxe": ["deluxe", "bonus track", "豪华版"],
-    "sped_up": ["sped up", "加速版"], "slowed": ["slowed", "慢速版"], "tv_size": ["tv size", "tv ver", "tv version", "anime ver", "anime version", "tv edit"],
-    "alternate_cut": ["director's cut", "directors cut", "ディレクターズカット", "special cut", "alternate cut"],
-}
-LANGUAGES = {
-    "japanese": ["japanese ver", "japan ver", "jp ver", "日语版", "日文版", "日本語ver", "日本語版"], "english": ["english ver", "eng ver", "英语版", "英文版", "英語ver", "英語版"],
-    "chinese": ["chinese ver", "chn ver", "中文版", "国语版", "普通话版", "華語版", "中国語ver", "中国語版"], "korean": ["korean ver", "kor ver", "韩语版", "韩文版", "韓国語ver", "韓国語版"],
-}
 CRITICAL_TAGS = ["live", "remix", "instrumental", "acoustic", "demo", "cover", "piano", "guitar", "orchestral", "sped_up", "slowed", "tv_size", "alternate_cut"]
 PROJECTS = ["hoyofair", "hoyo-mix", "hoyomix", "riot games music", "project sekai", "monstercat", "a-sketch", "vocaloid", "san-z", "三z-studio", "三z工作室", "bandai namco", "square enix music", "capcom sound team", "sega sound team", "nintendo", "arcaea", "rayark", "bilibili", "netease cloud music", "qq music", "mihoyo", "hypergryph", "塞壬唱片", "monster siren records", "siren records"]
 
@@ -46,11 +37,12 @@ def language_version(text: str) -> str | None:
     return next((lang for lang, words in LANGUAGES.items() if any(w in t for w in words)), None)
 
 
-def _is_note(text: str) -> bool:
-    t = normalized(text)
-    return len(t) < 2 or bool(version_tags(t)) or language_version(t) is not None or bool(re.search(r"(?:版|现场|伴奏|\bver\.?|\bversion|\bmix|\bedit|\bost)$", t)) or bool(re.match(r"(?:prod\b|produced by|from\s|主题曲|插曲|片[头尾]曲|电视剧|电影|动画|游戏)", t))
+def _annotates(text: str) -> bool:
+    """Whether a part of a title describes a version of the work; a tag anywhere in it is enough."""
+    return tells_note(text) or bool(version_tags(text)) or language_version(text) is not None
 
 
+@lru_cache(1 << 16)
 def parse_title(title: str | None) -> dict:
     """core, tags, language, credits, work source, covered entity, and the title's own variants."""
     raw = (title or "").strip()
@@ -60,17 +52,17 @@ def parse_title(title: str | None) -> dict:
     for inner in (m.group(1).strip() for m in _BRACKET.finditer(core)):
         hit = _COVERED.match(inner)
         covered = covered or (hit.group(1).strip() if hit else None)
-        if re.search(r"(?i)(?:电视剧|电影|动画|游戏|原声带|主题曲|片[头尾]曲|插曲|\bost\b|\bsoundtrack\b)", inner):
+        if re.search(WORK_SOURCE, inner):
             source = source or inner
             notes.append(inner)
-        elif hit or _is_note(inner):
+        elif hit or _annotates(inner):
             notes.append(inner)
         elif inner:
             variants.append({"text": inner, "provenance": "bracket", "speculative": False})
     while (shorter := _BRACKET.sub(" ", core)) != core:
         core = shorter
     parts = re.split(r"\s+[-/／]\s+|\s*[–—]\s*", core.strip())
-    while len(parts) > 1 and _is_note(parts[-1]):
+    while len(parts) > 1 and _annotates(parts[-1]):
         notes.append(parts.pop())
     for extra in parts[1:]:
         variants.append({"text": extra.strip(), "provenance": "dash", "speculative": True})
@@ -98,7 +90,6 @@ def title_parts(title: pd.Series) -> pd.DataFrame:
 _ROLE = re.compile(r"(?i)^(?:vocals?|演唱|歌|词|曲|编曲|作词|作曲)\s*[:：]\s*")
 _VOICE = re.compile(r"(?i)^(.*?)\s*[(（]\s*(?:cv|voice)\s*[:：.]?\s*(.+?)\s*[)）]$")
 _ALIAS = re.compile(r"^(.*?)\s*[(（]\s*(.+?)\s*[)）]$")
-_NOISE = {"群星", "various artists", "v.a.", "v.a", "未知", "未知歌手", "unknown", "unknown artist", "合唱", "原声带", "ost", "网络歌手", "佚名", "null"}
 
 
 def parse_artists(names: list[str] | None, credits: list[str] | None = None) -> dict:
@@ -116,7 +107,7 @@ def parse_artists(names: list[str] | None, credits: list[str] | None = None) ->
             elif (m := _ALIAS.match(piece)) is not None and m.group(1):
                 piece = m.group(1).strip()
                 out["aliases"].append(m.group(2))
-            if not piece or piece.lower() in _NOISE:
+            if not piece or piece.lower() in PLACEHOLDER_ARTISTS:
                 continue
             project = project or (piece if piece.lower() in PROJECTS else None)
             if not primary:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed thresholds and weights.
 ACCEPT, REVIEW, GAP = 0.88, 0.55, 0.08
+REMATCH_REVIEW, UNPROVED, RETRY_AFTER = 0.45, 0.87, 10.0
 WEIGHTS = {"title": 0.50, "artist": 0.35, "album": 0.10, "duration": 0.05}
 
 
@@ -65,10 +66,10 @@ def ranked(pairs: DataFrame, key: str, score: str, order: str) -> DataFrame:
     return out.withColumn("gap", F.coalesce(F.bround(F.col(score) - F.col("second"), 3), F.lit(1.0)))
 
 
-def decide(score: Column, gap: Column, second: Column, strong: Column, conflict: Column, title_conflict: Column, artist: Column, title: Column, version: Column, same_work: Column, review_at: float = REVIEW) -> Column:
+def decide(score: Column, gap: Column, second: Column, strong: Column, conflict: Column, title_conflict: Column, artist: Column, title: Column, version: Column, same_work: Column, review_at: float = REVIEW, accept_at: float = ACCEPT, least_gap: float = GAP) -> Column:
     """auto_accept, review or no_match for the best candidate."""
-    gap_ok = same_work | F.coalesce(second < 0.65, F.lit(True)) | (gap >= GAP)
-    accept = (score >= ACCEPT) & strong & ~conflict & (artist >= 0.70) & (title >= 0.80) & (version >= 0) & gap_ok
+    gap_ok = same_work | F.coalesce(second < 0.65, F.lit(True)) | (gap >= least_gap)
+    accept = (score >= accept_at) & strong & ~conflict & (artist >= 0.70) & (title >= 0.80) & (version >= 0) & gap_ok
     return F.when((score < review_at) | title_conflict, "no_match").when(accept, "auto_accept").otherwise("review")
 
 
@@ -78,13 +79,17 @@ def evidence_level(families: Column, title_definite: Column, identity: Column, o
     return F.when(title_definite & identity & ~one_sided_language, "strong").when(n >= 1, "medium").otherwise("weak")
 
 
-def code_path(same_code: Column, conflicts: Column, score: Column) -> Column:
-    """struct(score, level, decision) where codes agree: certain without conflicts, else for review or none; null where they don't."""
+def code_path(same_code: Column, conflicts: Column, score: Column, title: Column, artist: Column) -> Column:
+    """struct(score, level, decision) where codes agree: certain without conflicts, else for review or none; null where they don't.
+
+    With a conflict of titles the score is 0.40 at most; otherwise it lies between 0.65 and 0.95 if the title or the
+    credits are half alike, and is 0.40 if neither is.
+    """
     clean = F.size(conflicts) == 0
-    capped = F.least(F.greatest(score, F.lit(0.65)), F.lit(0.95))
     hard = F.exists(conflicts, lambda c: c.contains("title"))
-    decision = F.when(clean, "auto_accept").when(hard, "no_match").otherwise("review")
-    return F.when(same_code, F.struct(F.when(clean, 1.0).otherwise(capped).alias("score"), F.when(clean, "strong").otherwise("medium").alias("level"), decision.alias("decision")))
+    capped = F.when(hard, F.least(score, F.lit(0.40))).when((title >= 0.50) | (artist >= 0.50), F.greatest(F.least(score, F.lit(0.95)), F.lit(0.65))).otherwise(F.lit(0.40))
+    decision = F.when(clean, "auto_accept").when(hard | (capped < REVIEW), "no_match").otherwise("review")
+    return F.when(same_code, F.struct(F.when(clean, 1.0).otherwise(capped).alias("score"), F.when(clean, "strong").otherwise("conflict").alias("level"), decision.alias("decision")))
 
 
 def status(decision: Column, kinds: Column) -> Column:
@@ -92,3 +97,21 @@ def status(decision: Column, kinds: Column) -> Column:
     order = ["auth_failed", "rate_limited", "timeout", "network_error", "upstream_error", "invalid_response"]
     worst = F.get(F.filter(F.array(*[F.lit(k) for k in order]), lambda k: F.array_contains(kinds, k)), F.lit(0))
     return F.when(decision == "auto_accept", "matched").when(decision == "review", "review").otherwise(F.coalesce(worst, F.lit("no_match")))
+
+
+def length_gate(seconds: Column) -> Column:
+    """Whether a video may be a recording: 20 to 900 seconds, or unknown (null or 0)."""
+    s = F.coalesce(seconds, F.lit(0))
+    return (s == 0) | s.between(20, 900)
+
+
+def fetch_gate(tier: Column) -> Column:
+    """What happens with the best video of a track: the two upper tiers are fetched, others are for a person."""
+    return F.when(tier <= 2, "auto").otherwise("manual")
+
+
+def media_score(tier: Column, plays: Column, seconds: Column) -> Column:
+    """The rank score of a video: its tier first, then plays, then a likely length."""
+    base = F.element_at(F.array(*[F.lit(x) for x in (1_000_000, 200_000, 30_000, 1_000)]), tier)
+    length = F.when(seconds.between(120, 360), 10_000).when((seconds < 60) | (seconds > 600), -30_000).otherwise(0)
+    return (base + F.round(F.log10(F.greatest(plays, F.lit(1)) + 10) * 10_000, 3) + length).cast("double")

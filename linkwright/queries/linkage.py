@@ -11,6 +11,7 @@ from linkwright.operators import score as S
 from linkwright.operators import tables as T
 from linkwright.plans import link as L
 from linkwright.queries.registry import query, read
+from linkwright.sources import store as W
 
 SALTS = 8
 
@@ -161,8 +162,9 @@ def scoped_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT md5(text) AS key, count(*) AS n, min(doc_id) AS lead FROM documents GROUP BY 1")
 def stable_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("key"))
-    return d.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead"))
+    none = F.lit(None).cast("string")
+    d = read(spark, sf_dir, "documents").select("doc_id", T.stable_key(none, F.lit("list"), none, F.col("text")).alias("k"))
+    return d.groupBy(F.md5(F.substring_index("k", "\x1f", -1)).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("lead"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS lead FROM documents")
@@ -184,12 +186,19 @@ def work_remaining_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("SELECT c_custkey, c_name || ' - ' || c_mktsegment AS line FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name || ' - ' || c_mktsegment AS line FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return read(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", F.concat_ws(" - ", "c_name", "c_mktsegment").alias("line"))
 
 
+@query("SELECT c_custkey AS id, 'no_match' AS decision FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING NOT coalesce(bool_or(o_orderpriority = '2-HIGH'), false)")
+def write_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks (customers) without an accepted result (an order of high priority), written and read back."""
+    results = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.when(F.bool_or(F.col("o_orderpriority") == "2-HIGH"), "auto_accept").otherwise("no_match").alias("decision"))
+    return W.write_unmatched(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), results).select("id", "decision")
+
+
 SEARCH_SQL = "WITH q AS (SELECT p_brand AS q, unnest(list_distinct(string_split(min(p_name), ' '))) AS w FROM part GROUP BY p_brand), c AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part), h AS (SELECT q, p_partkey, count(*) AS hits FROM q JOIN c USING (w) GROUP BY ALL) SELECT q, p_partkey, hits, row_number() OVER (PARTITION BY q ORDER BY hits DESC, p_partkey) AS rank FROM h QUALIFY rank <= 10"
 
 
@@ -265,11 +274,13 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media_tier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     tier = F.when(i % 7 == 0, 4).when(i % 5 == 0, 3).when(i % 3 == 0, 1).otherwise(2)
-    secs, plays = 20 + i % 880, i * 37
-    base = F.element_at(F.array(*[F.lit(x) for x in (1_000_000, 200_000, 30_000, 1_000)]), tier)
-    length = F.when(secs.between(120, 360), 10_000).when((secs < 60) | (secs > 600), -30_000).otherwise(0)
-    score = base + F.round(F.log10(F.greatest(plays, F.lit(1)) + 10) * 10_000, 3) + length
-    return read(spark, sf_dir, "pages").select("page_id", tier.alias("tier"), score.cast("double").alias("score"))
+    return read(spark, sf_dir, "pages").select("page_id", tier.alias("tier"), S.media_score(tier, i * 37, 20 + i % 880).alias("score"))
+
+
+@query("SELECT page_id, page_id % 1000 = 0 OR page_id % 1000 BETWEEN 20 AND 900 AS kept, CASE WHEN page_id % 4 + 1 <= 2 THEN 'auto' ELSE 'manual' END AS way FROM pages")
+def media_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    return read(spark, sf_dir, "pages").select("page_id", S.length_gate(i % 1000).alias("kept"), S.fetch_gate(i % 4 + 1).alias("way"))
 
 
 @query("SELECT lang, quality, avg(toxic)::DOUBLE AS rate, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, quality)")

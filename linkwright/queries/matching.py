@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions import arrow
+from linkwright.operators import credits
 from linkwright.operators import score as S
 from linkwright.operators import similarity as M
 from linkwright.plans import match, search
@@ -57,7 +58,6 @@ def plan_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manual_search_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches typed phrases and scores what they find against the given tracks."""
     tracks, catalog = list_of(spark, sf_dir)
-    tracks = tracks.where("id < 40")
     phrases = tracks.select("id", F.lit(1).alias("ord"), F.concat_ws(" ", "title", F.element_at("artists", 1)).alias("query"))
     found = search.candidates(search.retrieve(phrases, catalog.select("id", "title", F.array_join("artists", " ").alias("artist")), 8))
     scored = match.score_pairs(match.pair_up(tracks, catalog, found.select("id", "match_id", "insertion")))
@@ -67,13 +67,13 @@ def manual_search_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def link_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks, catalog = list_of(spark, sf_dir)
-    return match.match(tracks, catalog, GROUPS)
+    return match.match(tracks, catalog, GROUPS).withColumn("candidates", F.size("candidates"))
 
 
 @query()
 def link_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks, catalog = list_of(spark, sf_dir)
-    return match.rematch(tracks.where("id % 10 = 0"), catalog, ["cn", "hk"], GROUPS)
+    return match.rematch(tracks, catalog, ["cn", "hk"], GROUPS).drop("candidates")
 
 
 @query()
@@ -103,9 +103,10 @@ def variant_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def library_link_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's best other row of the same brand's library that shares a word of its title."""
     p = read(spark, sf_dir, "part")
-    wanted = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
-    return search.best_in_library(wanted, p.where("p_partkey % 50 != 0").select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist")))
+    wanted = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
+    return search.best_in_library(wanted, p.select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist")), but_own=True)
 
 
 @query("SELECT p_partkey, arg_max(u.v, u.s) AS best FROM (SELECT p_partkey, unnest([{'v': p_name, 's': (p_partkey % 3)::DOUBLE}, {'v': p_brand, 's': (10 - p_partkey % 7)::DOUBLE}, {'v': p_type, 's': (p_partkey % 11 + 0.5)::DOUBLE}]) AS u FROM part) GROUP BY 1")
@@ -116,14 +117,27 @@ def best_alternative_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.explode(alternatives).alias("u")).groupBy("p_partkey").agg(F.max_by("u.v", "u.s").alias("best"))
 
 
-@query("SELECT p_partkey, CASE WHEN k % 4 <> 0 THEN 1.0 ELSE least(greatest(s, 0.65), 0.95) END::DOUBLE AS score, CASE WHEN k % 4 <> 0 THEN 'strong' ELSE 'medium' END AS level, CASE WHEN k % 4 <> 0 THEN 'auto_accept' WHEN k % 8 = 0 THEN 'no_match' ELSE 'review' END AS decision FROM (SELECT p_partkey, p_partkey AS k, (p_partkey % 101) / 100.0::DOUBLE AS s FROM part) WHERE k % 3 = 0")
+@query("""SELECT p_partkey, CASE WHEN k % 4 <> 0 THEN 1.0 ELSE c END::DOUBLE AS score, CASE WHEN k % 4 <> 0 THEN 'strong' ELSE 'conflict' END AS level, CASE WHEN k % 4 <> 0 THEN 'auto_accept' WHEN k % 8 = 0 OR c < 0.55 THEN 'no_match' ELSE 'review' END AS decision FROM
+ (SELECT *, CASE WHEN k % 8 = 0 THEN least(s, 0.4) WHEN t >= 0.5 OR a >= 0.5 THEN greatest(least(s, 0.95), 0.65) ELSE 0.4 END AS c FROM (SELECT p_partkey, p_partkey AS k, (p_partkey % 101) / 100.0::DOUBLE AS s, (p_partkey % 13) / 13.0::DOUBLE AS t, (p_partkey % 17) / 17.0::DOUBLE AS a FROM part WHERE p_partkey % 3 = 0))""")
 def isrc_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     conflicts = F.when(k % 8 == 0, F.array(F.lit("title_mismatch"))).when(k % 4 == 0, F.array(F.lit("duration_conflict"))).otherwise(F.array().cast("array<string>"))
-    made = S.code_path(k % 3 == 0, conflicts, (k % 101) / F.lit(100.0))
+    made = S.code_path(k % 3 == 0, conflicts, (k % 101) / F.lit(100.0), (k % 13) / F.lit(13.0), (k % 17) / F.lit(17.0))
     return read(spark, sf_dir, "part").select("p_partkey", made.alias("m")).where("m is not null").select("p_partkey", "m.*")
 
 
+@query("SELECT p_partkey, k = 0 OR k = 3 AS identity, CASE k WHEN 1 THEN 'primary_artist_mismatch' WHEN 2 THEN 'artist_mismatch' ELSE '' END AS conflicts, NULL::VARCHAR AS role FROM (SELECT p_partkey, p_partkey % 4 AS k FROM part)")
+def credit_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credits of every part: the same names turned round, a guest's track, strangers, and one of two collaborators."""
+    k, mine, theirs = F.col("p_partkey") % 4, F.concat(F.lit("Singer "), "p_brand"), F.concat(F.lit("Other "), "p_type")
+    b = F.when(k == 0, F.array(theirs, mine)).when(k == 1, F.array(F.concat_ws(" feat. ", theirs, mine))).when(k == 2, F.array(theirs)).otherwise(F.array(theirs, mine))
+    none = F.array().cast("array<string>")
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, F.array(mine, theirs)).otherwise(F.array(mine)).alias("a_artists"), b.alias("b_artists"), none.alias("a_credits"), none.alias("b_credits"))
+    c = credits.credit_analysis(F.col("a_roles"), F.col("b_roles"), F.lit(0.3))
+    roled = credits.with_roles(credits.with_roles(p, "a"), "b").select("p_partkey", c.alias("c"))
+    return roled.select("p_partkey", "c.identity", F.array_join("c.conflicts", ",").alias("conflicts"), "c.role")
+
+
 @query("SELECT user_id, CASE WHEN max(value) > 95 THEN 'matched' WHEN max(value) > 80 THEN 'review' WHEN bool_or(event_type = 'error') THEN 'rate_limited' ELSE 'no_match' END AS status FROM events GROUP BY 1")
 def result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("v"), F.collect_set(F.when(F.col("event_type") == "error", "rate_limited")).alias("kinds"))
@@ -160,13 +174,14 @@ def artist_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.arrays_overlap(ids, F.array(F.lit(0).cast("bigint"))).alias("shared"))
 
 
-@query("SELECT a.p_partkey, min(b.p_partkey) AS file FROM part a JOIN part b ON contains(b.p_name || ' - ' || b.p_brand, string_split(a.p_name, ' ')[2]) AND contains(b.p_name || ' - ' || b.p_brand, a.p_brand || '') AND b.p_brand = a.p_brand AND b.p_partkey % 2 = 1 WHERE a.p_partkey % 10 = 0 GROUP BY 1")
+@query("SELECT a.p_partkey, min(b.p_partkey) AS file FROM part a JOIN part b ON b.p_brand = a.p_brand AND contains(' ' || b.p_name || ' - ' || b.p_brand, ' ' || string_split(a.p_name, ' ')[2] || ' ') AND b.p_partkey % 2 = 1 GROUP BY 1")
 def local_file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose name holds title and artist: an equi-join on the words of the name, then the exact test, and the first by priority."""
+    """For each part the first file whose name holds a word of its title and its artist: an equi-join on artist and word."""
     p = read(spark, sf_dir, "part")
-    a = p.where("p_partkey % 10 = 0").select("p_partkey", "p_brand", F.element_at(F.split("p_name", " "), 2).alias("word"))
-    b = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("file"), "p_brand", F.concat_ws(" - ", "p_name", "p_brand").alias("name"), F.explode(F.split("p_name", " ")).alias("word"))
-    return a.join(b, ["p_brand", "word"]).where(F.contains("name", "word")).groupBy("p_partkey").agg(F.min("file").alias("file"))
+    a = p.select("p_partkey", "p_brand", F.element_at(F.split("p_name", " "), 2).alias("word"))
+    files = p.where("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("file"), F.explode(F.split("p_name", " ")).alias("word"))
+    first = files.groupBy("p_brand", "word").agg(F.min("file").alias("file"))
+    return a.join(first, ["p_brand", "word"]).select("p_partkey", "file")
 
 
 @query()
@@ -178,4 +193,4 @@ def local_scan_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def link_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks, catalog = list_of(spark, sf_dir)
-    return match.match(tracks.where("id = 10"), catalog, GROUPS)
+    return match.match(tracks.where("id = 10"), catalog, GROUPS).withColumn("candidates", F.size("candidates"))

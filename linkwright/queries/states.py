@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators import tables as T
 from linkwright.queries.registry import query, read
+from linkwright.sources import store as W
 
 NOW = 1_705_000_000
 SEC = "epoch(ts)"
@@ -30,10 +31,12 @@ def ttl_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("n"), F.count_if(F.col("expires_at") > NOW).alias("valid"))
 
 
-@query(f"SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(expires_at, event_id) AS expires_at FROM ({CACHE_SQL}) GROUP BY 1, 2")
+@query(f"SELECT user_id, event_type, max(event_id) AS event_id, arg_max(expires_at, event_id) AS expires_at FROM (SELECT *, max(event_id) FILTER (event_id % 3 <> 0) OVER (PARTITION BY user_id, event_type) AS changed FROM ({CACHE_SQL})) WHERE changed IS NULL OR event_id % 3 <> 0 GROUP BY 1, 2")
 def cache_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of every third write, and all others as changes: keys without changes stay, the others take their last change even where the table's row is newer."""
     c = cache(spark, sf_dir).select("user_id", "event_type", "event_id", "expires_at")
-    return T.upsert(c.where("event_id % 2 = 0 and false"), c, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "expires_at")
+    stored = T.first_of(c.where("event_id % 3 = 0"), ["user_id", "event_type"], [-F.col("event_id")])
+    return T.upsert(stored, c.where("event_id % 3 != 0"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "expires_at")
 
 
 @query(f"SELECT event_type, count(*) AS n, sum(CASE WHEN expires_at > {NOW} THEN 1 ELSE 0 END)::BIGINT AS valid FROM ({CACHE_SQL}) GROUP BY 1")
@@ -100,8 +103,7 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, arg_min(event_type, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'click' THEN 4 ELSE 5 END) AS kind FROM events GROUP BY 1")
 def outcome_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = spark.createDataFrame([("error", 1), ("purchase", 2), ("signup", 3), ("click", 4), ("view", 5)], "event_type string, priority int")
-    return read(spark, sf_dir, "events").join(order, "event_type").groupBy("user_id").agg(F.min_by("event_type", "priority").alias("kind"))
+    return T.failure_of(read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("kind")), "user_id", ["error", "purchase", "signup", "click", "view"])
 
 
 @query("SELECT sum((d = 'auto_accept')::INT)::BIGINT AS accepted, sum((d IN ('review', 'user_confirmed'))::INT)::BIGINT AS reviewed, sum((d <> 'auto_accept' OR v < 10)::INT)::BIGINT AS other FROM (SELECT ['auto_accept', 'review', 'no_match', 'user_confirmed'][event_id % 4 + 1] AS d, value AS v FROM events)")
@@ -131,19 +133,33 @@ def first_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("path"))
 
 
-@query("SELECT o_custkey AS playlist, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 50)::INT AS batch, o_orderkey AS track, CASE WHEN o_orderkey % 2 = 0 THEN 'library-songs' ELSE 'songs' END AS kind FROM orders")
+@query("SELECT o_custkey AS playlist, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5)::INT AS batch, o_orderkey AS track, CASE WHEN o_orderkey % 2 = 0 THEN 'library-songs' ELSE 'songs' END AS kind FROM orders")
 def write_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.chunked(read(spark, sf_dir, "orders"), "o_orderkey", 50, "o_custkey")
-    return o.select(F.col("o_custkey").alias("playlist"), F.col("chunk").alias("batch"), F.col("o_orderkey").alias("track"), F.when(F.col("o_orderkey") % 2 == 0, "library-songs").otherwise("songs").alias("kind"))
+    """Additions written in batches of five and read back."""
+    o = read(spark, sf_dir, "orders").withColumn("kind", F.when(F.col("o_orderkey") % 2 == 0, "library-songs").otherwise("songs"))
+    return W.write_batches(o, "o_custkey", "o_orderkey", "kind", 5)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 1000)")
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that is left, as written and read back."""
     gone = read(spark, sf_dir, "customer").where("c_acctbal < 1000").select(F.col("c_custkey").alias("o_custkey"))
-    return read(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    return W.delete_by_key(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, ["o_custkey"])[0]
 
 
-@query("SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS added, count(*) - count(DISTINCT o_custkey) AS repeated FROM orders GROUP BY 1")
+@query("SELECT c_custkey AS o_custkey, count(o_orderkey) AS deleted FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 1000 GROUP BY 1")
+def delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = read(spark, sf_dir, "customer").where("c_acctbal < 1000").select(F.col("c_custkey").alias("o_custkey"))
+    return W.delete_by_key(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, ["o_custkey"])[1]
+
+
+@query("WITH a AS (SELECT DISTINCT o_orderstatus AS s, o_custkey AS k, 1 AS x FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_orderstatus AS s, o_custkey AS k, 1 AS x FROM orders WHERE o_orderkey % 3 = 0) SELECT s AS status, sum((a.x IS NULL)::INT)::BIGINT AS added, sum((b.x IS NULL)::INT)::BIGINT AS removed, sum((a.x IS NOT NULL AND b.x IS NOT NULL)::INT)::BIGINT AS kept FROM a FULL JOIN b USING (s, k) GROUP BY 1")
 def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"))
-    return o.agg(F.count_distinct("o_custkey").alias("added"), F.count("*").alias("n")).select("status", "added", (F.col("n") - F.col("added")).alias("repeated"))
+    o = read(spark, sf_dir, "orders").withColumn("status", F.col("o_orderstatus"))
+    return W.sync_counts(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "status", "o_custkey")
+
+
+@query("SELECT user_id, coalesce(arg_min(value, event_id) FILTER (event_id % 3 = 0), 10.0)::DOUBLE AS retry_after FROM events WHERE event_type = 'error' GROUP BY 1")
+def retry_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ordinal"), F.when(F.col("event_type") == "error", "rate_limited").otherwise("ok").alias("kind"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("retry_after"))
+    return T.retry_after(e, "user_id")

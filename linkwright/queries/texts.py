@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkwright.functions import arrow, text, titles
+from linkwright.functions import arrow, notes, text, titles
 from linkwright.queries.registry import query, read
-from linkwright.sources import readers
+from linkwright.sources import readers, store
 
 NOTES = ["Live", "Remix", "2024 Acoustic Live", "Live at Wembley", "The Show", "Japanese Ver. Live", "feat. X", "吉他版", "Recorded at Abbey Road", "World Tour Live", "Guitar Ver.", "Live and Let Die", "ost", "Theme Song from Y", "《古剑奇谭》电视剧片头曲", "电影插曲", "Blue", "演唱会", "a mix", "x"]
 KANA = ["さくら", "サクラ", "カタカナ と ひらがな", "夜に駆ける", "Lemon", "前前前世", "ミラージュ", "コーヒー", "きゃっと", ""]
@@ -73,12 +75,12 @@ def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def version_note_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, NOTES).select("id", "v", text.is_note(F.col("v")).alias("note"), text.is_work_source(F.col("v")).alias("work"))
+    return values(spark, NOTES).select("id", "v", notes.is_note(F.col("v")).alias("note"), notes.is_work_source(F.col("v")).alias("work"))
 
 
 @query("SELECT p_partkey, regexp_matches(p_name || ' ost from ' || p_type, '(?i)(theme\\s+song|insert\\s+song|soundtrack|ost)\\s+(from|for|of)\\b') AS work FROM part")
 def work_source_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", text.is_work_source(F.concat("p_name", F.lit(" ost from "), "p_type")).alias("work"))
+    return read(spark, sf_dir, "part").select("p_partkey", notes.is_work_source(F.concat("p_name", F.lit(" ost from "), "p_type")).alias("work"))
 
 
 TITLES = ["Song (Live) (feat. Ana)", "夜に駆ける (Racing into the Night)", "Blue - Remix", "《晴天》电影主题曲", "Song [Cover: Someone]", "Plain", "A – B", "Song (Japanese Ver.)", "Guitar", ""]
@@ -198,6 +200,42 @@ def platform_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).select("title", F.array_join("artists", "/").alias("artists"), "album", "duration_ms", "isrc", "original_id", "trans_title")
 
 
+@query("SELECT p_partkey, p_name AS title, p_brand AS artist, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS album, CASE WHEN p_partkey % 2 = 0 THEN upper('usabc' || (1000000 + p_partkey)) END AS isrc FROM part")
+def read_csv_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as CSV of two kinds, read back together: with a byte order mark, a header and its own order of columns, and without a header."""
+    p = read(spark, sf_dir, "part").withColumn("title", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))
+    folder = f"{store.work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    named = p.where("p_partkey % 2 = 0").select(F.concat_ws(",", quoted(F.concat(F.lit("usabc"), (F.col("p_partkey") + 1_000_000).cast("string"))), quoted("p_brand"), quoted("title"), quoted("p_type")).alias("value"))
+    header = spark.createDataFrame([("\ufeffisrc,Artist,Title,Album",)], "value string")
+    # one file, so that the header comes first
+    header.withColumn("o", F.lit(0)).unionByName(named.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/named")
+    p.where("p_partkey % 2 = 1").select(F.concat_ws(",", quoted("title"), quoted("p_brand")).alias("value")).write.text(f"{folder}/plain")
+    rows = readers.read_csv(spark, f"{folder}/*")
+    key = F.element_at(F.split("title", " "), -1).cast("bigint")
+    return rows.select(key.alias("p_partkey"), F.regexp_replace("title", " [0-9]+$", "").alias("title"), F.array_join("artists", "/").alias("artist"), "album", "isrc")
+
+
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'Song ' || o_orderkey AS title, o_orderstatus || '/' || o_orderpriority AS artists, (o_orderkey * 1000)::BIGINT AS duration_ms, 'id' || o_orderkey AS original_id FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) < 100)")
+def embed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embed pages made of every customer's orders; pages that promise more tracks than they list are left to the other reader."""
+    o = read(spark, sf_dir, "orders")
+    track = F.struct(F.concat(F.lit("Song "), F.col("o_orderkey").cast("string")).alias("title"), F.concat_ws(",\u00a0", "o_orderstatus", "o_orderpriority").alias("subtitle"), (F.col("o_orderkey") * 1000).cast("bigint").alias("duration"), F.concat(F.lit("spotify:track:id"), F.col("o_orderkey").cast("string")).alias("uri"))
+    pages = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", track.alias("t")))).alias("l")).select("o_custkey", F.transform("l", lambda x: x["t"]).alias("trackList"))
+    data = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(F.struct("trackList").alias("entity")).alias("data")).alias("state")).alias("pageProps")).alias("props")))
+    html = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script></html>"))
+    pages = pages.select("o_custkey", html.alias("html"), (F.size("trackList") + F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)).alias("total"))
+    return readers.embed_tracks(pages, "o_custkey", "html", "total").select("o_custkey", F.col("pos").cast("bigint").alias("pos"), "title", F.array_join("artists", "/").alias("artists"), "duration_ms", "original_id")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand AS artist, p_type AS album, (p_size * 1000)::BIGINT AS duration_ms FROM part")
+def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested catalog items made of parts, flat again."""
+    attributes = F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("artistName"), F.col("p_type").alias("albumName"), (F.col("p_size") * 1000).alias("durationInMillis"))
+    items = read(spark, sf_dir, "part").select(F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), attributes.alias("attributes"))).alias("item"))
+    return readers.catalog_items(items, "item").select("id", "title", "artist", "album", "duration_ms")
+
+
 @query()
 def canonical_artist_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, ["Sān-Z", "San Z", "A.B.C", "ＡＢＣ", "Beyoncé"]).select("id", arrow.canonical_artist("v").alias("key"))

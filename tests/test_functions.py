@@ -3,7 +3,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.functions import arrow, text, titles
+from linkwright.functions import arrow, notes, text, titles
 from linkwright.operators import score as S
 from linkwright.operators import tables as T
 from linkwright.sources import readers
@@ -37,7 +37,7 @@ def test_title_parts():
 
 def test_notes(spark):
     rows = spark.createDataFrame([("Live", True), ("The Show", False), ("Live and Let Die", False), ("吉他版", True), ("Guitar Ver.", True), ("", True)], "v string, want boolean")
-    assert [r for r in rows.select("v", "want", text.is_note(F.col("v")).alias("got")).collect() if r["want"] != r["got"]] == []
+    assert [r for r in rows.select("v", "want", notes.is_note(F.col("v")).alias("got")).collect() if r["want"] != r["got"]] == []
 
 
 def test_durations(spark):
@@ -59,10 +59,25 @@ def test_readers(spark, tmp_path):
     got = readers.read_csv(spark, str(tmp_path / "b.csv")).collect()
     assert [(r.title, r.artists, r.isrc) for r in got] == [("Hello, World", ["A", "B"], "US123")]
     (tmp_path / "c.csv").write_text("One,A\nTwo\n")
-    assert [(r.title, r.artists) for r in readers.read_csv(spark, str(tmp_path / "c.csv")).collect()] == [("One", ["A"]), ("Two", [])]
+    assert [(r.title, r.artists) for r in readers.read_csv(spark, str(tmp_path / "c.csv")).orderBy("line").collect()] == [("One", ["A"]), ("Two", [])]
 
 
 def test_config():
     from linkwright.config import LinkConfig
 
     assert LinkConfig(storefront="HK").storefronts == ("hk", "tw", "us")
+
+
+NOTES = ["Live", "x", "", "Guitar Ver", "Guitar Ver.", "The Show", "Live and Let Die", "Live at Wembley", "recorded in Rome", "Eras Tour", "World Tour Live", "Take 2", "First Take 2", "吉他版", "音乐节 现场", "《剧》电视剧片头曲", "电影插曲", "Theme Song from X", "OST", "cover: 某人", "Cover Me", "covers", "2024 Acoustic Live", "Japanese Ver. Live", "翻唱", "the remix", "a mix", "Club-Mix", "Guitar Song", "(live)", "director's cut", "夜曲", "Part 2"]
+
+
+def test_notes_by_column_and_by_value_agree(spark):
+    rows = spark.createDataFrame([(v,) for v in NOTES], "v string")
+    assert {r.v: r.n for r in rows.select("v", notes.is_note(F.col("v")).alias("n")).collect()} == {v: notes.tells_note(v) for v in NOTES}
+    assert all(notes.tells_note(v) for v in ("Live at Wembley", "Guitar Ver", "First Take 2", "音乐节 现场", "电影插曲", "OST", "翻唱")) and not any(notes.tells_note(v) for v in ("The Show", "Live and Let Die", "Guitar Song", "夜曲", "Part 2", "covers"))
+
+
+def test_ratio_by_column_and_by_value_agree(spark):
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("a", "ab"), ("ab", "ab"), ("abcdefgh", "abcdefghi"), ("abcd", "wxyz"), ("abcd", "a" * 40), ("night song", "nights song"), (None, "x"), ("abcdefg", "gfedcba")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    assert [round(r.r, 12) for r in rows.select(arrow.sequence_ratio("a", "b").alias("r")).collect()] == [round(arrow.ratio(a, b), 12) for a, b in pairs]
