@@ -13,8 +13,8 @@ windows begin at every word.
 
 Before the walk, windows with too many foreign words are left out: some window
 of an item within the distance has no more edits than its share (no word is in more
-than ``overlap`` of them), and the words left must be words of some item. That
-bound and the wanted keys go to the tasks as bitmaps of ``FILTER_BITS`` bits a value (one key in a
+than ``overlap`` of them), the words left must be words of some item, and most pairs of neighbours must stand in some item. These
+bounds and the wanted keys go to the tasks as bitmaps of ``FILTER_BITS`` bits a value (one key in a
 thousand passes by chance), and of 2^``MOST_FILTER`` bits at most. Beyond that size more windows
 pass, and none is lost, for keys are then joined by Spark. Only documents with a wanted key
 leave their task, as word hashes. Each candidate is compared exactly: first
@@ -61,6 +61,11 @@ def _class_of(n_words: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(CLASSES), n_words, "right") - 1
 
 
+def pair_hashes(symbols: np.ndarray) -> np.ndarray:
+    """Hashes of words that follow each other."""
+    return mix(symbols[:-1] * np.uint64(0xD6E8FEB86659FD93) + symbols[1:])
+
+
 def _steps(size: int) -> int:
     return int(min(MOST_STEPS, max(2, 2 * size - size // 3)))
 
@@ -147,7 +152,7 @@ def _filter(values: DataFrame, probes: int) -> Filter:
 
 
 def item_table(items: DataFrame, share: float) -> DataFrame:
-    """(item_id, text) -> item_id, item (a key), n, class_id, edits (of a window), symbols, and the keys of all windows with their offsets."""
+    """(item_id, text) -> item_id, item (a key), n, class_id, edits (of a window), symbols, hashes of its pairs of words, and the keys of all windows with their offsets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,28 +161,28 @@ def item_table(items: DataFrame, share: float) -> DataFrame:
                 h = w.hashes()
                 ids, numbers = (batch.column(c).slice(part.first, len(part)) for c in ("item_id", "item"))
                 sizes = np.diff(w.bounds)
-                out = [], [], [], [], [], [], [], []
+                out = [], [], [], [], [], [], [], [], []
                 for i in np.flatnonzero(sizes):
                     own = h[w.bounds[i] : w.bounds[i + 1]]
                     c, offsets, edits = item_windows(len(own), share)
                     keys = cgk_keys(own, coin_tosses(own), offsets, np.full(len(offsets), len(own)), c)
                     keys, offsets = keys.view(np.int64).ravel().tolist(), np.repeat(offsets, keys.shape[1]).tolist()
-                    for column, value in zip(out, (ids[int(i)].as_py(), numbers[int(i)].as_py(), len(own), c, edits, own.view(np.int64).tolist(), offsets, keys), strict=True):
+                    for column, value in zip(out, (ids[int(i)].as_py(), numbers[int(i)].as_py(), len(own), c, edits, own.view(np.int64).tolist(), pair_hashes(own).view(np.int64).tolist(), offsets, keys), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "item", "n", "class_id", "edits", "symbols", "offsets", "keys"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["item_id", "item", "n", "class_id", "edits", "symbols", "pairs", "offsets", "keys"])
 
-    kinds = "item_id long, item long, n int, class_id int, edits int, symbols array<long>, offsets array<long>, keys array<long>"
+    kinds = "item_id long, item long, n int, class_id int, edits int, symbols array<long>, pairs array<long>, offsets array<long>, keys array<long>"
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     return rows.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").mapInArrow(make, kinds)
 
 
-def candidates(docs: DataFrame, vocabulary: Filter, wanted: Filter, classes: dict[int, int]) -> DataFrame:
+def candidates(docs: DataFrame, vocabulary: Filter, pairs: Filter, wanted: Filter, classes: dict[int, int]) -> DataFrame:
     """(doc_id, text) -> doc_id, row, symbols, keys, starts: the documents with a wanted key. classes: the most edits in a window of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, wanted))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pairs, wanted))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, wanted = shared.value
+        vocabulary, pairs, wanted = shared.value
         for batch in batches:
             for part in slices(batch.column("text")):
                 w = words(part, ALNUM)
@@ -187,14 +192,16 @@ def candidates(docs: DataFrame, vocabulary: Filter, wanted: Filter, classes: dic
                     continue
                 tosses = coin_tosses(h)
                 known = np.concatenate([[0], np.cumsum(vocabulary(h))])
+                known_pairs = np.concatenate([[0], np.cumsum(pairs(pair_hashes(h))), [0]])
                 text_of = np.repeat(np.arange(len(part)), np.diff(w.bounds))
                 end = w.bounds[text_of + 1]
                 out = [], []
                 for c, edits in classes.items():
                     size = CLASSES[c]
-                    # an edit costs one known word at most
+                    # an edit costs one known word at most, and two known pairs
                     stop = np.minimum(np.arange(n) + size, end)
-                    fits = np.flatnonzero((known[stop] - known[:-1] >= size - edits) & (stop - np.arange(n) >= size - edits))
+                    enough = (known[stop] - known[:-1] >= size - edits) & (known_pairs[stop - 1] - known_pairs[:-1] >= size - 1 - 2 * edits)
+                    fits = np.flatnonzero(enough & (stop - np.arange(n) >= size - edits))
                     for lo in range(0, len(fits), WINDOWS_AT_ONCE):
                         starts = fits[lo : lo + WINDOWS_AT_ONCE]
                         keys = cgk_keys(h, tosses, starts, end[starts], c)
@@ -302,7 +309,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> D
     keys = items.select("item", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("offsets").alias("offset"))))
     wanted = _filter(keys.select("key"), 2)
     classes = {r["class_id"]: r["edits"] for r in items.groupBy("class_id").agg(F.max("edits").alias("edits")).orderBy("class_id").collect()}
-    texts = written(candidates(docs, vocabulary, wanted, classes), "candidates")
+    followers = _filter(items.select(F.explode("pairs").alias("s")).distinct(), 2)
+    texts = written(candidates(docs, vocabulary, followers, wanted, classes), "candidates")
     found = texts.select("row", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("starts").alias("start"))))
     # where the item would begin
     pairs = found.join(keys, "key").select("row", "item", (F.col("start") - F.col("offset")).alias("start")).distinct()
