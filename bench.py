@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from linkwright.queries import QUERIES
 
-HEADLINE = ["link_parts_best_match", "blocked_pairs", "stable_key_dedup", "broadcast_to_duplicates", "token_block_topk", "candidate_identity_merge", "cache_upsert_latest", "multi_index_lookup", "rolling_quota", "breaker_islands", "latency_summary", "playlist_tracks", "title_similarity", "redact_text", "html_title_clean", "quality_rollup"]
+HEADLINE = ["link_parts_best_match", "blocked_pairs", "stable_key_dedup", "broadcast_to_duplicates", "token_block_topk", "candidate_identity_merge", "cache_upsert_latest", "multi_index_lookup", "rolling_quota", "breaker_islands", "latency_summary", "playlist_tracks", "title_similarity", "redact_text", "html_title_clean", "quality_rollup", "credit_analysis", "read_csv_variants", "quality_metrics"]
 
 
 def main() -> None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkwright.functions import arrow
+from linkwright.functions import arrow, text
 from linkwright.operators import credits
 from linkwright.operators import score as S
 from linkwright.operators import similarity as M
-from linkwright.plans import match, search
+from linkwright.plans import match, quality, search
 from linkwright.queries.registry import query, read
 from linkwright.sources import readers
 
@@ -194,3 +194,37 @@ def local_scan_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks, catalog = list_of(spark, sf_dir)
     return match.match(tracks.where("id = 10"), catalog, GROUPS).withColumn("candidates", F.size("candidates"))
+
+
+KANA_SETS = ["さくら", "ほしの", "なみだ", "かぜの", "ゆめみ"], ["はなび", "みらい", "ひかり", "こころ", "とけい"]
+#: Positives by how their text differs from the catalog's; the last three kinds have no true row.
+BUCKETS = ["same", "case", "other_kana", "romaji", "han", "bracket", "featured", "stranger", "other_version", "unheard"]
+
+
+def quality_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tracks, catalog, truth): ten tracks for each nation, seven of which the catalog has in another form."""
+    n, k = F.initcap(F.lower("n_name")), F.col("n_nationkey")
+    kana = F.concat(*[F.get(F.array(*[F.lit(w) for w in words]), (k / 5 if i else k % 5).cast("int")) for i, words in enumerate(KANA_SETS)])
+    han = F.concat(F.lit("夜空"), F.get(F.array(*[F.lit(c) for c in "东南西北中春夏秋冬晨昏山河湖海花草木石云风雨雪霜露"]), k.cast("int")), F.lit("之歌"))
+    words = lambda head, tail: F.concat_ws(" ", F.lit(head), n, F.lit(tail))
+    mine = [words("Bright", "Morning"), F.concat(F.upper(words("Quiet", "Evening")), F.lit("!")), kana, kana, han, F.concat(F.lit("静 ("), words("Silent", "River"), F.lit(")")), F.concat(words("Golden", "Valley"), F.lit(" (feat. Guest "), n, F.lit(")")), words("Bright", "Morning"), F.concat(words("Bright", "Morning"), F.lit(" (Instrumental)")), words("Unheard", "Anthem")]
+    theirs = [words("Bright", "Morning"), words("Quiet", "Evening"), text.swap_kana(kana, to_hiragana=False), arrow.kana_to_romaji(kana), han, words("Silent", "River"), words("Golden", "Valley")]
+    kind = F.posexplode(F.array(*mine)).alias("b", "title")
+    singer = F.concat(F.lit("Singer "), n)
+    rest = [F.lit("Album").alias("album"), F.lit(200_000).cast("bigint").alias("duration_ms"), F.lit(None).cast("string").alias("isrc"), F.lit("list").alias("source"), F.lit(None).cast("string").alias("original_id"), F.lit(None).cast("string").alias("trans_title"), F.array().cast("array<string>").alias("aliases")]
+    table = read(spark, sf_dir, "nation")
+    t = table.select("n_nationkey", singer.alias("singer"), kind)
+    tracks = t.select((k * 100 + F.col("b")).alias("id"), "title", F.array(F.when(F.col("b") == 7, F.concat(F.lit("Stranger "), k.cast("string"))).otherwise(F.col("singer"))).alias("artists"), *rest)
+    # one song of two kana stands for both the kana and the romaji track of a nation, so only every other nation has either
+    c = table.select("n_nationkey", singer.alias("singer"), F.posexplode(F.array(*theirs)).alias("b", "title")).where(~((F.col("b") == 2) & (k % 2 == 1)) & ~((F.col("b") == 3) & (k % 2 == 0)))
+    catalog = c.select((k * 100 + F.col("b")).alias("id"), "title", F.array("singer").alias("artists"), *rest)
+    other = F.when(F.col("b").isin(2, 3), F.when(k % 2 == 1, 3).otherwise(2)).otherwise(F.col("b"))
+    truth = t.select((k * 100 + F.col("b")).alias("id"), F.get(F.array(*[F.lit(x) for x in BUCKETS]), F.col("b")).alias("bucket"), F.when(F.col("b") < 7, k * 100 + other).alias("truth"))
+    return tracks, catalog, truth
+
+
+@query()
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 20, right automatic decisions and false ones, per bucket and overall."""
+    tracks, catalog, truth = quality_corpus(spark, sf_dir)
+    return quality.quality(match.match(tracks, catalog), truth, quality.recalled(tracks, catalog, truth.select("id", "truth")))

@@ -4,6 +4,7 @@ import pytest
 
 from linkwright.operators.similarity import Aliases, album_similarity, compare_artists, compare_titles, same_set
 from linkwright.plans import match, search
+from linkwright.queries import matching
 
 ALIASES = Aliases.of([["周华健", "Emil Wakin Chau"], ["晴天", "Sunny Day"]])
 
@@ -57,3 +58,10 @@ def test_planned_queries(spark):
     got = search.planned(spark.createDataFrame(rows, "id int, title string, artists array<string>, trans_title string, aliases array<string>")).collect()
     assert max(r.ord for r in got) <= search.TOTAL and len({(r.id, r.storefront, r.query.lower()) for r in got}) == len(got)
     assert [r.query for r in got if r.id == 2] == ["Plain"] and any(r.phase == "D" for r in got if r.id == 1)
+
+
+def test_quality_targets(spark):
+    """Recall at 20 and right automatic decisions of 95 % at least (recall 90 % in each bucket), and no false ones."""
+    rows = {r.bucket: r for r in matching.quality_metrics(spark, "/root/testdata/sf0.001").collect()}
+    assert rows[None].tracks == 250 and rows[None].recall >= 0.95 and rows[None].accepted >= 0.95 and rows[None].false_accepts == 0
+    assert all(r.recall is None or r.recall >= 0.90 for r in rows.values()) and len(rows) == 11
