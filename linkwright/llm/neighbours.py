@@ -37,7 +37,7 @@ LEAST_ROWS = 8192
 MOST_ROWS = 65536
 #: Blocks of a table of middling size.
 BLOCKS = 64
-SHARE = 0.15
+SHARE = 0.2
 LEAST_CANDIDATES = 400
 
 
