@@ -38,7 +38,7 @@ MOST_ROWS = 65536
 #: Blocks of a table of middling size.
 BLOCKS = 64
 SHARE = 0.2
-LEAST_CANDIDATES = 400
+LEAST_CANDIDATES = 1000
 
 
 def rows_at_once(total: int) -> int:
