@@ -43,8 +43,8 @@ MOST_FILTER = 28
 LEAST_WORDS = 8
 #: Length classes: an item of n words belongs to the largest that is at most n.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 19, 24, 30, 38, 48)
-WALKS = 3
-SAMPLES = 8
+WALKS = 4
+SAMPLES = 12
 STEPS_IN_KEY = 3
 MOST_STEPS = 64
 #: Items of so many words or more are looked for by several windows.
