@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product, through a permutation index.
 
 A vector is represented by its nearest pivots in order (its permutation prefix), and
-posted with their places in the inverted files of these pivots alone, a quarter of all.
+posted with their places in the inverted files of these pivots alone, three eighths of all.
 The index is cut into blocks by a digest of the row. A query reads the files of the
 pivots in its own prefix and adds up what each posting says about the footrule distance;
 rows that it doesn't meet have the largest. It reads
@@ -66,7 +66,7 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 def prefix_length(dimension: int) -> int:
-    return max(min(dimension, 8), dimension // 2)
+    return max(min(dimension, 8), dimension * 3 // 4)
 
 
 class InvertedFiles:
