@@ -90,22 +90,36 @@ TEXTS = {
 }
 
 
-def canonical(line: Column) -> Column:
-    """The form of a line that is digested; empty for copyright lines. A form is its own form."""
-    form = F.regexp_replace(F.lower(F.replace(line, F.lit("&"), F.lit(" and "))), r"[^\p{L}\p{N}]+", " ")
+def spelled(line: Column) -> Column:
+    """Lower-case words between single spaces, in one spelling."""
     # words that follow each other don't share a space, so that each is found
-    form = F.replace(F.concat(F.lit(" "), form, F.lit(" ")), F.lit(" "), F.lit("  "))
+    form = F.regexp_replace(F.lower(F.replace(line, F.lit("&"), F.lit(" and "))), r"[^\p{L}\p{N}]+", "  ")
+    form = F.concat(F.lit(" "), form, F.lit(" "))
     for old, new in SPELLINGS:
         form = F.replace(form, F.lit(old), F.lit(new))
-    form = F.trim(F.replace(form, F.lit("  "), F.lit(" ")))
-    form = F.when(F.contains(form, F.lit("copyright ")), F.trim(F.regexp_replace(form, STATEMENT, "$1"))).otherwise(form)
+    return F.trim(F.replace(form, F.lit("  "), F.lit(" ")))
+
+
+def without_statement(form: Column) -> Column:
+    return F.when(F.contains(form, F.lit("copyright ")), F.trim(F.regexp_replace(form, STATEMENT, "$1"))).otherwise(form)
+
+
+def without_copyright_line(form: Column) -> Column:
     may_be = F.startswith(form, F.lit("c ")) | F.startswith(form, F.lit("all"))
     return F.when(may_be & F.regexp_like(form, F.lit(COPYRIGHT_LINE)), "").otherwise(form)
 
 
+def canonical(line: Column) -> Column:
+    """The form of a line that is digested; empty for copyright lines. A form is its own form."""
+    return without_copyright_line(without_statement(spelled(line)))
+
+
 def canonical_lines(text: Column) -> Column:
-    """Canonical forms of all lines that have one."""
-    return F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: x != "")
+    """Canonical forms of all lines that have one. Step by step, so that each line takes each step once."""
+    forms = F.split(text, "\n")
+    for step in (spelled, without_statement, without_copyright_line):
+        forms = F.transform(forms, step)
+    return F.filter(forms, lambda x: x != "")
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
