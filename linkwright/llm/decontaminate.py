@@ -137,7 +137,7 @@ class Filter:
         return out
 
 
-def _filter(values: DataFrame, probes: int) -> Filter:
+def bit_filter(values: DataFrame, probes: int) -> Filter:
     """The filter of a column of hashes. Spark sets the bits: a sixty-fourth of their number comes back at most."""
     name = values.columns[0]
     bits = int(np.clip(np.ceil(np.log2(max(1, FILTER_BITS * values.count()))), 16, MOST_FILTER))
@@ -305,11 +305,11 @@ def verified(pairs: DataFrame, texts: DataFrame, items: DataFrame, share: float)
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> DataFrame:
     """One row per document and benchmark item it holds within ``share`` of the item's words: doc_id, item_id, distance, place, row (its row's digest)."""
     items = written(item_table(benchmark, share), "items")
-    vocabulary = _filter(items.select(F.explode("symbols").alias("s")).distinct(), 1)
+    vocabulary = bit_filter(items.select(F.explode("symbols").alias("s")).distinct(), 1)
     keys = items.select("item", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("offsets").alias("offset"))))
-    wanted = _filter(keys.select("key"), 2)
+    wanted = bit_filter(keys.select("key"), 2)
     classes = {r["class_id"]: r["edits"] for r in items.groupBy("class_id").agg(F.max("edits").alias("edits")).orderBy("class_id").collect()}
-    followers = _filter(items.select(F.explode("pairs").alias("s")).distinct(), 2)
+    followers = bit_filter(items.select(F.explode("pairs").alias("s")).distinct(), 2)
     texts = written(candidates(docs, vocabulary, followers, wanted, classes), "candidates")
     found = texts.select("row", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("starts").alias("start"))))
     # where the item would begin

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from linkwright.llm import licenses, mixing, secrets, sharding
 
 
@@ -80,7 +82,38 @@ def secret_scan() -> str:
  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 
 
+def lexical_search() -> str:
+    terms = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents), n AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+ s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM n), e AS (SELECT r, unnest(w) AS t FROM d), tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM e GROUP BY ALL), df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+ q AS (SELECT DISTINCT item_id, unnest({terms}) AS t FROM benchmark), g AS (SELECT item_id, t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN df USING (t), s),
+ x AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score FROM g JOIN tf USING (t) JOIN n USING (r), s GROUP BY ALL)
+ SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM x WHERE score > 0) WHERE rank <= 10"""
+
+
+def exact_search() -> str:
+    return """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ d AS (SELECT len(v) AS d FROM u GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(v, lambda x: floor(256 * x)) AS v FROM u WHERE len(v) = (FROM d)),
+ p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+ SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 5"""
+
+
+def filter_audit() -> str:
+    """Filters applied one after another to each kind of document, for each order."""
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+ l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN w.doc_id > first THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l USING (doc_id)),
+ k AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+ s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM (VALUES {orders}) v(filter_order)), o AS (SELECT *, filter_order[step] AS letter, CASE WHEN step > 1 THEN filter_order[1:step - 1] ELSE '' END AS before FROM s),
+ a AS (SELECT k.*, o.*, contains(fails, letter) AS own, len(list_filter(string_split(before, ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS gone FROM k, o),
+ r AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (own AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0)::BIGINT AS toxic_lost FROM a GROUP BY 1, 2, 3, 4)
+ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan(), "op4_sharding": shards(), "op5_jaccard_join": jaccard(), "op6_mixing": mix(), "op9_secret_scan": secret_scan()}
+    return {"op3_license_scan": license_scan(), "op4_sharding": shards(), "op5_jaccard_join": jaccard(), "op6_mixing": mix(), "op9_secret_scan": secret_scan(), "op11_lexical_search": lexical_search(), "op12_exact_search": exact_search(), "op13_filter_audit": filter_audit()}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm import chat, decontaminate, language, licenses, mixing, near_duplicates, neighbours, oracles, secrets, sharding, toxicity
+from linkwright.llm import chat, decontaminate, exact_search, filter_audit, language, lexical, licenses, mixing, near_duplicates, neighbours, oracles, secrets, sharding, toxicity
 from linkwright.llm.shared import table
 
 #: Fixed conversation that every run of op7 formats too.
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.exact_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_license_scan": op3_license_scan, "op4_sharding": op4_sharding,
         "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_windows": op7_chat_windows, "op8_decontamination": op8_decontamination,
-        "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity, "pipeline": pipeline,
+        "op9_secret_scan": op9_secret_scan, "op10_toxicity": op10_toxicity, "op11_lexical_search": op11_lexical_search, "op12_exact_search": op12_exact_search,
+        "op13_filter_audit": op13_filter_audit, "pipeline": pipeline,
     }
 
 
