@@ -116,7 +116,7 @@ def products(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
         return (x @ q).astype(np.int64)
     big = lambda v: [int(c) if np.isfinite(c) else int(np.sign(c)) << 1032 for c in v]
     own = big(q)
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(big(r), own, strict=True)))) for r in x], np.int64)
+    return np.array([max(1 - (1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(big(r), own, strict=True)))) for r in x], np.int64)
 
 
 class Best:
@@ -200,7 +200,7 @@ def reached(queries: DataFrame, annuli: DataFrame, pivots: np.ndarray, most: flo
             d = distances(np.concatenate([np.where(small[:, None], q, 0), np.zeros((len(q), 1))], axis=1), pivots)
             least = b.column("least").to_numpy(zero_copy_only=False).astype(float)
             bounded = small & ~np.isnan(least)
-            square = (q * q).sum(axis=1) + most * most - 2 * np.nan_to_num(least)
+            square = (np.where(small[:, None], q, 0) ** 2).sum(axis=1) + most * most - 2 * np.nan_to_num(least)
             radius = np.where(bounded, np.sqrt(np.maximum(square, 0)) + 2 * slack, np.inf)
             # a vector of an annulus is nearer its pivot than any other
             near = (d - d.min(axis=1, keepdims=True, initial=np.inf)) / 2 <= radius[:, None]

@@ -99,7 +99,7 @@ def nearest(rows, k, every=50):
     use = [(i, v) for i, v in use if len(v) == min(sizes, key=lambda d: (-sizes[d], d))]
     for a, (i, v) in enumerate(use):
         if i % every == 0:
-            scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(v, w, strict=True)))), j) for b, (j, w) in enumerate(use) if b != a)
+            scores = sorted((-max(1 - (1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(v, w, strict=True)))), j) for b, (j, w) in enumerate(use) if b != a)
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
     return sorted(out)
 
