@@ -9,9 +9,11 @@ from linkwright.functions import arrow
 from linkwright.functions.titles import CRITICAL_TAGS
 from linkwright.operators import score as S
 from linkwright.operators import tables as T
+from linkwright.plans import identity, search
 from linkwright.plans import link as L
 from linkwright.queries.registry import query, read
 from linkwright.sources import store as W
+from linkwright.sources.store import Tables, saved
 
 SALTS = 8
 
@@ -173,11 +175,24 @@ def broadcast_to_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(d.groupBy("key").agg(F.min("doc_id").alias("lead")), "key").select("doc_id", "lead")
 
 
-@query("SELECT l_partkey, l_suppkey, min(l_orderkey * 10 + l_linenumber) AS first, count(DISTINCT l_linenumber) AS paths, bool_or(l_returnflag = 'R') AS mapped FROM lineitem GROUP BY 1, 2")
+IDENTITY_SQL = """WITH f AS (SELECT l_orderkey AS id, (l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey)::BIGINT AS ord, 'q' || l_linenumber % 3 AS query, CASE WHEN l_returnflag = 'R' THEN 'mapped' ELSE 'native' || l_linenumber END AS path, l_returnflag = 'R' AS mapped, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 3 END AS match_id,
+ CASE WHEN l_linenumber % 3 = 1 THEN ' c' || p_size % 2 END AS isrc, CASE WHEN p_size % 2 = 0 THEN 'live' END AS version, CASE WHEN p_size % 5 = 0 THEN 'japanese' END AS language, upper(p_type) AS title, 'Maker' AS artist, p_size * 1000 AS duration_ms FROM lineitem JOIN part ON l_partkey = p_partkey),
+ k AS (SELECT *, CASE WHEN match_id IS NOT NULL THEN 'id' || chr(31) || match_id WHEN trim(isrc) <> '' THEN concat_ws(chr(31), 'code', upper(trim(isrc)), coalesce(version, 'original'), coalesce(language, '')) ELSE concat_ws(chr(31), 'text', lower(title), lower(artist), duration_ms // 4000, coalesce(language, '')) END AS key FROM f),
+ q AS (SELECT id, key, query, min(ord) AS o FROM k GROUP BY ALL), p AS (SELECT id, key, string_agg(query, ',' ORDER BY o) AS queries FROM q GROUP BY ALL)
+ SELECT id, key, min(ord) AS ord, any_value(queries) AS queries, bool_or(mapped) AS mapped, coalesce(arg_min(path, ord) FILTER (mapped), arg_min(path, ord)) AS path, arg_min(title, ord) AS title, arg_min(duration_ms, ord)::BIGINT AS duration_ms FROM k JOIN p USING (id, key) GROUP BY 1, 2"""
+
+
+@query(IDENTITY_SQL)
 def candidate_identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of one identity: the first stands for all, provenance is gathered, a mapping on any counts."""
-    l = read(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"), F.count_distinct("l_linenumber").alias("paths"), F.bool_or(F.col("l_returnflag") == "R").alias("mapped"))
+    """Candidates of an order's lines, known by id, by code or by text: the first stands for all, provenance is gathered, a mapping on any counts."""
+    both = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = F.col("l_linenumber")
+    mapped = F.col("l_returnflag") == "R"
+    found = both.select(
+        F.col("l_orderkey").alias("id"), (n * F.lit(10_000_000_000) + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ord"), F.concat(F.lit("q"), (n % 3).cast("string")).alias("query"), F.when(mapped, "mapped").otherwise(F.concat(F.lit("native"), n.cast("string"))).alias("path"), mapped.alias("mapped"), F.when(n % 3 == 0, F.col("l_partkey") % 3).alias("match_id"),
+        F.when(n % 3 == 1, F.concat(F.lit(" c"), (F.col("p_size") % 2).cast("string"))).alias("isrc"), F.when(F.col("p_size") % 2 == 0, "live").alias("version"), F.when(F.col("p_size") % 5 == 0, "japanese").alias("language"), F.upper("p_type").alias("title"), F.array(F.lit("Maker")).alias("artists"), (F.col("p_size") * 1000).cast("bigint").alias("duration_ms"),
+    )
+    return identity.merged(found).select("id", "key", "ord", F.array_join("queries", ",").alias("queries"), "mapped", "path", "title", "duration_ms")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -204,13 +219,13 @@ SEARCH_SQL = "WITH q AS (SELECT p_brand AS q, unnest(list_distinct(string_split(
 
 @query(SEARCH_SQL)
 def token_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten catalog rows that share most words with each query, ties by id. Spark keeps ten per task before the shuffle."""
+    """The ten catalog rows that share most words with each query, ties by id: rare words first, and no further than needed."""
     p = read(spark, sf_dir, "part")
-    q = p.groupBy(F.col("p_brand").alias("q")).agg(F.min("p_name").alias("n")).select("q", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    c = p.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    hits = q.join(c, "w").groupBy("q", "p_partkey").agg(F.count("*").alias("hits"))
-    w = Window.partitionBy("q").orderBy(F.col("hits").desc(), "p_partkey")
-    return hits.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("q", "p_partkey", "hits", F.col("rank").cast("bigint").alias("rank"))
+    q = p.groupBy(F.col("p_brand").alias("q")).agg(F.array_sort(F.array_distinct(F.split(F.min("p_name"), " "))).alias("words")).withColumn("set", F.xxhash64("words"))
+    with Tables() as tables:
+        sets = tables.save(search.word_sets(p, "p_partkey", F.array_distinct(F.split("p_name", " ")), 10), "sets")
+        best = search.top_sets(q.select("set", "words").distinct(), sets, 10, tables)
+        return saved(q.join(best, "set").select("q", F.col("match_id").alias("p_partkey"), F.col("common").cast("bigint").alias("hits"), F.col("hit").cast("bigint").alias("rank")), "topk")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') ORDER BY p_partkey LIMIT 100")

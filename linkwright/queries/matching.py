@@ -10,12 +10,12 @@ from linkwright.operators import credits
 from linkwright.operators import score as S
 from linkwright.operators import similarity as M
 from linkwright.plans import match, quality, search
-from linkwright.queries.registry import query, read
+from linkwright.queries.registry import query, read, worded, worded_sql
 from linkwright.sources import readers
 
 GROUPS = [["周华健", "Emil Wakin Chau"], ["Jay Chou", "周杰伦"]]
-TITLE_PAIRS = [("Lemon", "Lemon"), ("Lemon (Live)", "Lemon"), ("さくら", "Sakura"), ("サクラ", "Cherry"), ("晴天", "Sunny Day"), ("夜に駆ける (Racing into the Night)", "Racing Into the Night"), ("Stay", "Stay Away"), ("", "x")]
-ARTIST_PAIRS = [(["A", "B"], ["B", "A"]), (["周华健"], ["Emil Wakin Chau"]), (["Taro Yamada"], ["Yamada Taro"]), (["A feat. C"], ["C"]), (["X"], ["Y"]), ([], ["Y"]), (["Solo"], ["Duo & Solo"])]
+TITLE_PAIRS = [("{n}", "{n}"), ("{n} (Live)", "{n}"), ("さくら", "Sakura"), ("夜に駆ける ({n})", "{n}"), ("{n}!", "{n}"), ("", "{n}"), ("晴天", "{n}")]
+ARTIST_PAIRS = [(["A", "{n}"], ["{n}", "A"]), (["周华健"], ["Emil Wakin Chau"]), (["Name Taro"], ["Taro Name"]), (["{n} feat. C"], ["{n}"]), ([], ["{n}"]), (["{n}"], ["{n} & Solo"])]
 
 
 def list_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -24,15 +24,15 @@ def list_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return t.where("id % 2 = 0"), t.where("id % 2 = 1")
 
 
-@query()
+@query(worded_sql(similarity=[1.0, 0.98, 0.98, 0.98, 0.99, 0.0, 0.0], method=["exact", "normalized", "romaji_exact", "variant_exact", "punctuation_stripped", "empty", "ratio"], mismatch=[False] * 7, unverified=[False] * 6 + [True]))
 def title_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TITLE_PAIRS)], "id int, a string, b string")
+    t = worded(spark, sf_dir, a=[a for a, _ in TITLE_PAIRS], b=[b for _, b in TITLE_PAIRS])
     return t.select("id", M.title_udf()("a", "b").alias("t")).select("id", "t.*")
 
 
-@query()
+@query(worded_sql(similarity=[1.0, 1.0, 1.0, 1.0, 0.0, 1.0]))
 def artist_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ARTIST_PAIRS)], "id int, a array<string>, b array<string>")
+    t = worded(spark, sf_dir, a=[a for a, _ in ARTIST_PAIRS], b=[b for _, b in ARTIST_PAIRS])
     return t.select("id", M.artist_udf(GROUPS)("a", "b").alias("similarity"))
 
 
@@ -45,8 +45,8 @@ def album_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def plan_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "夜に駆ける (Racing into the Night)", ["YOASOBI"], None, []), (2, "さくら", ["もり"], "Cherry", ["Sakura Song"]), (3, "晴天 Sunny Day", ["周杰伦"], None, []), (4, "Plain", [], None, [])]
-    return search.planned(spark.createDataFrame(rows, "id int, title string, artists array<string>, trans_title string, aliases array<string>"))
+    t = worded(spark, sf_dir, title=["夜に駆ける ({n})", "さくら {n}", "晴天 {n} Day", "{n}"], artists=[["YOASOBI"], ["もり"], ["周杰伦"], []], trans_title=[None, "Cherry {n}", None, None], aliases=[[], ["{n} Song"], [], []])
+    return search.planned(t)
 
 
 @query()
@@ -76,27 +76,29 @@ def link_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.rematch(tracks, catalog, ["cn", "hk"], GROUPS).drop("candidates")
 
 
-@query()
+@query(worded_sql(form=["A {n}", "カ キ {n}", "x {n}"]))
 def jp_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(0, "Ａ　Ｂ"), (1, "カ・キ"), (2, " x  y ")], "id int, v string").select("id", arrow.normalize_japanese("v").alias("form"))
+    return worded(spark, sf_dir, v=["Ａ　{n}", "カ・キ {n}", " x  {n} "]).select("id", arrow.normalize_japanese("v").alias("form"))
 
 
-@query()
+@query("""SELECT p_partkey AS id, (i - 1)::INT AS pos, replace(v[1], '{n}', p_name) AS text, v[2] AS provenance, v[3] AS level FROM (SELECT p_partkey, p_name, x, unnest(range(1, len(x) + 1)) AS i, x[i] AS v FROM (SELECT p_partkey, p_name, CASE p_partkey % 3
+ WHEN 0 THEN [['さくら {n}', 'original', 'strong'], ['sakura {n}', 'hepburn', 'medium'], ['sakura' || replace(p_name, ' ', ''), 'hepburn_compact', 'weak'], ['サクラ {n}', 'kana_swap', 'weak']]
+ WHEN 1 THEN [['{n} [スパークル]', 'original', 'strong'], ['スパークル', 'source_translation', 'strong'], ['{n}', 'base', 'strong'], ['{n} [supakuru]', 'hepburn', 'medium']] ELSE [['{n}', 'original', 'strong']] END AS x FROM part))""")
 def script_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(0, "さくら"), (1, "Sparkle [スパークル]"), (2, "Lemon"), (3, "とうきょう")], "id int, v string")
+    t = worded(spark, sf_dir, v=["さくら {n}", "{n} [スパークル]", "{n}"])
     return t.select("id", F.posexplode(arrow.variants("v")).alias("pos", "x")).select("id", "pos", "x.*")
 
 
-@query()
+@query(worded_sql(same=[True, True, False, False, False, False]))
 def greedy_artist_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ARTIST_PAIRS)], "id int, a array<string>, b array<string>")
+    t = worded(spark, sf_dir, a=[a for a, _ in ARTIST_PAIRS], b=[b for _, b in ARTIST_PAIRS])
     return t.select("id", M.set_udf(GROUPS)("a", "b").alias("same"))
 
 
-@query()
+@query(worded_sql(best=[1.0, 1.0, 1.0]))
 def variant_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best ratio over all variants of two titles."""
-    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TITLE_PAIRS)], "id int, a string, b string")
+    """The best ratio over all variants of two titles, each of which has a variant that the other has too."""
+    t = worded(spark, sf_dir, a=["{n}", "さくら {n}", "{n} [スパークル]"], b=["{n}", "sakura {n}", "スパークル"])
     crossed = t.select("id", F.explode(arrow.variants("a")).alias("x"), "b").select("id", "x", F.explode(arrow.variants("b")).alias("y"))
     return crossed.select("id", arrow.sequence_ratio(F.lower("x.text"), F.lower("y.text")).alias("r")).groupBy("id").agg(F.max("r").alias("best"))
 
@@ -190,6 +192,23 @@ def local_scan_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.audio_files(spark, sf_dir, ("parquet",)).select("title", "artist", "length")
 
 
+@query("""SELECT p_partkey, count(*) AS queries, string_agg(query, '|' ORDER BY ord) AS phrases FROM (SELECT p_partkey, unnest(range(1, len(x) + 1)) AS ord, x[ord] AS query FROM
+ (SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN [p_name || ' ' || p_brand, p_name] ELSE [p_name || ' ' || p_brand, 'Song ' || p_partkey || ' ' || p_brand, p_name] END AS x FROM part)) GROUP BY 1""")
+def planned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases planned for tracks with Latin titles: with the artist, as translated, and alone."""
+    p = read(spark, sf_dir, "part")
+    t = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand").alias("artists"), F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("Song "), F.col("p_partkey").cast("string"))).alias("trans_title"), F.array().cast("array<string>").alias("aliases"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "query"))), lambda x: x["query"])
+    return search.planned(t).groupBy(F.col("id").alias("p_partkey")).agg(F.count("*").alias("queries"), F.array_join(listed, "|").alias("phrases"))
+
+
+@query("SELECT p_partkey AS id, min(q.p_partkey) AS match_id FROM part p JOIN part q ON p.p_partkey % 700 = q.p_partkey % 700 WHERE p.p_partkey % 2 = 0 AND q.p_partkey % 2 = 1 GROUP BY 1".replace("SELECT p_partkey", "SELECT p.p_partkey"))
+def code_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks and the first catalog row of their code."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("ISRC"), (F.col("p_partkey") % 700 + 10_000).cast("string")).alias("isrc"))
+    return match.by_code(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
+
+
 @query()
 def link_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks, catalog = list_of(spark, sf_dir)

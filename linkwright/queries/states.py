@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.operators import tables as T
+from linkwright.plans import stored as R
 from linkwright.queries.registry import query, read
 from linkwright.sources import store as W
 
@@ -25,10 +28,54 @@ def cache_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.valid_at(cache(spark, sf_dir), F.lit(NOW)).select("event_id", "expires_at")
 
 
-@query(f"SELECT count(*) AS n, sum(CASE WHEN e > {NOW} THEN 1 ELSE 0 END)::BIGINT AS valid FROM (VALUES ({NOW} - 1), ({NOW}), ({NOW} + 1)) t(e)")
+@query(f"SELECT event_id FROM events WHERE event_id % 3 = 2")
 def ttl_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(NOW + d,) for d in (-1, 0, 1)], "expires_at bigint")
-    return t.agg(F.count("*").alias("n"), F.count_if(F.col("expires_at") > NOW).alias("valid"))
+    """Rows that expire a second before, at and after the time that is asked for: only the last are valid."""
+    near = read(spark, sf_dir, "events").select("event_id", (F.lit(NOW) - 1 + F.col("event_id") % 3).alias("expires_at"))
+    return T.valid_at(near, F.lit(NOW)).select("event_id")
+
+
+@query(f"""WITH a AS (SELECT user_id AS key, min(event_id) FILTER (event_type = 'click') AS payload FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
+ u AS (SELECT DISTINCT user_id AS key FROM events) SELECT hours, u.key, CASE WHEN a.key IS NULL OR (a.payload IS NULL AND hours >= 24) OR hours >= 168 THEN 'unknown' WHEN a.payload IS NULL THEN 'negative' ELSE 'hit' END AS state,
+ CASE WHEN hours < 168 THEN a.payload END AS payload FROM u LEFT JOIN a USING (key), (VALUES (12), (24), (167), (168)) h(hours)""")
+def lookup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache says of every user after a lookup that found those with clicks and not those with views alone: at four ages."""
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
+    start = F.timestamp_seconds(F.lit(NOW))
+    empty = e.limit(0).select("key", F.lit("").alias("state"), F.col("event_id").alias("payload"), start.alias("at"), start.alias("expires_at"))
+    cache = R.told(e.where("event_type IN ('view', 'click')"), e.where("event_type = 'click'").withColumnRenamed("event_id", "payload"), empty, start)
+    out = None
+    for hours in (12, 24, 167, 168):
+        told = R.answered(e, cache, F.timestamp_seconds(F.lit(NOW + 3600 * hours))).select(F.lit(hours).alias("hours"), "key", "state", "payload")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+STORED_SQL = """WITH s AS (SELECT p_partkey AS id, p_partkey % 12 = 0 AS confirmed, p_partkey % 12 IN (2, 4) AS weak, p_partkey % 5 = 0 AS policy, p_partkey % 7 = 0 AS scoring, p_partkey % 3 = 0 AS code, p_partkey % 4 = 0 AS source FROM part WHERE p_partkey % 2 = 0),
+ t AS (SELECT *, CASE WHEN confirmed THEN 'use' WHEN policy AND weak THEN 'miss' WHEN policy OR scoring THEN 'rescore' ELSE 'use' END AS state FROM s), u AS (SELECT *, (code OR source) AND (state = 'rescore' OR NOT weak) AS own FROM t WHERE state <> 'miss')
+ SELECT id, id AS match_id, CASE WHEN own AND confirmed THEN 'user_confirmed' ELSE 'auto_accept' END AS decision, CASE WHEN own AND code THEN 0 WHEN own THEN 1 ELSE 2 END AS place, CASE WHEN own AND state = 'rescore' THEN 'rescored' WHEN own THEN 'stored' ELSE 'verified' END AS how FROM u"""
+
+
+@query(STORED_SQL)
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of every other part, written under up to three keys and looked up for all parts after rules have changed for some.
+
+    Some results are confirmed, some have become weaker decisions, and some were made under an old policy or an old scoring.
+    """
+    p, k = read(spark, sf_dir, "part"), F.col("id")
+    key = F.col("p_partkey").cast("string")
+    tracks = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.initcap("p_name"), F.lit("No"), key).alias("title"), F.array("p_brand").alias("artists"), F.col("p_type").alias("album"), F.lit(200_000).cast("bigint").alias("duration_ms"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("ISRC"), F.lpad(key, 8, "0"))).alias("isrc"), F.lit("list").alias("source"), F.when(F.col("p_partkey") % 4 == 0, key).alias("original_id"))
+    old = tracks.where("id % 2 = 0")
+    now, current = F.timestamp_seconds(F.lit(NOW)), {"policy": 2, "alias": 1, "scoring": 3}
+    results = old.select("id", F.col("id").alias("match_id"), F.when(k % 12 == 0, "user_confirmed").otherwise("auto_accept").alias("decision"), F.lit(False).alias("incomplete"))
+    rows = R.results_to_store(results, old, old.select("id", F.lit(1).alias("rank"), F.col("id").alias("match_id"), "title", "artists", "album", "duration_ms", "isrc"), "cn", now, current)
+    m = F.col("match_id")
+    rows = rows.withColumn("decision", F.when((m % 12).isin(2, 4), "review").otherwise(F.col("decision"))).withColumn("policy", F.when(m % 5 == 0, 1).otherwise(F.col("policy"))).withColumn("scoring", F.when(m % 7 == 0, 2).otherwise(F.col("scoring")))
+    folder = f"{W.work_dir(spark)}/results-{uuid.uuid4().hex}"
+    R.put(spark, folder, rows)
+    hits, rescored = R.lookup(tracks, R.at_path(spark, folder), "cn", now, current)
+    W.dropped(rescored, R.at_path(spark, folder))
+    return hits
 
 
 @query(f"SELECT user_id, event_type, max(event_id) AS event_id, arg_max(expires_at, event_id) AS expires_at FROM (SELECT *, max(event_id) FILTER (event_id % 3 <> 0) OVER (PARTITION BY user_id, event_type) AS changed FROM ({CACHE_SQL})) WHERE changed IS NULL OR event_id % 3 <> 0 GROUP BY 1, 2")

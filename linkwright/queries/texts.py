@@ -1,4 +1,4 @@
-"""Text functions over the given tables, or over a few inline values where the tables have no such text."""
+"""Text functions over the given tables; where these have no such text, over templates that each row's name goes into."""
 
 from __future__ import annotations
 
@@ -8,21 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions import arrow, notes, text, titles
-from linkwright.queries.registry import query, read
+from linkwright.queries.registry import query, read, worded, worded_sql
 from linkwright.sources import readers, store
 
-NOTES = ["Live", "Remix", "2024 Acoustic Live", "Live at Wembley", "The Show", "Japanese Ver. Live", "feat. X", "吉他版", "Recorded at Abbey Road", "World Tour Live", "Guitar Ver.", "Live and Let Die", "ost", "Theme Song from Y", "《古剑奇谭》电视剧片头曲", "电影插曲", "Blue", "演唱会", "a mix", "x"]
-KANA = ["さくら", "サクラ", "カタカナ と ひらがな", "夜に駆ける", "Lemon", "前前前世", "ミラージュ", "コーヒー", "きゃっと", ""]
-PAIRS = ["不虚此行 On the Journey", "ReDreaming Angel 复梦天使", "夜に駆ける Racing", "Lemon", "歌 OP 1", "夜曲 live", "晴天 Sunny Day"]
-BRACKETS = ["夜に駆ける (Racing into the Night)", "Sparkle [スパークル]", "Song (Live)", "Plain", "A (x)", "B （现场版）", "C (D E) f"]
-
-
-def values(spark: SparkSession, items: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(items)], "id int, v string")
-
-
-def sql_values(items: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{v.replace(chr(39), chr(39) * 2)}')" for i, v in enumerate(items)) + ") t(id, v)"
+NOTES = ["Live", "{n} Remix", "2024 Acoustic Live", "Live at {n}", "The {n}", "Japanese Ver. Live", "feat. {n}", "吉他版", "Recorded at {n}", "{n} Tour Live", "Guitar Ver.", "{n} and Let Die", "ost", "Theme Song from {n}", "《{n}》电视剧片头曲", "电影插曲", "{n}", "演唱会", "a {n} mix", "x"]
+NO_NOTES, WORKS = {4, 11, 16, 18}, {12, 13, 14, 15}
+KANA = ["さくら {n}", "サクラ {n}", "カタカナ と {n}", "夜に {n}", "{n}", "前前前世", "ミラージュ {n}", "コーヒー {n}", "きゃっと {n}", ""]
+HIRAGANA = ["さくら {n}", "さくら {n}", "かたかな と {n}", "夜に {n}", "{n}", "前前前世", "みらーじゅ {n}", "こーひー {n}", "きゃっと {n}", ""]
+ROMAJI = ["sakura {n}", "sakura {n}", "katakana to {n}", "夜ni {n}", "{n}", "前前前世", "miraju {n}", "kohi {n}", "kyatto {n}", ""]
+PAIRS = ["不虚此行 {n}", "{n} 复梦天使", "夜に駆ける {n}", "{n}", "歌 OP 1", "夜曲 live", "晴天 {n} Day"]
+BRACKETS = ["夜に駆ける ({n})", "{n} [スパークル]", "{n} (Live)", "{n}", "{n} (x)", "{n} （现场版）", "{n} (D E) f"]
 
 
 @query("SELECT p_partkey, trim(lower(p_name)) AS norm, regexp_replace(trim(regexp_replace(p_brand || ' (' || p_type || ')', '[()\\[\\]\"]', ' ', 'g')), '\\s+', ' ', 'g') AS phrase FROM part")
@@ -41,9 +36,9 @@ def strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(arrow.strip_diacritics("text")).alias("plain"))
 
 
-@query()
+@query(worded_sql(norm=["abc {n}", "{n} 1", "fine {n}", "{n}", "x y {n}"]))
 def normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, ["ＡＢＣ", "①", "ﬁne", "　x　", "Ｘ Y"]).select("id", arrow.normalize_nfkc("v").alias("norm"))
+    return worded(spark, sf_dir, v=["ＡＢＣ {n}", "{n} ①", "ﬁne {n}", "　{n}　", "Ｘ Y {n}"]).select("id", arrow.normalize_nfkc("v").alias("norm"))
 
 
 @query("SELECT doc_id, translate(text, 'éèü', 'eeu') AS mapped FROM documents")
@@ -52,19 +47,19 @@ def trad_to_simp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.translate("text", "éèü", "eeu").alias("mapped"))
 
 
-@query(f"SELECT id, translate(v, 'サクラカタナ', 'さくらかたな') AS hira FROM {sql_values(['サクラ', 'カタカナ', 'Lemon', 'さくら'])}")
+@query(worded_sql(hira=HIRAGANA))
 def kana_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, ["サクラ", "カタカナ", "Lemon", "さくら"]).select("id", text.swap_kana(F.col("v"), True).alias("hira"))
+    return worded(spark, sf_dir, v=KANA).select("id", text.swap_kana(F.col("v"), True).alias("hira"))
 
 
 SCRIPT_SQL = """SELECT id, hiragana, katakana, han, latin, CASE WHEN v = '' THEN 0.0 WHEN hiragana AND katakana THEN 1.0 WHEN hiragana THEN 0.95 WHEN katakana THEN 0.9 WHEN han THEN 0.35 WHEN latin THEN 0.1 ELSE 0.05 END::DOUBLE AS japanese,
  han AND NOT hiragana AND NOT katakana AS ambiguous FROM (SELECT id, v, regexp_matches(v, '[\\x{3040}-\\x{309F}]') AS hiragana, regexp_matches(v, '[\\x{30A0}-\\x{30FF}]') AS katakana, regexp_matches(v, '[\\x{4E00}-\\x{9FFF}]') AS han, regexp_matches(v, '[a-zA-Z]') AS latin FROM """
 
 
-@query(SCRIPT_SQL + f"(SELECT id, v FROM {sql_values(KANA)} UNION ALL SELECT 1000 + doc_id, text FROM documents))")
+@query(SCRIPT_SQL + f"({worded_sql(v=KANA)} UNION ALL SELECT -1 - doc_id, text FROM documents))")
 def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("v"))
-    return values(spark, KANA).select(F.col("id").cast("long"), "v").unionByName(d).select("id", text.script_profile(F.col("v")).alias("s")).select("id", "s.*")
+    d = read(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("v"))
+    return worded(spark, sf_dir, v=KANA).unionByName(d).select("id", text.script_profile(F.col("v")).alias("s")).select("id", "s.*")
 
 
 @query("SELECT page_id, len(regexp_split_to_array(replace(url, '/', ' - '), '\\s+[-/]\\s+')) AS n, regexp_split_to_array(replace(url, '/', ' - '), '\\s+[-/]\\s+')[1] AS head FROM pages")
@@ -73,9 +68,9 @@ def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.size(s).cast("bigint").alias("n"), F.element_at(s, 1).alias("head"))
 
 
-@query()
+@query(worded_sql(v=NOTES, note=[i not in NO_NOTES for i in range(len(NOTES))], work=[i in WORKS for i in range(len(NOTES))]))
 def version_note_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, NOTES).select("id", "v", notes.is_note(F.col("v")).alias("note"), notes.is_work_source(F.col("v")).alias("work"))
+    return worded(spark, sf_dir, v=NOTES).select("id", "v", notes.is_note(F.col("v")).alias("note"), notes.is_work_source(F.col("v")).alias("work"))
 
 
 @query("SELECT p_partkey, regexp_matches(p_name || ' ost from ' || p_type, '(?i)(theme\\s+song|insert\\s+song|soundtrack|ost)\\s+(from|for|of)\\b') AS work FROM part")
@@ -83,36 +78,37 @@ def work_source_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", notes.is_work_source(F.concat("p_name", F.lit(" ost from "), "p_type")).alias("work"))
 
 
-TITLES = ["Song (Live) (feat. Ana)", "夜に駆ける (Racing into the Night)", "Blue - Remix", "《晴天》电影主题曲", "Song [Cover: Someone]", "Plain", "A – B", "Song (Japanese Ver.)", "Guitar", ""]
+TITLES = ["{n} (Live) (feat. Ana {n})", "夜に駆ける ({n})", "{n} - Remix", "{n} (《{n}》电影主题曲)", "{n} [Cover: Someone]", "{n}", "{n} – {n}", "{n} (Japanese Ver.)", "{n} Guitar", ""]
 
 
-@query()
+@query(worded_sql(core=["{n}", "夜に駆ける", "{n}", "{n}", "{n}", "{n}", "{n}", "{n}", "{n} Guitar", ""], tags=["live", "", "remix", "", "cover", "", "", "", "", ""], language=[None] * 7 + ["japanese", None, None], credits=["Ana {n}"] + [""] * 9, work_source=[None] * 3 + ["《{n}》电影主题曲"] + [None] * 6, covered=[None] * 4 + ["Someone"] + [None] * 5))
 def title_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = values(spark, TITLES).select("id", titles.title_parts("v").alias("t"))
+    t = worded(spark, sf_dir, v=TITLES).select("id", titles.title_parts("v").alias("t"))
     return t.select("id", "t.core", F.array_join("t.tags", ",").alias("tags"), "t.language", F.array_join("t.credits", ",").alias("credits"), "t.work_source", "t.covered")
 
 
-@query()
+@query("SELECT p_partkey AS id, 0 AS pos, p_name AS text, 'bracket' AS provenance, false AS speculative FROM part WHERE p_partkey % 10 = 1")
 def title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = values(spark, TITLES).select("id", F.posexplode(titles.title_parts("v")["variants"]))
+    t = worded(spark, sf_dir, v=TITLES).select("id", F.posexplode(titles.title_parts("v")["variants"]))
     return t.select("id", "pos", "col.text", "col.provenance", "col.speculative")
 
 
-@query()
+@query(worded_sql(primary=["A", "A", "{n}", "", "HOYO-MiX", "X"], others=["{n}", "{n}", "Voice", "", "{n}", "{n},Z"], project=[None] * 4 + ["HOYO-MiX", None]))
 def artist_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(0, ["A & B"]), (1, ["A feat. C"]), (2, ["Role (CV: Voice)"]), (3, ["群星"]), (4, ["HOYO-MiX", "Singer"]), (5, ["X", "Y (Z)"])], "id int, names array<string>")
+    names = worded(spark, sf_dir, names=[["A & {n}"], ["A feat. {n}"], ["{n} (CV: Voice)"], ["群星"], ["HOYO-MiX", "{n}"], ["X", "{n} (Z)"]])
     a = names.select("id", titles.artist_parts("names").alias("a"))
     return a.select("id", "a.primary", F.array_join("a.others", ",").alias("others"), "a.project")
 
 
-@query()
+@query(worded_sql(romaji=ROMAJI))
 def romaji_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, KANA).select("id", arrow.kana_to_romaji("v").alias("romaji"))
+    return worded(spark, sf_dir, v=KANA).select("id", arrow.kana_to_romaji("v").alias("romaji"))
 
 
-@query()
+@query(worded_sql(sim=[1.0, 10 / 13, 1.0, 2 / 9, 0.5, 1.0]))
 def loanword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(0, "ミラージュ", "mirage"), (1, "スパークル", "sparkle"), (2, "レモン", "lemon"), (3, "サクラ", "blue")], "id int, a string, b string")
+    """Loanwords in katakana against Latin words; the part's key picks the pair."""
+    pairs = worded(spark, sf_dir, a=["ミラージュ", "スパークル", "レモン", "サクラ", "コーヒー", "リング"], b=["mirage", "sparkle", "lemon", "blue", "coffee", "ring"])
     x, y = text.loanword_stem(arrow.kana_to_romaji("a")), text.loanword_stem(F.col("b"))
     return pairs.select("id", F.when(x == y, 1.0).otherwise(arrow.sequence_ratio(x, y)).alias("sim"))
 
@@ -132,11 +128,12 @@ def parse_play_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", text.count_of(shown).alias("n"))
 
 
-@query("""SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size, lpad((n // 60)::VARCHAR, 2, '0') || ':' || lpad((n % 60)::VARCHAR, 2, '0') AS dur
- FROM (SELECT page_id, least(length(html), 5000)::BIGINT AS n FROM pages)""")
+@query("""SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size, lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS dur
+ FROM (SELECT page_id, (length(html) * [1, 1000, 1000000][page_id % 3 + 1])::BIGINT AS n, (length(html) % 3000)::BIGINT AS s FROM pages)""")
 def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.least(F.length("html"), F.lit(5000)).cast("bigint")
-    return read(spark, sf_dir, "pages").select("page_id", text.show_size(n).alias("size"), text.show_duration(n).alias("dur"))
+    """Sizes of bytes, thousands and millions of bytes, and lengths of time."""
+    n = F.length("html") * F.get(F.array(*[F.lit(x).cast("bigint") for x in (1, 1000, 1_000_000)]), (F.col("page_id") % 3).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", text.show_size(n).alias("size"), text.show_duration((F.length("html") % 3000).cast("bigint")).alias("dur"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(secret=)[A-Za-z0-9_\-.]{10,}', '\1[REDACTED]', 'g'), '(?i)(key=)[A-Za-z0-9_\-.]{10,}', '\1[REDACTED]', 'g'), '/home/[^/]+', '[USER_HOME]', 'g')) AS h FROM documents")
@@ -184,20 +181,30 @@ def coalesce_key_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", F.coalesce(text.present(F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_name"))), "c_mktsegment").alias("label"))
 
 
-@query()
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'Song ' || o_orderkey AS title, o_orderstatus || '/' || o_orderpriority AS artists, 'List ' || o_custkey AS album, (o_orderkey * 1000)::BIGINT AS duration_ms, 'US' || (1000000000 + o_orderkey) AS isrc, 't' || o_orderkey AS original_id FROM orders WHERE o_orderkey % 5 <> 0")
 def flatten_nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = '{"items":[{"track":{"id":"t1","name":"A","artists":[{"name":"X"},{"name":"Y"}],"album":{"name":"L"},"duration_ms":1000,"external_ids":{"isrc":"us1234567890"}}},{"track":null}],"next":null}'
-    t = readers.spotify_tracks(spark.createDataFrame([(page,)], "payload string"), "payload")
-    return t.select("pos", "title", F.array_join("artists", "/").alias("artists"), "album", "duration_ms", "isrc", "original_id")
-
-
-@query()
+    """Pages made of every customer's orders; each fifth order is an item without a track."""
+    o = read(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey", F.col("o_orderkey") % 5 == 0).orderBy("o_orderkey")))
+    key = F.col("o_orderkey").cast("string")
+    track = F.struct(F.concat(F.lit("t"), key).alias("id"), F.concat(F.lit("Song "), key).alias("name"), F.array(F.struct(F.col("o_orderstatus").alias("name")), F.struct(F.col("o_orderpriority").alias("name"))).alias("artists"), F.struct(F.concat(F.lit("List "), F.col("o_custkey").cast("string")).alias("name")).alias("album"), (F.col("o_orderkey") * 1000).alias("duration_ms"), F.struct(F.concat(F.lit("us"), (F.col("o_orderkey") + 1_000_000_000).cast("string")).alias("isrc")).alias("external_ids"))
+    item = F.struct(F.when(F.col("o_orderkey") % 5 != 0, track).alias("track"))
+    # items without a track come last, so that places are those of tracks
+    pages = o.groupBy("o_custkey").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct((F.col("o_orderkey") % 5 == 0).alias("z"), "o_orderkey", item.alias("i")))), lambda x: x["i"]).alias("items"))).alias("payload"))
+    t = readers.spotify_tracks(pages, "payload")
+    return t.select(F.regexp_extract("album", "[0-9]+", 0).cast("bigint").alias("o_custkey"), F.col("pos").cast("bigint").alias("pos"), "title", F.array_join("artists", "/").alias("artists"), "album", "duration_ms", "isrc", "original_id")
+
+
+@query("""SELECT p_partkey, p_name AS title, p_brand AS artists, p_type AS album, (p_size * 1000)::BIGINT AS duration_ms, CASE WHEN p_partkey % 2 = 1 THEN upper('CN-A1-' || (10000000 + p_partkey)) END AS isrc, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'm' END || p_partkey AS original_id,
+ CASE WHEN p_partkey % 2 = 0 THEN 'T' || p_partkey ELSE 'sub' END AS trans_title FROM part""")
 def platform_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = '{"songs":[{"id":7,"name":"N","ar":[{"name":"P"}],"al":{"name":"Q"},"dt":269000,"tns":["T"],"alia":[]}]}'
-    two = '{"songlist":[{"songname":"","name":"M","singer":[{"name":"S"}],"albumname":"","album":{"name":"B"},"interval":269,"songmid":"m1","isrc":"CN-A1-23-00001","subtitle":"sub"}]}'
-    a = readers.netease_tracks(spark.createDataFrame([(one,)], "p string"), "p")
-    b = readers.qq_tracks(spark.createDataFrame([(two,)], "p string"), "p")
-    return a.unionByName(b).select("title", F.array_join("artists", "/").alias("artists"), "album", "duration_ms", "isrc", "original_id", "trans_title")
+    """Payloads of two platforms made of parts, each with the names that the platform has for a field."""
+    p, key = read(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    name = lambda c: F.struct(F.col(c).alias("name"))
+    song = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(name("p_brand")).alias("ar"), name("p_type").alias("al"), (F.col("p_size") * 1000).alias("dt"), F.array(F.concat(F.lit("T"), key)).alias("tns"), F.array().cast("array<string>").alias("alia"))
+    other = F.struct(F.lit("").alias("songname"), F.col("p_name").alias("name"), F.array(name("p_brand")).alias("singer"), F.lit("").alias("albumname"), name("p_type").alias("album"), F.col("p_size").alias("interval"), F.concat(F.lit("m"), key).alias("songmid"), F.concat(F.lit("CN-A1-"), (F.col("p_partkey") + 10_000_000).cast("string")).alias("isrc"), F.lit("sub").alias("subtitle"))
+    a = readers.netease_tracks(p.where("p_partkey % 2 = 0").select(F.to_json(F.struct(F.array(song).alias("songs"))).alias("p")), "p")
+    b = readers.qq_tracks(p.where("p_partkey % 2 = 1").select(F.to_json(F.struct(F.array(other).alias("songlist"))).alias("p")), "p")
+    return a.unionByName(b).select(F.regexp_extract("original_id", "[0-9]+", 0).cast("bigint").alias("p_partkey"), "title", F.array_join("artists", "/").alias("artists"), "album", "duration_ms", "isrc", "original_id", "trans_title")
 
 
 @query("SELECT p_partkey, p_name AS title, p_brand AS artist, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS album, CASE WHEN p_partkey % 2 = 0 THEN upper('usabc' || (1000000 + p_partkey)) END AS isrc FROM part")
@@ -236,14 +243,14 @@ def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.catalog_items(items, "item").select("id", "title", "artist", "album", "duration_ms")
 
 
-@query()
+@query("SELECT p_partkey AS id, ['sanz', 'sanz', 'abc', 'abc', 'beyonce'][p_partkey % 5 + 1] || replace(p_name, ' ', '') AS key FROM part")
 def canonical_artist_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, ["Sān-Z", "San Z", "A.B.C", "ＡＢＣ", "Beyoncé"]).select("id", arrow.canonical_artist("v").alias("key"))
+    return worded(spark, sf_dir, v=["Sān-Z {n}", "San Z {n}", "A.B.C {n}", "ＡＢＣ {n}", "Beyoncé {n}"]).select("id", arrow.canonical_artist("v").alias("key"))
 
 
-@query()
+@query(worded_sql(base=["夜に駆ける", "{n}", "{n} (Live)", "{n}", "{n} (x)", "{n} （现场版）", "{n} f"], inner=["{n}", "スパークル", None, None, None, None, "D E"]))
 def bracket_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, BRACKETS).select("id", text.bracket_translation(F.col("v")).alias("b")).select("id", "b.base", "b.inner")
+    return worded(spark, sf_dir, v=BRACKETS).select("id", text.bracket_translation(F.col("v")).alias("b")).select("id", "b.base", "b.inner")
 
 
 STEM = "regexp_replace(lower(regexp_replace(p_name, '[^a-zA-Z]', '', 'g')), '(aa)+a?', 'a', 'g')"
@@ -258,17 +265,17 @@ def loanword_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", text.loanword_stem(F.col("p_name")).alias("stem"))
 
 
-@query()
+@query(worded_sql(pair=["不虚此行|{n}", "复梦天使|{n}", "", "", "", "", "晴天|{n} Day"]))
 def bilingual_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, PAIRS).select("id", F.array_join(text.bilingual_pair(F.col("v")), "|").alias("pair"))
+    return worded(spark, sf_dir, v=PAIRS).select("id", F.array_join(text.bilingual_pair(F.col("v")), "|").alias("pair"))
 
 
-CREDITS = [("A & B", ["A", "B"]), ("Earth, Wind & Fire", ["Earth, Wind & Fire"]), ("A, B & C", ["A", "B", "C"]), ("X feat. Y", ["X", "Y"]), ("Tyler, The Creator & Z", ["Tyler, The Creator", "Z"]), ("Solo", [])]
+CREDITS = [("{n} & B", ["{n}", "B"]), ("Earth, {n} & Fire", ["Earth, {n} & Fire"]), ("A, {n} & C", ["A", "{n}", "C"]), ("X feat. {n}", ["X", "{n}"]), ("{n}, The Creator & Z", ["{n}, The Creator", "Z"]), ("{n}", [])]
 
 
-@query()
+@query(worded_sql(names=["{n}|B", "Earth, {n} & Fire", "A|{n}|C", "X|{n}", "{n}, The Creator|Z", "{n}"]))
 def credit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame([(i, d, k) for i, (d, k) in enumerate(CREDITS)], "id int, display string, known array<string>")
+    c = worded(spark, sf_dir, known=[k for _, k in CREDITS], display=[d for d, _ in CREDITS])
     return c.select("id", F.array_join(arrow.credit_names("display", "known"), "|").alias("names"))
 
 
@@ -306,9 +313,9 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.without_placeholders(names), ",").alias("names"))
 
 
-@query(f"SELECT id, regexp_matches(v, '[\\x{{3040}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}]') AS regional FROM {sql_values(KANA)}")
+@query(worded_sql(regional=[x not in ("{n}", "") for x in KANA]))
 def region_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, KANA).select("id", text.is_regional(F.col("v")).alias("regional"))
+    return worded(spark, sf_dir, v=KANA).select("id", text.is_regional(F.col("v")).alias("regional"))
 
 
 SUGGEST_SQL = """WITH t AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS w FROM conversations), a AS (SELECT conv_id, w FROM t WHERE turn = 0),

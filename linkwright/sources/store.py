@@ -14,14 +14,14 @@ def work_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
     It is the one that spark.checkpoint.dir names. Where that is unset, a session of one machine takes
-    its temporary folder, and a cluster a folder of the warehouse, which it shares.
+    its temporary folder; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return os.path.join(tempfile.gettempdir(), "linkwright-work")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/linkwright-work"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def saved(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -32,6 +32,49 @@ def saved(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that saved() returned, once nothing will read them again.
+
+    Raises an error for a frame that reads anything outside work_dir(), so an input is never deleted.
+    """
+    for t in tables:
+        spark = t.sparkSession
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        conf = spark._jsc.hadoopConfiguration()
+
+        def qualified(name: str, path_of=path_of, conf=conf) -> str:
+            path = path_of(name)
+            return path.getFileSystem(conf).makeQualified(path).toString()
+
+        top = qualified(work_dir(spark)).rstrip("/") + "/"
+        folders = set()
+        for file in t.inputFiles():
+            at = qualified(file)
+            if not at.startswith(top) or "/" not in at[len(top) :]:
+                raise ValueError(f"not a table of this job: {file}")
+            folders.add(top + at[len(top) :].split("/", 1)[0])
+        for folder in folders:
+            path = path_of(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+class Tables:
+    """Tables of a job that go when it is done, also when it fails."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(saved(df, name))
+        return self.made[-1]
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        dropped(*self.made)
+
+
 def write_batches(rows: DataFrame, playlist: str, track: str, kind: str, size: int = 50) -> DataFrame:
     """Additions to lists, written in batches of ``size`` in order and read back: playlist, batch, place, track, kind."""
     from linkwright.operators.tables import chunked
