@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from linkwright.functions.arrow import normalized
-from linkwright.functions.notes import LANGUAGES, TAGS, WORK_SOURCE, tells_note
+from linkwright.functions.notes import LANGUAGES, TAGS, annotates, names_work
 from linkwright.functions.text import PLACEHOLDER_ARTISTS
 
 CRITICAL_TAGS = ["live", "remix", "instrumental", "acoustic", "demo", "cover", "piano", "guitar", "orchestral", "sped_up", "slowed", "tv_size", "alternate_cut"]
@@ -39,7 +39,7 @@ def language_version(text: str) -> str | None:
 
 def _annotates(text: str) -> bool:
     """Whether a part of a title describes a version of the work; a tag anywhere in it is enough."""
-    return tells_note(text) or bool(version_tags(text)) or language_version(text) is not None
+    return annotates(text) or bool(version_tags(text)) or language_version(text) is not None
 
 
 @lru_cache(1 << 16)
@@ -52,7 +52,7 @@ def parse_title(title: str | None) -> dict:
     for inner in (m.group(1).strip() for m in _BRACKET.finditer(core)):
         hit = _COVERED.match(inner)
         covered = covered or (hit.group(1).strip() if hit else None)
-        if re.search(WORK_SOURCE, inner):
+        if names_work(inner):
             source = source or inner
             notes.append(inner)
         elif hit or _annotates(inner):

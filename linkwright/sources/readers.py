@@ -43,15 +43,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path), "value").select("title", "artists")
 
 
-MOST_COLUMNS = 20
-
-
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Files with or without a header, each by its own first row; a byte order mark is no part of the first name. Without a header the columns are title, artist.
 
     ``multi_line`` allows line breaks inside quotes, for which a file is read by one task. ``line`` orders the rows of a file.
     """
-    columns = [f"c{i}" for i in range(MOST_COLUMNS)]
+    # no line has more columns than this, so no header has
+    widest = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    columns = [f"c{i}" for i in range(max(2, widest or 0))]
     reader = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     raw = reader.csv(path).select(F.array(*columns).alias("v"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     tidy = F.transform("v", lambda x: F.lower(strip(F.replace(F.coalesce(x, F.lit("")), F.lit("\ufeff"), F.lit("")))))
@@ -66,8 +65,9 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         return F.replace(F.get(F.col("v"), at), F.lit("\ufeff"), F.lit(""))
 
     artists = F.filter(F.transform(F.split(F.coalesce(pick(ARTIST_NAMES, 1), F.lit("")), "/"), lambda a: strip(a)), lambda a: a != "")
-    out = rows.select(strip(pick(TITLE_NAMES, 0)).alias("title"), artists.alias("artists"), present(pick(["album", "专辑"], None)).alias("album"), F.upper(present(pick(["isrc"], None))).alias("isrc"), (F.col("at") - F.col("first")).alias("line"))
-    return out.where("title != ''")
+    out = rows.select(strip(pick(TITLE_NAMES, 0)).alias("title"), artists.alias("artists"), present(pick(["album", "专辑"], None)).alias("album"), F.upper(present(pick(["isrc"], None))).alias("isrc"), (F.col("at") - F.col("first")).alias("line"), "header")
+    # a file with a header has tracks in named columns; one without is a list, whose rows all count
+    return out.where("title != '' or not header").drop("header")
 
 
 NETEASE = "struct<songs:array<struct<id:bigint,name:string,ar:array<struct<name:string>>,al:struct<name:string>,dt:bigint,tns:array<string>,alia:array<string>>>>"
