@@ -65,7 +65,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         return F.replace(F.get(F.col("v"), at), F.lit("\ufeff"), F.lit(""))
 
     artists = F.filter(F.transform(F.split(F.coalesce(pick(ARTIST_NAMES, 1), F.lit("")), "/"), lambda a: strip(a)), lambda a: a != "")
-    out = rows.select(strip(pick(TITLE_NAMES, 0)).alias("title"), artists.alias("artists"), present(pick(["album", "专辑"], None)).alias("album"), F.upper(present(pick(["isrc"], None))).alias("isrc"), (F.col("at") - F.col("first")).alias("line"), "header")
+    out = rows.select(F.coalesce(strip(pick(TITLE_NAMES, 0)), F.lit("")).alias("title"), artists.alias("artists"), present(pick(["album", "专辑"], None)).alias("album"), F.upper(present(pick(["isrc"], None))).alias("isrc"), (F.col("at") - F.col("first")).alias("line"), "header")
     # a file with a header has tracks in named columns; one without is a list, whose rows all count
     return out.where("title != '' or not header").drop("header")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,45 @@ def work_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of all tables that are written meanwhile, in order."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting[:] = [x for x in _collecting if x is not paths]
+
+
 def saved(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Writes a table of its own name below work_dir() and reads it back; ``by`` are columns that partition it."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _collecting:
+        paths.append(path)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folders_dropped(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of tables, each a folder right below work_dir(); raises an error for any other before one is deleted."""
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    top = path_of(work_dir(spark)).getFileSystem(conf).makeQualified(path_of(work_dir(spark)))
+    found = []
+    for folder in folders:
+        path = path_of(folder)
+        files = path.getFileSystem(conf)
+        found.append((files, files.makeQualified(path)))
+        if not found[-1][1].getParent() or not found[-1][1].getParent().equals(top):
+            raise ValueError(f"not a table of this job: {folder}")
+    for files, path in found:
+        files.delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that saved() returned, once nothing will read them again.
 
@@ -39,23 +72,17 @@ def dropped(*tables: DataFrame) -> None:
     """
     for t in tables:
         spark = t.sparkSession
-        path_of = spark._jvm.org.apache.hadoop.fs.Path
-        conf = spark._jsc.hadoopConfiguration()
-
-        def qualified(name: str, path_of=path_of, conf=conf) -> str:
-            path = path_of(name)
-            return path.getFileSystem(conf).makeQualified(path).toString()
-
-        top = qualified(work_dir(spark)).rstrip("/") + "/"
-        folders = set()
-        for file in t.inputFiles():
-            at = qualified(file)
-            if not at.startswith(top) or "/" not in at[len(top) :]:
-                raise ValueError(f"not a table of this job: {file}")
-            folders.add(top + at[len(top) :].split("/", 1)[0])
-        for folder in folders:
-            path = path_of(folder)
-            path.getFileSystem(conf).delete(path, True)
+        top = qualified(spark, work_dir(spark)).rstrip("/") + "/"
+        files = [qualified(spark, f) for f in t.inputFiles()]
+        if any(not f.startswith(top) for f in files):
+            raise ValueError(f"not tables of this job: {files}")
+        # files may stand in folders of partitions
+        folders_dropped(spark, sorted({top + f[len(top) :].split("/", 1)[0] for f in files}))
+
+
+def qualified(spark: SparkSession, name: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class Tables:
