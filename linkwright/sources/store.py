@@ -73,7 +73,7 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         spark = t.sparkSession
         top = qualified(spark, work_dir(spark)).rstrip("/") + "/"
-        files = [qualified(spark, f) for f in t.inputFiles()]
+        files = [qualified(spark, f) + "/" for f in {f.rsplit("/", 1)[0] for f in t.inputFiles()}]
         if any(not f.startswith(top) for f in files):
             raise ValueError(f"not tables of this job: {files}")
         # files may stand in folders of partitions
