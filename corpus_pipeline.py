@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.llm import decontaminate, mixing, near_duplicates, sharding, toxicity
-from linkwright.llm.shared import drop_written, row_digest, table, written
+from linkwright.llm.shared import row_digest, table, written
+from linkwright.sources.store import collected, folders_dropped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 N_SHARDS = 40
@@ -74,11 +75,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs, made = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        docs, old = written(stage(spark, docs, sf_dir), f"pipeline-{name}"), made
-        if old is not None:
-            drop_written(old)
-        made = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents of ``sf_dir``; a written table. All others that the stages wrote are deleted."""
+    docs, old = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with collected() as made:
+            result = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # the result is the last
+        folders_dropped(spark, made[:-1] + ([old] if old else []))
+        docs, old = result, made[-1]
+    return docs

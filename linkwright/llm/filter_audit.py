@@ -102,14 +102,13 @@ def survivors(masked: DataFrame, n: int, marks: list[str]) -> DataFrame:
     return arrays.select("part", *[F.reverse(zeta(F.col(k), n)).alias(k) for k in kinds])
 
 
-def audit(masked: DataFrame, letters: str, marks: dict[str, str]) -> DataFrame:
-    """All orders of the filters, step by step, for each part of ``masked`` (part, mask, and a boolean for each of ``marks``: name of the losses -> mark).
+def audit(arrays: DataFrame, letters: str, marks: dict[str, str]) -> DataFrame:
+    """All orders of the filters, step by step, for each part of survivors(); ``marks`` are names of losses and the marks they count.
 
     The number of filters is the length of ``letters``; orders are listed, so it is a small one.
     """
     n = len(letters)
     full = (1 << n) - 1
-    arrays = written(survivors(masked, n, list(marks.values())), "survivors")
     orders = " ".join("".join(p) for p in permutations(letters))
     steps = arrays.withColumn("filter_order", F.explode(F.split(F.lit(orders), " "))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n))))
     bit_of = lambda letter: F.pow(F.lit(2), F.position(letter, F.lit(letters)) - 1).cast("int")
@@ -133,6 +132,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The five filters over ``docs``, by language: every order and step, with the documents of good quality and the toxic ones that it loses."""
     masks = written(text_masks(docs), "masks")
     marked = with_labels(with_duplicates(masks), labels, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
-    out = written(audit(marked, LETTERS, {"good_lost": "good", "toxic_lost": "toxic"}), "audit")
-    drop_written(masks)
+    arrays = written(survivors(marked, len(LETTERS), ["good", "toxic"]), "survivors")
+    out = written(audit(arrays, LETTERS, {"good_lost": "good", "toxic_lost": "toxic"}), "audit")
+    drop_written(masks, arrays)
     return out

@@ -27,6 +27,8 @@ DIMENSIONS = 1024
 MOST_LANGUAGES = 20_000
 SMALL = 128
 ROWS_AT_ONCE = 256
+#: Distinct trigrams whose vectors are made at once, where a text has too many letters for a table of all.
+TRIGRAMS_AT_ONCE = 4096
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
@@ -47,15 +49,20 @@ class Encoder:
             self.symbol[p] = len(self.letters)
             self.letters.append(np.random.default_rng(int(p) + 7919).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1)
 
+    def _forget(self) -> None:
+        """Starts anew when there are more letters than the table of trigrams is made for: they are drawn again when next met."""
+        self.symbol[:], self.row_of[:] = -1, -1
+        self.symbol[32] = 0
+        self.letters, self.table = self.letters[:1], np.zeros((0, self.dimensions), np.float32)
+
     def _bound(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
-        v = np.array(self.letters)
+        own, place = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+        v = np.array([self.letters[i] for i in own])
+        first, second, third = np.split(place, 3)
         return (np.roll(v[first], 2, axis=1) * np.roll(v[second], 1, axis=1) * v[third]).astype(np.float32)
 
     def _rows(self, codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         """The vectors of the trigrams in codes, and which of them each code has."""
-        if base > SMALL:
-            distinct, place = np.unique(codes, return_inverse=True)
-            return self._bound(distinct // base**2, distinct // base % base, distinct % base), place
         distinct = np.flatnonzero(np.bincount(codes, minlength=1))
         new = distinct[self.row_of[distinct] < 0]
         if len(new):
@@ -63,8 +70,29 @@ class Encoder:
             self.table = np.concatenate([self.table, self._bound(new // base**2, new // base % base, new % base)])
         return self.table, self.row_of[codes]
 
+    def _bundled(self, codes: np.ndarray, row: np.ndarray, rows: int, base: int) -> np.ndarray:
+        """[rows, dimensions]: sums of the vectors of the trigrams of each row, ``TRIGRAMS_AT_ONCE`` distinct ones at a time."""
+        order = np.lexsort((row, codes))
+        codes, row = codes[order], row[order]
+        first = np.ones(len(codes), bool)
+        first[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(first)
+        times = np.diff(np.append(at, len(codes))).astype(np.float32)
+        codes, row = codes[at], row[at]
+        distinct, place = np.unique(codes, return_inverse=True)
+        out = np.zeros((rows, self.dimensions), np.float32)
+        for lo in range(0, len(distinct), TRIGRAMS_AT_ONCE):
+            some = distinct[lo : lo + TRIGRAMS_AT_ONCE]
+            own = slice(*np.searchsorted(place, (lo, lo + len(some))))
+            counts = np.zeros((rows, len(some)), np.float32)
+            counts[row[own], place[own] - lo] = times[own]
+            out += counts @ self._bound(some // base**2, some // base % base, some % base)
+        return out
+
     def vectors(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(vector of each text, whether it has a letter)."""
+        if len(self.letters) > SMALL:
+            self._forget()
         raw, at = part.data.tobytes(), part.offsets
         texts = [" " + raw[at[i] : at[i + 1]].decode("utf-8", "replace").lower() + " " for i in range(len(part))]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -86,19 +114,23 @@ class Encoder:
         three = codes[:-2] * base**2 + codes[1:-1] * base + codes[2:]
         # two spaces in a row stand between texts only
         across = ((codes[:-2] == 0) & (codes[1:-1] == 0)) | ((codes[1:-1] == 0) & (codes[2:] == 0))
+        if base > SMALL:
+            for lo in range(0, len(part), ROWS_AT_ONCE):
+                hi = min(lo + ROWS_AT_ONCE, len(part))
+                own = slice(bounds[lo], max(bounds[lo], min(bounds[hi], len(three))))
+                kept = np.flatnonzero(~across[own]) + own.start
+                out[lo:hi] = self._bundled(three[kept], np.searchsorted(bounds, kept, "right") - 1 - lo, hi - lo, base)
+            return out, lettered
         table, place = self._rows(np.where(across, 0, three), base)
         for lo in range(0, len(part), ROWS_AT_ONCE):
             hi = min(lo + ROWS_AT_ONCE, len(part))
-            used = np.unique(place[bounds[lo] : bounds[hi]]) if base > SMALL else None
-            n = len(table) if used is None else len(used)
-            counts = np.zeros((hi - lo, n), np.float32)
+            counts = np.zeros((hi - lo, len(table)), np.float32)
             for i in range(lo, hi):
-                own = slice(bounds[i], max(bounds[i], min(bounds[i + 1], len(place)) - 0))
+                own = slice(bounds[i], max(bounds[i], min(bounds[i + 1], len(place))))
                 if own.stop > own.start:
-                    kept = place[own][~across[own]]
-                    counts[i - lo] = np.bincount(kept if used is None else np.searchsorted(used, kept), minlength=n)
-            out[lo:hi] = counts @ (table if used is None else table[used])
-        if base <= SMALL and len(table) > 40_000:
+                    counts[i - lo] = np.bincount(place[own][~across[own]], minlength=len(table))
+            out[lo:hi] = counts @ table
+        if len(table) > 40_000:
             self.table, self.row_of[:] = np.zeros((0, self.dimensions), np.float32), -1
         return out, lettered
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.shared import written
+from linkwright.llm.shared import drop_written, written
 
 SCOPE = 240
 LEAST_VALUE = 8
@@ -30,27 +30,41 @@ BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 #: Weaker parts, which count only beside their complements.
 USER = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})"""
 KEY = r"((?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9+/=_-]{18,})"
+#: The same matches: a run of letters or digits is read once, from its start, as later starts in it can't do better.
+KEY_ONCE = r"((?:(?<![A-Za-z])[A-Za-z]++[0-9]|(?<![0-9])[0-9]++[A-Za-z])[A-Za-z0-9+/=_-]{18,}+)"
 ENDPOINT = r"""((?:https?|ftps?|sftp|ssh|s3|gs|redis|amqps?|mongodb|mysql|postgres(?:ql)?|wss?)://[^\x00-\x20"'<>]+)"""
 WEAK = {"user": USER, "key": KEY, "endpoint": ENDPOINT}
 ROLE = {"access": "id", "user": "id", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
 KINDS = [*BASE, *WEAK]
 SPANS = "array<struct<s:int,o:int,e:int,kind:string>>"
+#: Matches whose positions are added up together.
+CHUNK = 512
 
 
 def spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     """Leftmost matches that don't overlap, with code point positions: array<struct<s, o, e, kind>>.
 
-    The pieces between matches and the matches themselves add up to positions.
+    The pieces between matches and the matches themselves add up to positions, in chunks of ``CHUNK``, so that
+    long lists are not copied at every match.
     """
     pieces = F.slice(F.split(text, pattern, -1), 1, 1_000_000_000)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     lengths = F.transform(F.arrays_zip(pieces.alias("p"), found.alias("m"), value.alias("v")), lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), F.coalesce(F.length(x["v"]), F.lit(-1)).alias("v")))
     one = lambda s, m: F.struct(s.cast("int").alias("s"), F.lit(KINDS.index(kind)).alias("o"), (s + m).cast("int").alias("e"), F.lit(kind).alias("kind"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("got"))
-    step = lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.when(x["v"] >= least, F.concat(a["got"], F.array(one(a["at"] + x["p"], x["m"])))).otherwise(a["got"]).alias("got"))
     none = F.array().cast(SPANS)
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(lengths, start, step, lambda a: a["got"])).otherwise(none)
+    step = lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.when(x["v"] >= least, F.concat(a["got"], F.array(one(a["at"] + x["p"], x["m"])))).otherwise(a["got"]).alias("got"))
+    few = lambda at, chunk: F.aggregate(chunk, F.struct(at.alias("at"), none.alias("got")), step)
+    # the list of one chunk stands for it, so that it is added up once
+    joined = lambda a, chunk: F.get(F.transform(F.array(few(a["at"], chunk)), lambda c: F.struct(c["at"].alias("at"), F.concat(a["got"], F.array(c["got"])).alias("got"))), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("got"))
+
+    def added(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(chunks, start, joined, lambda a: a["got"]))
+
+    # the lengths are an array of one list, so that they are taken once
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.get(F.transform(F.array(lengths), added), F.lit(0))).otherwise(none)
 
 
 def parts_of(docs: DataFrame) -> DataFrame:
@@ -58,7 +72,7 @@ def parts_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[spans(text, p, k, LEAST_VALUE if k == "assign" else 0) for k, p in BASE.items()])
     has_id = F.regexp_like(text, F.lit(ACCESS)) | F.regexp_like(text, F.lit(USER))
-    weak = F.when(has_id, F.concat(*[spans(text, p, k) for k, p in WEAK.items()])).otherwise(F.array().cast(SPANS))
+    weak = F.when(has_id, F.concat(*[spans(text, KEY_ONCE if p == KEY else p, k) for k, p in WEAK.items()])).otherwise(F.array().cast(SPANS))
     return docs.select("doc_id", F.xxhash64(text).alias("_h"), base.alias("_base"), weak.alias("_weak"))
 
 
@@ -92,4 +106,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     both = parts.alias("b").join(more.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b._h") == F.col("m._h")), "left")
     count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     extra = F.coalesce("m.extra", F.array().cast(SPANS))
-    return both.select("b.doc_id", *[count(k) for k in BASE], F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("_base", extra)).alias("spans"))
+    out = both.select("b.doc_id", *[count(k) for k in BASE], F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("_base", extra)).alias("spans"))
+    out = written(out, "secrets")
+    drop_written(parts)
+    return out

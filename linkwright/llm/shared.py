@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.sources.store import saved
+from linkwright.sources.store import dropped, saved
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -20,12 +20,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables made by written() as soon as nothing will read them again."""
-    for t in tables:
-        spark = t.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes tables made by written() as soon as nothing will read them again; anything else is an error."""
+    dropped(*tables)
 
 
 def row_digest() -> Column:

@@ -92,12 +92,28 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
 
 
+#: Longer tokens are decoded anew each time, so that a cache of them stays small.
+KEPT_LETTERS = 64
+
+
+def _spelled(chain: tuple | None) -> str:
+    letters = []
+    while chain is not None:
+        letters.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(letters))
+
+
 class Decoder:
     """Restores disguised words by Viterbi decoding of their lattices."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.restore = lru_cache(maxsize=200_000)(self._restore)
+        self._known = lru_cache(maxsize=200_000)(self._restore)
+
+    def restore(self, token: str) -> str:
+        """The likeliest word that a token disguises; only short ones are kept for the next time."""
+        return self._known(token) if len(token) <= KEPT_LETTERS else self._restore(token)
 
     def _restore(self, token: str) -> str:
         token = token.lower()
@@ -118,19 +134,22 @@ class Decoder:
             else:
                 options += [[(c, 0.0)]] * n
             at = end
-        # a state is the last two symbols; its best history is kept
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a state is the last two symbols; its best history is kept as a chain of choices, each with the one before
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for choice in options:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, chain) in best.items():
                 for letters, cost in choice:
                     s, x, y = score - cost, a, b
                     for z in _symbols(letters):
                         s, x, y = s + self.model[x][y][z], y, z
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, text + letters)
+                        after[x, y] = (s, (letters, chain) if letters else chain)
             best = after
-        return max((score + self.model[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+        ends = [(score + self.model[a][b][0], chain) for (a, b), (score, chain) in best.items()]
+        most = max(score for score, _ in ends)
+        # of equally likely words the last in order
+        return max(_spelled(chain) for score, chain in ends if score == most)
 
 
 def disguised(part: Slice) -> list[tuple[int, int, int]]:
