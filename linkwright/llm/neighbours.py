@@ -6,7 +6,7 @@ The index is cut into blocks by a digest of the row. A query reads the files of
 pivots in its own prefix and adds up what each posting says about the footrule distance;
 rows that it doesn't meet have the largest. It reads
 the cosine off the distance (prefixes know directions only), times the vector's norm, keeps
-the best share of the block (all ties included) and reranks it by the exact
+six times the root of the block's rows (all ties included) and reranks these by the exact
 measure in double precision. The best of all blocks are merged.
 
 Queries are a stated set against all rows, in blocks: a block of the index and a chunk of the
@@ -37,8 +37,12 @@ LEAST_ROWS = 8192
 MOST_ROWS = 65536
 #: Blocks of a table of middling size.
 BLOCKS = 64
-SHARE = 0.2
-LEAST_CANDIDATES = 1000
+#: Candidates of a query in a block of n rows: this times the root of n, so they grow slower than the table.
+CANDIDATES = 6
+
+
+def candidates_of(rows: int, k: int) -> int:
+    return max(k + 1, int(np.ceil(CANDIDATES * np.sqrt(rows))))
 
 
 def rows_at_once(total: int) -> int:
@@ -104,7 +108,7 @@ def cosine_table(pivots: np.ndarray, length: int, seed: int = 12) -> np.ndarray:
     return np.interp(np.arange(length * (length + 1) + 1), np.maximum.accumulate(mean), cosines)
 
 
-def search_block(ids: np.ndarray, own_rows: np.ndarray, x: np.ndarray, query_ids: np.ndarray, query_rows: np.ndarray, q: np.ndarray, pivots: np.ndarray, length: int, k: int, share: float, cosine: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def search_block(ids: np.ndarray, own_rows: np.ndarray, x: np.ndarray, query_ids: np.ndarray, query_rows: np.ndarray, q: np.ndarray, pivots: np.ndarray, length: int, k: int, cosine: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its best k + 1 of the block, its own row among them if it is one: (vec_ids, scores, whether it may be its own)."""
     by_id = np.argsort(ids, kind="stable")
     ids, x, own_rows = ids[by_id], x[by_id], own_rows[by_id]
@@ -115,7 +119,7 @@ def search_block(ids: np.ndarray, own_rows: np.ndarray, x: np.ndarray, query_ids
     files = InvertedFiles(x, pivots, length)
     norms = np.linalg.norm(x / np.abs(x).max(), axis=1)
     own = prefixes(q, pivots, length)
-    wanted = min(len(x), max(int(np.ceil(share * len(x))), LEAST_CANDIDATES))
+    wanted = min(len(x), candidates_of(len(x), k))
     out = []
     for i in range(len(q)):
         far = -norms * cosine[files.footrule(own[i])]
@@ -135,7 +139,7 @@ def search_block(ids: np.ndarray, own_rows: np.ndarray, x: np.ndarray, query_ids
     return out
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``queries`` has the vec_id of rows of ``vectors``. Returns query_id, rank, vec_id, score, query_row."""
     v = usable(vectors)
     sizes = v.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
@@ -156,7 +160,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, shar
         if block.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "query_row": [], "found": []})
         stack = lambda c: np.array(c.tolist(), np.float64)
-        best = search_block(*(block[c].to_numpy() for c in ("vec_id", "row")), stack(block["v"]), *(queries[c].to_numpy() for c in ("query_id", "query_row")), stack(queries["q"]), shared.value[0], length, k, share, shared.value[1])
+        best = search_block(*(block[c].to_numpy() for c in ("vec_id", "row")), stack(block["v"]), *(queries[c].to_numpy() for c in ("query_id", "query_row")), stack(queries["q"]), shared.value[0], length, k, shared.value[1])
         found = [[{"score": s, "vec_id": int(i), "own": bool(o)} for i, s, o in zip(*x, strict=True)] for x in best]
         return pd.DataFrame({"query_id": queries["query_id"], "query_row": queries["query_row"], "found": found})
 

@@ -9,7 +9,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.llm import exact_search, filter_audit, lexical, queries
+from linkwright.llm import exact_search, filter_audit, lexical, neighbours, queries
 from linkwright.llm.oracles import oracle_sql
 
 SF = "/root/testdata/sf0.001"
@@ -190,3 +190,20 @@ def test_audit_matches_filters_one_by_one(spark):
     got = filter_audit.audit_filters(d, lab).select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley").collect()
     assert sorted(tuple(r) for r in got) == audited(docs, labels)
     assert filter_audit.audit_filters(d.limit(0), lab).count() == 0 and filter_audit.audit_filters(d, lab.limit(0)).agg(F.sum("good_lost")).first()[0] == 0
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_few_candidates_find_most_neighbours(n, sigma):
+    """Recall of 20 in a block of directions spread evenly, with norms that differ by ``sigma``: the candidates are a shrinking share of the rows."""
+    rng, d = np.random.default_rng(n), 64
+    x = rng.normal(size=(n, d))
+    x *= np.exp(sigma * rng.normal(size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = rng.choice(n, 40, replace=False)
+    scores = x[asked] @ x.T
+    scores[np.arange(40), asked] = -np.inf
+    true = np.argsort(-scores, axis=1)[:, :20]
+    pivots, length = neighbours.axis_pivots(d), neighbours.prefix_length(d)
+    found = neighbours.search_block(np.arange(n), np.arange(n), x, asked, asked, x[asked], pivots, length, 20, neighbours.cosine_table(pivots, length))
+    assert np.mean([len(set(ids[~own][:20]) & set(t)) / 20 for (ids, _, own), t in zip(found, true, strict=True)]) >= 0.93
+    assert neighbours.candidates_of(n, 20) <= 0.3 * n and neighbours.candidates_of(4 * n, 20) <= 2 * neighbours.candidates_of(n, 20) + 1
