@@ -9,6 +9,7 @@ from linkwright.config import LinkConfig
 from linkwright.functions.text import normalize_plain, usable_id, usable_isrc
 from linkwright.functions.titles import artist_parts, title_parts
 from linkwright.operators import tables as T
+from linkwright.operators.aliases import Groups
 from linkwright.plans import match as L
 from linkwright.sources.store import Tables, dropped, saved
 
@@ -72,7 +73,7 @@ def _pairs(asked: DataFrame) -> DataFrame:
     return each.select("id", "insertion", F.col("c.match_id").alias("match_id"), *[F.col(f"source.{f}").alias(f"a_{f}") for f in _FIELDS], *[F.col(f"c.{f}").alias(f"b_{f}") for f in _FIELDS])
 
 
-def lookup(tracks: DataFrame, stored: DataFrame, front: str, now: Column, current: dict[str, int], groups: list[list[str]] | None = None, config: LinkConfig = LinkConfig()) -> tuple[DataFrame, DataFrame]:
+def lookup(tracks: DataFrame, stored: DataFrame, front: str, now: Column, current: dict[str, int], groups: Groups = None, config: LinkConfig = LinkConfig()) -> tuple[DataFrame, DataFrame]:
     """(hits, rescored): stored results of tracks, and STORED rows that were scored again under the ``current`` versions, for put().
 
     hits are (id, match_id, decision, place, how): of a track's keys in order the first whose result counts. A result under the code or the

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import arrow
 from linkwright.functions.titles import CRITICAL_TAGS
+from linkwright.operators import aliases as A
 from linkwright.operators import score as S
 from linkwright.operators import tables as T
 from linkwright.plans import identity, search
@@ -157,9 +158,50 @@ def alias_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, 'alias ' || n_name AS alias FROM nation WHERE n_regionkey IN (0, 1)")
 def scoped_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation")
-    scoped = n.where("n_regionkey in (0, 1)").select("n_regionkey", "n_name", F.concat(F.lit("alias "), "n_name").alias("alias"))
-    return n.join(scoped, ["n_regionkey", "n_name"]).select("n_nationkey", "alias")
+    """Other names of a nation that hold within its region only; regions stand for artists."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("artist"))
+    scoped = n.where("artist in ('region 0', 'region 1')").select(F.lit("title").alias("kind"), F.col("artist").alias("scope"), F.explode(F.array("n_name", F.concat(F.lit("alias "), "n_name"))).alias("name"), F.col("n_name").alias("group"))
+    with Tables() as tables:
+        table = tables.save(A.keyed(scoped, spark), "aliases")
+        found = A.aliases_of(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "artist"), table, "title", tables, scoped=True)
+        return saved(found.select(F.col("id").alias("n_nationkey"), "alias"), "scoped")
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases made of parts: those of a type are one group for all, and parts of a brand and size are one within the brand."""
+    p = read(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    everywhere = p.select(F.lit("title").alias("kind"), none.alias("scope"), F.concat_ws(" ", F.lit("Type"), "p_type", (F.col("p_partkey") % 40).cast("string")).alias("name"), F.col("p_type").alias("group"))
+    within = p.select(F.lit("title").alias("kind"), F.col("p_brand").alias("scope"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("string").alias("group"))
+    return everywhere.unionByName(within)
+
+
+@query("""WITH n AS (SELECT DISTINCT p_type AS g, 'Type ' || p_type || ' ' || p_partkey % 40 AS name FROM part UNION SELECT DISTINCT p_brand || '/' || p_size, 'Part ' || p_partkey FROM part)
+ SELECT g AS grp, name, first_value(name) OVER w AS lead, row_number() OVER w AS place FROM n WINDOW w AS (PARTITION BY g ORDER BY lower(name), name)""")
+def alias_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of every group in order, with the first of them."""
+    with Tables() as tables:
+        table = tables.save(A.keyed(part_names(spark, sf_dir), spark), "aliases")
+        # ids of groups hold kind, scope by key, and the caller's group
+        brands = read(spark, sf_dir, "part").select("p_brand").distinct().withColumn("_scope", arrow.canonical_artist("p_brand"))
+        parts = F.split("group", "\x1f")
+        listed = A.members(table, tables).select(F.get(parts, F.lit(1)).alias("_scope"), F.get(parts, F.lit(2)).alias("_group"), "name", "lead", "place")
+        named = listed.join(brands, "_scope", "left")
+        grp = F.when(F.col("_scope") == "", F.col("_group")).otherwise(F.concat_ws("/", "p_brand", "_group"))
+        return saved(named.select(grp.alias("grp"), "name", "lead", F.col("place").cast("bigint").alias("place")), "members")
+
+
+@query("""WITH p AS (SELECT a.p_partkey AS id, a.p_brand AS artist, 'part ' || a.p_partkey AS a, CASE a.p_partkey % 4 WHEN 0 THEN 'Part ' || b.p_partkey WHEN 1 THEN 'PART ' || a.p_partkey || '!' WHEN 2 THEN 'Type ' || a.p_type || ' ' || a.p_partkey % 40 END AS b, a.p_brand = b.p_brand AND a.p_size = b.p_size AS scoped FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 + 1)
+ SELECT id, CASE id % 4 WHEN 0 THEN scoped OR a = lower(b) WHEN 1 THEN true ELSE false END AS same FROM p""")
+def alias_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of titles: of another part (the same within one brand and size), with a mark, of the type, and none at all."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    number = k.cast("string")
+    other = F.when(k % 4 == 0, F.concat(F.lit("Part "), (F.floor(k / 2) + 1).cast("string"))).when(k % 4 == 1, F.concat(F.lit("PART "), number, F.lit("!"))).when(k % 4 == 2, F.concat_ws(" ", F.lit("Type"), "p_type", (k % 40).cast("string")))
+    pairs = p.select(k.alias("id"), F.col("p_brand").alias("artist"), F.concat(F.lit("part "), number).alias("a"), other.alias("b"))
+    with Tables() as tables:
+        return saved(A.same_titles(pairs, tables.save(A.keyed(part_names(spark, sf_dir), spark), "aliases")).select("id", "same"), "same")
 
 
 @query("SELECT md5(text) AS key, count(*) AS n, min(doc_id) AS lead FROM documents GROUP BY 1")

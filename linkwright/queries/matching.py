@@ -27,13 +27,19 @@ def list_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(worded_sql(similarity=[1.0, 0.98, 0.98, 0.98, 0.99, 0.0, 0.0], method=["exact", "normalized", "romaji_exact", "variant_exact", "punctuation_stripped", "empty", "ratio"], mismatch=[False] * 7, unverified=[False] * 6 + [True]))
 def title_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = worded(spark, sf_dir, a=[a for a, _ in TITLE_PAIRS], b=[b for _, b in TITLE_PAIRS])
-    return t.select("id", M.title_udf()("a", "b").alias("t")).select("id", "t.*")
+    return t.select("id", M.title_udf("a", "b").alias("t")).select("id", "t.*")
+
+
+def credited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of credit lists in turn, with what the aliases say about their names."""
+    none = F.array().cast("array<string>")
+    t = worded(spark, sf_dir, a_artists=[a for a, _ in ARTIST_PAIRS], b_artists=[b for _, b in ARTIST_PAIRS]).withColumn("a_credits", none).withColumn("b_credits", none)
+    return credits.with_roles(credits.with_roles(t, "a", GROUPS), "b", GROUPS)
 
 
 @query(worded_sql(similarity=[1.0, 1.0, 1.0, 1.0, 0.0, 1.0]))
 def artist_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = worded(spark, sf_dir, a=[a for a, _ in ARTIST_PAIRS], b=[b for _, b in ARTIST_PAIRS])
-    return t.select("id", M.artist_udf(GROUPS)("a", "b").alias("similarity"))
+    return credited(spark, sf_dir).select("id", M.artist_udf("a_artists", "b_artists", "a_credits", "b_credits", "a_known", "b_known").alias("similarity"))
 
 
 @query()
@@ -91,8 +97,8 @@ def script_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(worded_sql(same=[True, True, False, False, False, False]))
 def greedy_artist_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = worded(spark, sf_dir, a=[a for a, _ in ARTIST_PAIRS], b=[b for _, b in ARTIST_PAIRS])
-    return t.select("id", M.set_udf(GROUPS)("a", "b").alias("same"))
+    keys = lambda side: credits.name_keys(f"{side}_artists", f"{side}_known")
+    return credited(spark, sf_dir).select("id", credits.same_names(keys("a"), keys("b")).alias("same"))
 
 
 @query(worded_sql(best=[1.0, 1.0, 1.0]))
