@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions import arrow, notes, text, titles
+from linkwright.operators import readings
 from linkwright.queries.registry import query, read, worded, worded_sql
-from linkwright.sources import readers, store
+from linkwright.sources import payloads, readers, store
 
 NOTES = ["Live", "{n} Remix", "2024 Acoustic Live", "Live at {n}", "The {n}", "Japanese Ver. Live", "feat. {n}", "吉他版", "Recorded at {n}", "{n} Tour Live", "Guitar Ver.", "{n} and Let Die", "ost", "Theme Song from {n}", "《{n}》电视剧片头曲", "电影插曲", "{n}", "演唱会", "a {n} mix", "x"]
 NO_NOTES, WORKS = {4, 11, 16, 18}, {12, 13, 14, 15}
@@ -331,3 +332,65 @@ def suggestion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = t.where("turn > 0").join(first, "conv_id").where(F.arrays_overlap("w", "first"))
     return hit.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("place <= 2").select("conv_id", "turn")
 
+
+
+COMPOUNDS = [(1, "夜空", "yozora"), (2, "夜", "yoru"), (3, "空の", "sora no"), (4, "空", "sora")]
+LETTERS = [("花", 1, "hana"), ("花", 2, "ka"), ("火", 1, "hi"), ("火", 2, "bi")]
+
+
+@query(worded_sql(reading=["yozora {n}", "sora no {n}", "yoru sora no {n}", "{n}"]))
+def compound_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with compounds of a table, the first in its order taking its letters from the others."""
+    t = worded(spark, sf_dir, v=["夜空 {n}", "空の{n}", "夜 空の{n}", "{n}"])
+    compounds = readings.checked(spark.createDataFrame(COMPOUNDS, "place int, written string, read string"))
+    read_ = readings.compound_reading(t.select(F.col("v").alias("text")).distinct(), compounds)
+    return t.join(read_, F.col("v") == F.col("text")).select("id", "reading")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('hana no ', p_name, '|hanano', c, '|ka no ', p_name, '|kano', c) WHEN 1 THEN concat('sakura ', p_name, '|sakura', c) WHEN 2 THEN '' ELSE 'hana yozora|hanayozora|yozora hana|yozorahana' END AS variants FROM (SELECT *, replace(p_name, ' ', '') AS c FROM part)""")
+def reading_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of titles by compounds, kana and letters with several readings; and of an artist's name of two words, turned round."""
+    t = worded(spark, sf_dir, v=["花 の {n}", "さくら {n}", "火 {n}", "はな 夜空"])
+    compounds = readings.checked(spark.createDataFrame(COMPOUNDS, "place int, written string, read string"))
+    letters = spark.createDataFrame(LETTERS, "letter string, place int, read string")
+    distinct = t.select(F.col("v").alias("text")).distinct()
+    name = F.col("text") == "はな 夜空"
+    titles_ = readings.reading_variants(distinct.where(~name), compounds, letters)
+    names = readings.reading_variants(distinct.where(name), compounds, letters, artist=True)
+    return t.join(titles_.unionByName(names), F.col("v") == F.col("text")).select("id", F.array_join("variants", "|").alias("variants"))
+
+
+SONG, ODD = '{"id":"t {n}"}', '{"id":"first {n}"}'
+ANSWERS = ['{"data":[%s],"meta":{"filters":{"equivalents":{"a":%s}}}}' % pair for pair in [  # noqa: UP031
+    (f"{ODD},{SONG}", f"[{SONG}]"), (f"{ODD},{SONG}", '["t {n}"]'), (f"{ODD},{SONG}", SONG), (f"{ODD},{SONG}", '"t {n}"'), (f"{ODD},{SONG}", "[]"), (f"{ODD},{SONG}", '"gone"'), ("", '"t {n}"')
+]]
+
+
+@query("""SELECT p_partkey AS id, 'a' AS asked, CASE WHEN p_partkey % 7 < 4 THEN 't ' || p_name WHEN p_partkey % 7 = 6 OR p_partkey % 2 = 1 THEN NULL ELSE 'first ' || p_name END AS target FROM part
+ UNION ALL SELECT p_partkey, 'b', NULL FROM part WHERE p_partkey % 2 = 1""")
+def equivalent_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with targets in every shape, to requests for one id, and for two by odd parts."""
+    t = worded(spark, sf_dir, body=ANSWERS)
+    two = F.filter(F.array(F.lit("a"), F.when(F.col("id") % 2 == 1, "b")), lambda x: x.isNotNull())
+    asked = t.select(F.col("id").alias("request"), F.explode(two).alias("id"))
+    found = payloads.equivalents(asked, t.select(F.col("id").alias("request"), F.parse_json("body").alias("body")))
+    return found.select(F.col("request").alias("id"), F.col("id").alias("asked"), "target")
+
+
+@query(worded_sql(name=["{n}", "{n}", "未命名歌单"], description=["About {n}", "Plain {n}", ""]))
+def playlist_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlists whose description is an object, a text, or missing."""
+    item = '{"data":[{"id":"p","attributes":%s}]}'
+    bodies = [item % a for a in ('{"name":"{n}","description":{"standard":"About {n}","short":"x"}}', '{"name":"{n}","description":"Plain {n}"}', '{"canEdit":true}')]
+    t = worded(spark, sf_dir, body=bodies).select(F.col("id").alias("request"), F.parse_json("body").alias("v"))
+    return payloads.playlists(t, "v", by=["request"]).select(F.col("request").alias("id"), "name", "description")
+
+
+@query("""SELECT event_id, '{"a":[{"b":"Bearer [REDACTED]","type":"' || event_type || '"},"key=[REDACTED]",' || (props::JSON->>'k') || '],"at":"[USER_HOME]/' || user_id || '"}' AS shown FROM events""")
+def safe_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested data of every event without credentials at any depth."""
+    e = read(spark, sf_dir, "events")
+    k = F.variant_get(F.parse_json("props"), "$.k", "int")
+    inner = F.struct(F.lit("Bearer abcdefghijklmnop").alias("b"), F.col("event_type").alias("type"), F.lit("x").alias("accessToken"))
+    parts = F.concat(F.lit('{"session":{"deep":1},"a":['), F.to_json(inner), F.lit(',"key=abcdefghijk",'), k.cast("string"), F.lit('],"at":"/home/me/'), F.col("user_id").cast("string"), F.lit('"}'))
+    return e.select("event_id", F.to_json(payloads.sanitized(F.parse_json(parts))).alias("shown"))
