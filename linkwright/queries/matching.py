@@ -9,7 +9,7 @@ from linkwright.functions import arrow, text
 from linkwright.operators import credits
 from linkwright.operators import score as S
 from linkwright.operators import similarity as M
-from linkwright.plans import match, quality, search
+from linkwright.plans import match, media, quality, search
 from linkwright.queries.registry import query, read, worded, worded_sql
 from linkwright.sources import readers
 
@@ -252,3 +252,15 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 20, right automatic decisions and false ones, per bucket and overall."""
     tracks, catalog, truth = quality_corpus(spark, sf_dir)
     return quality.quality(match.match(tracks, catalog), truth, quality.recalled(tracks, catalog, truth.select("id", "truth")))
+
+
+@query("""WITH h AS (SELECT l_partkey AS id, 1 + l_linenumber % 4 AS ord, l_orderkey * 10 + l_linenumber AS hit, l_suppkey % 20 AS media, 1 + l_suppkey % 20 % 3 AS tier, l_orderkey AS plays, l_orderkey % 1000 AS secs FROM lineitem),
+ f AS (SELECT * FROM h WHERE secs = 0 OR secs BETWEEN 20 AND 900 QUALIFY row_number() OVER (PARTITION BY id, media ORDER BY ord, hit) = 1),
+ c AS (SELECT *, sum((tier = 1)::INT) OVER (PARTITION BY id ORDER BY ord) AS n FROM f), e AS (SELECT id, coalesce(min(ord) FILTER (n >= 4), max(ord)) AS searches FROM c GROUP BY id),
+ s AS (SELECT f.*, searches, (CASE tier WHEN 1 THEN 1000000 WHEN 2 THEN 200000 WHEN 3 THEN 30000 ELSE 1000 END + round(log10(greatest(plays, 1) + 10) * 10000, 3) + CASE WHEN secs BETWEEN 120 AND 360 THEN 10000 WHEN secs < 60 OR secs > 600 THEN -30000 ELSE 0 END)::DOUBLE AS score FROM f JOIN e USING (id) WHERE ord <= searches)
+ SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord, hit) AS rank, media, score, CASE WHEN tier <= 2 THEN 'auto' ELSE 'manual' END AS way, searches FROM s QUALIFY rank <= 8""")
+def media_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos (suppliers) that up to four searches (lines) found for each part: first seen, until four are of the first tier, best first."""
+    k, video = F.col("l_orderkey"), F.col("l_suppkey") % 20
+    hits = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (1 + F.col("l_linenumber") % 4).alias("ord"), (k * 10 + F.col("l_linenumber")).alias("hit"), video.alias("media"), (1 + video % 3).cast("int").alias("tier"), k.alias("plays"), (k % 1000).alias("seconds"))
+    return media.ranked(media.first_seen(hits))
