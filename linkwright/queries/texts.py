@@ -394,3 +394,13 @@ def safe_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.struct(F.lit("Bearer abcdefghijklmnop").alias("b"), F.col("event_type").alias("type"), F.lit("x").alias("accessToken"))
     parts = F.concat(F.lit('{"session":{"deep":1},"a":['), F.to_json(inner), F.lit(',"key=abcdefghijk",'), k.cast("string"), F.lit('],"at":"/home/me/'), F.col("user_id").cast("string"), F.lit('"}'))
     return e.select("event_id", F.to_json(payloads.sanitized(F.parse_json(parts))).alias("shown"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('夜空 ', p_name, ':original:strong|yozora ', p_name, ':hepburn:weak|yozora', c, ':hepburn_compact:weak') WHEN 1 THEN concat('夜 さくら', ':original:strong|yoru sakura:hepburn:medium|yorusakura:hepburn_compact:weak|夜 サクラ:kana_swap:weak') ELSE concat(p_name, ':original:strong') END AS forms FROM (SELECT *, replace(p_name, ' ', '') AS c FROM part)""")
+def ranked_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of titles in order, read by compounds where they have some."""
+    t = worded(spark, sf_dir, v=["夜空 {n}", "夜 さくら", "{n}"])
+    compounds = readings.checked(spark.createDataFrame(COMPOUNDS, "place int, written string, read string"))
+    said = t.join(readings.spoken(t.select(F.col("v").alias("text")).distinct(), compounds), F.col("v") == F.col("text"), "left")
+    listed = F.transform("x", lambda x: F.concat_ws(":", x["text"], x["provenance"], x["level"]))
+    return said.select("id", arrow.variants("v", "spoken").alias("x")).select("id", F.array_join(listed, "|").alias("forms"))
