@@ -115,3 +115,35 @@ def media_score(tier: Column, plays: Column, seconds: Column) -> Column:
     base = F.element_at(F.array(*[F.lit(x) for x in (1_000_000, 200_000, 30_000, 1_000)]), tier)
     length = F.when(seconds.between(120, 360), 10_000).when((seconds < 60) | (seconds > 600), -30_000).otherwise(0)
     return (base + F.round(F.log10(F.greatest(plays, F.lit(1)) + 10) * 10_000, 3) + length).cast("double")
+
+
+def families(title: Column, artist: Column, duration: Column, album: Column) -> Column:
+    """The kinds of evidence that speak for a pair, in this order."""
+    told = F.array(F.when(title >= 0.80, "title"), F.when(artist >= 0.70, "artist"), F.when(duration >= 0.9, "duration"), F.when(album >= 0.85, "album"))
+    return F.filter(told, lambda f: f.isNotNull())
+
+
+def shares_artist(a: Column, b: Column) -> Column:
+    """Whether two lists of artist ids have one in common; lists that are missing have none."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same values, in any order and however often."""
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+def strong_identity(score: Column, title: Column, artist: Column, version: Column, conflicts: Column) -> Column:
+    """Whether a candidate of another storefront is surely the song itself."""
+    return (score >= 0.72) & (title >= 0.75) & (artist >= 0.65) & (version >= 0) & (F.size(conflicts) == 0)
+
+
+def best_way(ways: Column) -> Column:
+    """Of the comparisons (similarity, method, mismatch, unverified) of a title and its other names, in order: the first of 0.95 or more, else the most alike, the first of equal ones.
+
+    Short of 0.95, one of 0.80 or more has no doubt left. Null for an empty list.
+    """
+    sure = F.try_element_at(F.filter(ways, lambda w: w["similarity"] >= 0.95), F.lit(1))
+    most = F.try_element_at(F.filter(ways, lambda w: w["similarity"] == F.array_max(F.transform(ways, lambda v: v["similarity"]))), F.lit(1))
+    settled = F.when(most["similarity"] >= 0.80, most.withField("mismatch", F.lit(False)).withField("unverified", F.lit(False))).otherwise(most)
+    return F.coalesce(sure, settled)

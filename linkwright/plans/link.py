@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import normalize_plain
 from linkwright.operators import score as S
+from linkwright.sources.store import Tables, saved
+
+FIELDS = ("title", "artist", "album", "duration_ms")
+
+
+def words_of(title: str) -> Column:
+    """The distinct words of a title; none if it is null or blank, so such rows have no pair."""
+    return F.array_remove(F.array_distinct(F.split(normalize_plain(F.col(title)), " ")), "")
 
 
 def token_pairs(tracks: DataFrame, catalog: DataFrame, salts: int = 1) -> DataFrame:
@@ -15,8 +23,8 @@ def token_pairs(tracks: DataFrame, catalog: DataFrame, salts: int = 1) -> DataFr
     ``tracks`` and ``catalog`` have id, title, artist, album, duration_ms. A frequent
     (artist, word) is spread over ``salts`` tasks.
     """
-    a = tracks.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "title", "artist", "album", "duration_ms")]).withColumn("a_words", F.array_distinct(F.split(normalize_plain(F.col("a_title")), " ")))
-    b = catalog.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "title", "artist", "album", "duration_ms")]).withColumn("b_words", F.array_distinct(F.split(normalize_plain(F.col("b_title")), " ")))
+    a = tracks.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "title", "artist", "album", "duration_ms")]).withColumn("a_words", words_of("a_title"))
+    b = catalog.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "title", "artist", "album", "duration_ms")]).withColumn("b_words", words_of("b_title"))
     left = a.withColumn("word", F.explode("a_words")).withColumn("salt", F.pmod(F.hash("a_id"), F.lit(salts)))
     right = b.withColumn("word", F.explode("b_words")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = left.join(right, (F.col("a_artist") == F.col("b_artist")) & (left.word == right.word) & (left.salt == right.salt))
@@ -25,17 +33,111 @@ def token_pairs(tracks: DataFrame, catalog: DataFrame, salts: int = 1) -> DataFr
     return joined.where(left.word == first).drop("word", "salt")
 
 
+def title_score(a: str, b: str, a_words: str, b_words: str) -> Column:
+    common, union = F.size(F.array_intersect(a_words, b_words)), F.size(F.array_union(a_words, b_words))
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(common / union)
+
+
+def _rated(title: Column, artist: Column, album: Column, duration: Column) -> Column:
+    base = S.composite(title, artist, album, duration, F.lit(True), F.lit(True))
+    return F.bround(S.guarded(base, title, artist, F.lit(True), F.lit(False), F.lit(False)), 3)
+
+
+def least_score(title: Column) -> Column:
+    """The score of a pair of this title score and one artist, if its album and duration differ: no such pair has less."""
+    return _rated(title, F.lit(1.0), F.lit(0.0), F.lit(0.0))
+
+
+def most_score(title: Column) -> Column:
+    """The score if album and duration are the same: no pair of at most this title score has more."""
+    return _rated(title, F.lit(1.0), F.lit(1.0), F.lit(1.0))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
-    common, union = F.size(F.array_intersect("a_words", "b_words")), F.size(F.array_union("a_words", "b_words"))
-    title = F.when(F.col("a_title") == F.col("b_title"), 1.0).otherwise(common / union)
-    out = pairs.withColumn("title_score", title).withColumn("artist_score", F.lit(1.0)).withColumn("album_score", (F.col("a_album") == F.col("b_album")).cast("double"))
+    out = pairs.withColumn("title_score", title_score("a_title", "b_title", "a_words", "b_words")).withColumn("artist_score", F.lit(1.0)).withColumn("album_score", (F.col("a_album") == F.col("b_album")).cast("double"))
     out = out.withColumn("duration_score", S.duration_similarity(F.col("a_duration_ms"), F.col("b_duration_ms"))).withColumn("conflict", S.duration_conflict(F.col("a_duration_ms"), F.col("b_duration_ms")))
-    base = S.composite(F.col("title_score"), F.col("artist_score"), F.col("album_score"), F.col("duration_score"), F.lit(True), F.lit(True))
-    return out.withColumn("score", F.bround(S.guarded(base, F.col("title_score"), F.col("artist_score"), F.lit(True), F.lit(False), F.lit(False)), 3))
+    return out.withColumn("score", _rated(F.col("title_score"), F.col("artist_score"), F.col("album_score"), F.col("duration_score")))
+
+
+def classes(rows: DataFrame, side: str, limit: int | None = None) -> DataFrame:
+    """Rows of equal title, artist, album and duration as one: how many, and their ids or the ``limit`` smallest of them."""
+    own = rows.select("id", *[F.col(c).alias(f"{side}_{c}") for c in FIELDS])
+    by = [f"{side}_{c}" for c in FIELDS]
+    if limit is None:
+        return own.select(*by).distinct()
+    few = own.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("_r") <= limit)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def best_titles(asked: DataFrame, held: DataFrame, limit: int, tables: Tables, salts: int = 8, steps: list[dict[str, int]] | None = None) -> DataFrame:
+    """(artist, a_title, a_words) and (artist, b_title, b_words, n) -> artist, a_title, b_title: titles that may have one of the ``limit`` best rows of an asked one.
+
+    ``n`` is how many rows a held title has, as far as they count. Words are looked up from the artist's rarest on. A
+    title that has none of those looked up so far has at most the words that are left in common, which bounds its
+    score from above; album and duration can add no more than they can. When ``limit`` rows surely score more, the
+    frequent words are never looked up, and titles that can't reach these rows go. ``steps`` gets for each round how many titles and pairs it took.
+    """
+    df = held.select("artist", F.explode("b_words").alias("word")).groupBy("artist", "word").agg(F.count("*").alias("df"))
+    rare = F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"])
+    known = asked.select("artist", "a_title", "a_words", F.explode("a_words").alias("word")).join(df, ["artist", "word"])
+    open_ = tables.save(known.groupBy("artist", "a_title", "a_words").agg(rare.alias("keys")).withColumn("least", F.lit(0.0)), "open")
+    met = held.withColumn("word", F.explode("b_words")).withColumn("salt", F.pmod(F.xxhash64("b_title"), F.lit(salts)))
+    kept, lo, hi = None, 0, 1
+    while True:
+        keys = open_.withColumn("word", F.explode(F.slice("keys", lo + 1, hi - lo))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        # a title is met once, at the rarest common word
+        first = F.element_at(F.array_intersect("keys", "b_words"), 1) == F.col("word")
+        pairs = keys.join(met, ["artist", "word", "salt"]).where(first).withColumn("title_score", title_score("a_title", "b_title", "a_words", "b_words"))
+        fresh = pairs.where(most_score(F.col("title_score")) >= F.col("least")).select("artist", "a_title", "b_title", "n", "title_score")
+        if steps is not None:
+            steps.append({"titles": open_.count(), "pairs": pairs.count()})
+        every = fresh if kept is None else kept.unionByName(fresh)
+        w = Window.partitionBy("artist", "a_title")
+        rows = F.sum("n").over(w.orderBy(F.col("title_score").desc(), "b_title").rowsBetween(Window.unboundedPreceding, 0))
+        sure = every.withColumn("_rows", rows).withColumn("_least", F.coalesce(F.max(F.when(F.col("_rows") >= limit, least_score(F.col("title_score")))).over(w), F.lit(0.0)))
+        sure = tables.save(sure.where(most_score(F.col("title_score")) >= F.col("_least")).drop("_rows"), f"titles-{hi}")
+        kept = sure.drop("_least")
+        bound = sure.groupBy("artist", "a_title").agg(F.max("_least").alias("_least"))
+        left = (F.size("keys") - hi) / F.size("a_words")
+        further = open_.drop("least").join(bound, ["artist", "a_title"], "left").withColumn("least", F.coalesce("_least", F.lit(0.0))).drop("_least")
+        open_ = tables.save(further.where((F.size("keys") > hi) & (most_score(left) >= F.col("least"))), f"open-{hi}")
+        if open_.isEmpty():
+            break
+        lo, hi = hi, 2 * hi
+    return kept.select("artist", "a_title", "b_title")
+
+
+def best_pairs(tracks: DataFrame, catalog: DataFrame, limit: int, salts: int = 8, steps: list[dict[str, int]] | None = None) -> DataFrame:
+    """The ``limit`` best of token_pairs() of each track, ties by id, with all of scored() and ``rank``; a written table.
+
+    Exact, without the pairs themselves: rows of equal title, artist, album and duration are scored once, and a title
+    is only met with those that may have one of the best rows (see best_titles). What is left are the distinct albums and durations of
+    such titles of one artist. Rows without a title or artist have no pair.
+    """
+    with Tables() as tables:
+        return saved(_best(tracks, catalog, limit, tables, salts, steps), "best")
+
+
+def _best(tracks: DataFrame, catalog: DataFrame, limit: int, tables: Tables, salts: int, steps: list[dict[str, int]] | None = None) -> DataFrame:
+    asked = tables.save(classes(tracks, "a").where("a_title is not null and a_artist is not null").withColumn("a_words", words_of("a_title")), "asked")
+    held = tables.save(classes(catalog, "b", limit).where("b_title is not null and b_artist is not null").withColumn("b_words", words_of("b_title")), "held")
+    a_titles = asked.select(F.col("a_artist").alias("artist"), "a_title", "a_words").distinct()
+    b_titles = held.groupBy(F.col("b_artist").alias("artist"), "b_title", "b_words").agg(F.sum(F.size("ids")).alias("n"))
+    titles = best_titles(a_titles, b_titles, limit, tables, salts, steps)
+    pairs = asked.join(titles.withColumnRenamed("artist", "a_artist"), ["a_artist", "a_title"]).join(held.withColumn("a_artist", F.col("b_artist")), ["a_artist", "b_title"])
+    by = [f"a_{c}" for c in FIELDS]
+    rated = scored(pairs).withColumn("b_id", F.explode("ids")).drop("ids")
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "b_id")
+    top = rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    same = F.expr(" AND ".join(f"l.{c} <=> r.{c}" for c in by))
+    own = tracks.select(F.col("id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in FIELDS])
+    return own.alias("l").join(top.alias("r"), same).select("l.*", *[f"r.{c}" for c in top.columns if c not in by])
 
 
-def link(tracks: DataFrame, catalog: DataFrame, salts: int = 1) -> DataFrame:
-    """The best candidate of every track that has one, and what to do with it."""
-    best = S.ranked(scored(token_pairs(tracks, catalog, salts)), "a_id", "score", "b_id").where("rank = 1")
-    decision = S.decide(F.col("score"), F.col("gap"), F.col("second"), F.lit(True), F.col("conflict"), F.lit(False), F.col("artist_score"), F.col("title_score"), F.lit(0.0), F.lit(False))
-    return best.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), "score", "gap", F.coalesce("conflict", F.lit(False)).alias("conflict"), decision.alias("decision"))
+def link(tracks: DataFrame, catalog: DataFrame, salts: int = 8) -> DataFrame:
+    """The best candidate of every track that has one, and what to do with it: a written table."""
+    with Tables() as tables:
+        two = _best(tracks, catalog, 2, tables, salts)
+        best = S.ranked(two.drop("rank"), "a_id", "score", "b_id").where("rank = 1")
+        decision = S.decide(F.col("score"), F.col("gap"), F.col("second"), F.lit(True), F.col("conflict"), F.lit(False), F.col("artist_score"), F.col("title_score"), F.lit(0.0), F.lit(False))
+        return saved(best.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), "score", "gap", F.coalesce("conflict", F.lit(False)).alias("conflict"), decision.alias("decision")), "linked")

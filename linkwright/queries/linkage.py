@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkwright.config import LinkConfig
 from linkwright.functions import arrow
 from linkwright.functions.titles import CRITICAL_TAGS
 from linkwright.operators import aliases as A
 from linkwright.operators import score as S
 from linkwright.operators import tables as T
-from linkwright.plans import identity, search
+from linkwright.plans import identity, library, search
 from linkwright.plans import link as L
 from linkwright.queries.registry import query, read
 from linkwright.sources import store as W
@@ -71,15 +72,17 @@ def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + SCORES + "," + RANKED + " SELECT a, b, rk AS rank, score FROM r WHERE score >= 0.5 AND rk <= 5")
 def prescreen_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = S.ranked(L.scored(pairs(spark, sf_dir)), "a_id", "score", "b_id")
-    return r.where("score >= 0.5 and rank <= 5").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("rank").cast("bigint").alias("rank"), "score")
+    t = tracks(spark, sf_dir)
+    return L.best_pairs(t.where("id % 2 = 0"), t.where("id % 2 = 1"), 5, SALTS).where("score >= 0.5").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 @query(PAIRS + SCORES + "," + RANKED + " SELECT x.a, x.b AS first, y.b AS other, (x.tb = y.tb AND x.ba = y.ba) AS same FROM r x JOIN r y ON x.a = y.a AND x.rk = 1 AND y.rk = 2 WHERE y.score >= 0.65")
 def same_variant_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best of each track, and whether they are one work: both ranks come from one window, without a join."""
-    w = Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id")
-    r = L.scored(pairs(spark, sf_dir)).withColumn("rk", F.row_number().over(w)).withColumn("nxt", F.lead(F.struct("b_id", "b_title", "b_album", "score")).over(w))
+    t = tracks(spark, sf_dir)
+    two = L.best_pairs(t.where("id % 2 = 0"), t.where("id % 2 = 1"), 2, SALTS)
+    w = Window.partitionBy("a_id").orderBy("rk")
+    r = two.withColumnRenamed("rank", "rk").withColumn("nxt", F.lead(F.struct("b_id", "b_title", "b_album", "score")).over(w))
     same = (F.col("b_title") == F.col("nxt.b_title")) & (F.col("b_album") == F.col("nxt.b_album"))
     return r.where("rk = 1 and nxt.score >= 0.65").select(F.col("a_id").alias("a"), F.col("b_id").alias("first"), F.col("nxt.b_id").alias("other"), same.alias("same"))
 
@@ -118,9 +121,12 @@ def evidence_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", S.evidence_level(families, k % 2 == 0, k % 3 == 0, k % 5 == 0).alias("level"))
 
 
-@query("SELECT p_partkey, array_to_string(list_sort(list_distinct([p_brand, p_type, p_brand])), ',') AS families FROM part")
+@query("""SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 11 >= 8 THEN 'title' END, CASE WHEN p_partkey % 7 >= 5 THEN 'artist' END, CASE WHEN p_partkey % 3 = 0 THEN 'duration' END, CASE WHEN p_partkey % 4 = 0 THEN 'album' END) AS families FROM part""")
 def evidence_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.array("p_brand", "p_type", "p_brand"))), ",").alias("families"))
+    """What speaks for pairs of every likeness; lengths of time are unknown for some."""
+    k = F.col("p_partkey")
+    found = S.families((k % 11) / 10, (k % 7) / F.lit(7.0), F.when(k % 3 != 2, F.lit(1.0) - (k % 3) * 0.2), F.when(k % 4 == 0, 0.85).otherwise(0.84))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("families"))
 
 
 @query()
@@ -270,42 +276,57 @@ def token_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         return saved(q.join(best, "set").select("q", F.col("match_id").alias("p_partkey"), F.col("common").cast("bigint").alias("hits"), F.col("hit").cast("bigint").alias("rank")), "topk")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') ORDER BY p_partkey LIMIT 100")
+@query("SELECT p_partkey, title FROM (SELECT p_partkey, coalesce(nullif(p_name, 'red ring'), '未知歌曲') AS title FROM part WHERE (p_name <> 'red ring' AND contains(lower(p_name), 'ring')) OR contains(lower(p_type), 'ring')) ORDER BY p_partkey LIMIT 100")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred songs with a term; some songs have no title."""
+    return library.found(songs(spark, sf_dir), " RING ").select(F.col("id").alias("p_partkey"), "title")
+
+
+def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library made of parts; sizes are days, and one title is missing."""
     p = read(spark, sf_dir, "part")
-    return p.where(F.contains(F.lower("p_name"), F.lit("ring")) | F.contains(F.lower("p_type"), F.lit("ring"))).orderBy("p_partkey").limit(100).select("p_partkey", "p_name")
+    return p.select(F.col("p_partkey").alias("id"), F.nullif("p_name", F.lit("red ring")).alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.nullif("p_size", F.lit(7)).alias("date_added"))
 
 
-@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank FROM part QUALIFY rank >= 100 AND rank < 200")
+@query("WITH s AS (SELECT p_partkey AS id, nullif(p_name, 'red ring') AS t, nullif(p_size, 7) AS d FROM part), r AS (" + " UNION ALL ".join(f"SELECT '{o}' AS sort, id, t, row_number() OVER (ORDER BY {c} NULLS LAST, id) - 1 AS rank FROM s" for o, c in (("-dateAdded", "d DESC"), ("dateAdded", "d"), ("name", "t"), ("-name", "t DESC"))) + ") SELECT sort, rank, id, coalesce(t, '未知歌曲') AS title FROM r WHERE rank >= 100 AND rank < 200 UNION ALL SELECT 'all', rank, id, coalesce(t, '未知歌曲') FROM r WHERE sort = 'name' AND rank < 5000")
 def library_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = read(spark, sf_dir, "part").orderBy(F.col("p_size").desc(), "p_partkey").offset(100).limit(100)
-    return page.select("p_partkey", "p_name", (F.row_number().over(Window.orderBy(F.col("p_size").desc(), "p_partkey")) + 99).cast("bigint").alias("rank"))
+    """The second page in each order, and all pages by name, as far as they are read."""
+    s = songs(spark, sf_dir)
+    out = library.page(s, "name", everything=True).withColumn("sort", F.lit("all"))
+    for sort in ("-dateAdded", "dateAdded", "name", "-name"):
+        out = out.unionByName(library.page(s, sort, 100, 500).withColumn("sort", F.lit(sort)))
+    return out.select("sort", "rank", "id", "title")
 
 
-@query("SELECT o_custkey, o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), '-') AS shown, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+@query("SELECT o_custkey, o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), '未知歌曲') AS title, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rank FROM orders) WHERE rank < 5000")
 def playlist_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = read(spark, sf_dir, "orders")
-    return o.select("o_custkey", "o_orderkey", F.coalesce(F.nullif("o_orderpriority", F.lit("5-LOW")), F.lit("-")).alias("shown"), F.row_number().over(w).cast("bigint").alias("place"))
+    """Lists of customers' orders by date; low ones have no title."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("title"), F.struct("o_orderdate", "o_orderkey").alias("place"))
+    return library.list_tracks(o, by="o_custkey").select("o_custkey", "o_orderkey", "title", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT n_nationkey, coalesce(l.v, 'xx-' || n_nationkey || ',en-US') AS locales FROM nation LEFT JOIN (VALUES (0, 'zh-Hans-CN,en-GB'), (1, 'ja,en-US')) l(k, v) ON n_nationkey = l.k")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 'told-' || n_nationkey ELSE CASE n_nationkey % 4 WHEN 0 THEN 'zh-Hans-CN,en-US' WHEN 1 THEN 'ja-JP,en-US' WHEN 2 THEN 'en-GB' ELSE lower(n_name) || ',en-US' END END AS locales FROM nation")
 def locale_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(0, "zh-Hans-CN,en-GB"), (1, "ja,en-US")], "n_nationkey int, v string")
-    n = read(spark, sf_dir, "nation")
-    return n.join(known, "n_nationkey", "left").select("n_nationkey", F.coalesce("v", F.concat(F.lit("xx-"), F.col("n_nationkey").cast("string"), F.lit(",en-US"))).alias("locales"))
+    """Tags of storefronts: told by some, known for others, and made of the name for the rest; none is that of China."""
+    k = F.col("n_nationkey")
+    front = F.when(k % 4 == 1, " JP").when(k % 4 == 2, "gb").when(k % 4 == 3, F.col("n_name"))
+    told = F.when(k % 5 == 4, F.array(F.concat(F.lit("told-"), k.cast("string")))).when(k % 5 == 3, F.array().cast("array<string>"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(library.languages(front, told), ",").alias("locales"))
 
 
-@query("SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_nationkey % 2 = 0 THEN 'hk' ELSE 'cn' END, 'hk', 'tw', 'us'], lambda x, i: i = 1 OR x <> CASE WHEN n_nationkey % 2 = 0 THEN 'hk' ELSE 'cn' END), ',') AS fronts FROM nation")
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'hk,tw,us' WHEN 1 THEN 'cn,hk,tw,us' ELSE 'us,hk,tw' END AS fronts FROM nation")
 def storefront_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.when(F.col("n_nationkey") % 2 == 0, "hk").otherwise("cn")
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.array_distinct(F.array(first, F.lit("hk"), F.lit("tw"), F.lit("us"))), ",").alias("fronts"))
+    """The storefronts that are searched for three targets."""
+    fronts = [F.array(*[F.lit(x) for x in LinkConfig(storefront=f).storefronts]) for f in ("hk", "cn", " US ")]
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.get(F.array(*fronts), (F.col("n_nationkey") % 3).cast("int")), ",").alias("fronts"))
 
 
-@query("SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS kinds, count(DISTINCT p_type) >= 2 AS several FROM part GROUP BY p_brand")
+@query("WITH k AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderstatus))) AS a, list_sort(list_distinct(list(CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' ELSE o_orderstatus END))) AS b FROM orders GROUP BY 1) SELECT o_custkey, a = b AS same FROM k")
 def artist_set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array_sort(F.collect_set("p_type"))
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(kinds.alias("k")).select("p_brand", F.array_join("k", ",").alias("kinds"), (F.size("k") >= 2).alias("several"))
+    """Whether two lists of every customer hold the same values."""
+    other = F.when(F.col("o_orderpriority") == "1-URGENT", "F").otherwise(F.col("o_orderstatus"))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("a"), F.sort_array(F.collect_set(other), asc=False).alias("b"))
+    return o.select("o_custkey", S.same_members(F.concat("a", "a"), F.col("b")).alias("same"))
 
 
 @query("SELECT p_partkey, list_has_any([p_brand, p_type], ['Brand#1', 'SMALL']) AS hit, len(list_intersect([p_brand, p_type], ['Brand#1', 'SMALL']))::BIGINT AS n FROM part", name="token_intersection")
@@ -344,3 +365,43 @@ def media_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return j.rollup("lang", "quality").agg(F.avg("toxic").alias("rate"), F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, (s >= 0.72 AND t >= 0.75 AND a >= 0.65 AND p_partkey % 3 <> 0 AND p_partkey % 2 = 0) AS strong FROM (SELECT p_partkey, (p_partkey % 101) / 100.0::DOUBLE AS s, (p_partkey % 13) / 13.0::DOUBLE AS t, (p_partkey % 17) / 17.0::DOUBLE AS a FROM part)""")
+def prescreen_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of another storefront that are surely the song itself."""
+    k = F.col("p_partkey")
+    conflicts = F.when(k % 2 == 1, F.array(F.lit("duration_conflict"))).otherwise(F.array().cast("array<string>"))
+    strong = S.strong_identity((k % 101) / F.lit(100.0), (k % 13) / F.lit(13.0), (k % 17) / F.lit(17.0), F.when(k % 3 == 0, -0.4).otherwise(0.0), conflicts)
+    return read(spark, sf_dir, "part").select("p_partkey", strong.alias("strong"))
+
+
+SYNC_SQL = """WITH i AS (SELECT o_custkey AS list, o_orderkey AS place, o_orderkey % 3 = 0 AS local, CASE WHEN o_orderkey % 9 = 0 THEN 'i.' || o_orderkey % 18 WHEN o_orderkey % 3 = 1 THEN 'c' || o_orderkey % 2 END AS id, (o_orderkey // 3) % 5 AS seen FROM orders),
+ r AS (SELECT list, place, local, CASE WHEN local AND id IS NULL THEN CASE WHEN seen < 3 THEN 's' || place END ELSE id END AS song, CASE WHEN NOT local THEN 0 WHEN id IS NOT NULL THEN 1 ELSE seen + 1 END AS tried FROM i),
+ f AS (SELECT list, song, min((tried, place)) AS o FROM r WHERE song IS NOT NULL GROUP BY ALL),"""
+
+
+@query(SYNC_SQL + "a AS (SELECT list, count(*) AS added FROM f GROUP BY 1), c AS (SELECT list, sum((local AND song IS NOT NULL)::INT)::BIGINT AS local_added, sum((local AND song IS NULL)::INT)::BIGINT AS local_pending FROM r GROUP BY 1) SELECT list, coalesce(added, 0) AS added, local_added, local_pending FROM c LEFT JOIN a USING (list)")
+def sync_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is added of customers' lists, a third of whose songs are local: found at the first, second or third try, or not at all."""
+    added, left, counts = synced(spark, sf_dir)
+    W.dropped(added, left)
+    return counts
+
+
+@query(SYNC_SQL + "e AS (SELECT 1) SELECT list, song AS song_id, row_number() OVER (PARTITION BY list ORDER BY o, song) AS ord FROM f")
+def sync_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The songs that are added to these lists, in order."""
+    added, left, counts = synced(spark, sf_dir)
+    W.dropped(left, counts)
+    return added.select("list", "song_id", F.col("ord").cast("bigint").alias("ord"))
+
+
+def synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    number = k.cast("string")
+    o = read(spark, sf_dir, "orders")
+    own = F.when(k % 9 == 0, F.concat(F.lit("i."), (k % 18).cast("string"))).when(k % 3 == 1, F.concat(F.lit("c"), (k % 2).cast("string")))
+    items = o.select(F.col("o_custkey").alias("list"), k.alias("place"), own.alias("id"), F.md5(number).alias("title"), F.lit("Maker").alias("artist"), (k % 3 == 0).alias("local"))
+    arrived = o.where("o_orderkey % 3 = 0").select(F.concat(F.lit("s"), number).alias("song_id"), F.md5(number).alias("title"), F.lit("Maker").alias("artist"), (F.floor(k / 3) % 5).alias("at"))
+    return library.synced(items, lambda n: arrived.where(F.col("at") < n).drop("at"))

@@ -9,7 +9,7 @@ from linkwright.functions import arrow, text
 from linkwright.operators import credits
 from linkwright.operators import score as S
 from linkwright.operators import similarity as M
-from linkwright.plans import match, media, quality, search
+from linkwright.plans import library, match, media, quality, search
 from linkwright.queries.registry import query, read, worded, worded_sql
 from linkwright.sources import readers
 
@@ -117,12 +117,13 @@ def library_link_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_in_library(wanted, p.select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist")), but_own=True)
 
 
-@query("SELECT p_partkey, arg_max(u.v, u.s) AS best FROM (SELECT p_partkey, unnest([{'v': p_name, 's': (p_partkey % 3)::DOUBLE}, {'v': p_brand, 's': (10 - p_partkey % 7)::DOUBLE}, {'v': p_type, 's': (p_partkey % 11 + 0.5)::DOUBLE}]) AS u FROM part) GROUP BY 1")
+@query("""WITH a AS (SELECT p_partkey, unnest([{'p': 1, 's': k % 11, 'v': 'title'}, {'p': 2, 's': k % 7 + 4, 'v': 'translation'}, {'p': 3, 's': k % 3 + 7, 'v': 'alias'}]) AS u FROM (SELECT p_partkey, p_partkey AS k FROM part)),
+ r AS (SELECT p_partkey, coalesce(arg_min(u, u.p) FILTER (u.s >= 10), arg_min(u, -u.s * 10 + u.p)) AS w FROM a GROUP BY 1) SELECT p_partkey, w.v AS method, (w.s / 10.0)::DOUBLE AS similarity, w.s < 8 OR w.s >= 10 AS mismatch FROM r""")
 def best_alternative_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alternative of highest score; here the scores are made from the key and differ."""
+    """The comparison that counts of a title, its translation and another name, all of which are in doubt at first."""
     k = F.col("p_partkey")
-    alternatives = F.array(F.struct(F.col("p_name").alias("v"), (k % 3).cast("double").alias("s")), F.struct(F.col("p_brand").alias("v"), (10 - k % 7).cast("double").alias("s")), F.struct(F.col("p_type").alias("v"), (k % 11 + 0.5).cast("double").alias("s")))
-    return read(spark, sf_dir, "part").select("p_partkey", F.explode(alternatives).alias("u")).groupBy("p_partkey").agg(F.max_by("u.v", "u.s").alias("best"))
+    ways = [F.struct((s / F.lit(10.0)).alias("similarity"), F.lit(v).alias("method"), F.lit(True).alias("mismatch"), F.lit(True).alias("unverified")) for v, s in (("title", k % 11), ("translation", k % 7 + 4), ("alias", k % 3 + 7))]
+    return read(spark, sf_dir, "part").select("p_partkey", S.best_way(F.array(*ways)).alias("w")).select("p_partkey", "w.method", "w.similarity", "w.mismatch")
 
 
 @query("""SELECT p_partkey, CASE WHEN k % 4 <> 0 THEN 1.0 ELSE c END::DOUBLE AS score, CASE WHEN k % 4 <> 0 THEN 'strong' ELSE 'conflict' END AS level, CASE WHEN k % 4 <> 0 THEN 'auto_accept' WHEN k % 8 = 0 OR c < 0.55 THEN 'no_match' ELSE 'review' END AS decision FROM
@@ -153,11 +154,11 @@ def result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", S.status(decision, F.col("kinds")).alias("status"))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_orderkey) AS first FROM (SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1")
+@query("WITH h AS (SELECT l_partkey AS id, 1 + l_linenumber % 4 AS ord, l_suppkey % 20 AS match_id, 1 + l_orderkey % 10 AS hit FROM lineitem) SELECT id, match_id, min(ord)::BIGINT AS first_query, array_to_string(list_sort(list_distinct(list(ord))), ',') AS queries, min(ord * 1000 + hit)::BIGINT AS insertion FROM h GROUP BY 1, 2")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus")  # noqa: E741
-    both = l.where("l_returnflag = 'A'").unionByName(l.where("l_linestatus = 'O'"))
-    return both.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"), F.min("l_orderkey").alias("first"))
+    """Candidates (suppliers) of parts that several searches (lines) found: the first that did, and all."""
+    hits = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (1 + F.col("l_linenumber") % 4).cast("bigint").alias("ord"), (F.col("l_suppkey") % 20).alias("match_id"), (1 + F.col("l_orderkey") % 10).alias("hit"))
+    return search.candidates(hits).select("id", "match_id", "first_query", F.array_join("queries", ",").alias("queries"), "insertion")
 
 
 @query("SELECT p_partkey, s BETWEEN 5 AND 3600 AND (abs(s - 250) > 45 OR (abs(s - 250) >= 20 AND abs(s - 250) / greatest(s, 250) >= 0.08)) AS far FROM (SELECT p_partkey, p_size * 10 - 7 AS s FROM part)")
@@ -175,20 +176,23 @@ def query_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ord", w.over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")).where("ord <= 8").select("event_id", "ord")
 
 
-@query("SELECT o_custkey, list_has_any(list(o_orderkey % 5), [0]) AS shared FROM orders GROUP BY 1")
+@query("WITH k AS (SELECT o_custkey, list(o_orderkey % 5) AS a, list(o_orderkey % 7) FILTER (o_orderkey % 2 = 0) AS b FROM orders GROUP BY 1) SELECT o_custkey, coalesce(list_has_any(a, b), false) AS shared FROM k")
 def artist_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.collect_set(F.col("o_orderkey") % 5)
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.arrays_overlap(ids, F.array(F.lit(0).cast("bigint"))).alias("shared"))
+    """Whether two lists of ids of every customer have one in common; some lists are empty."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(k % 5).alias("a"), F.collect_set(F.when(k % 2 == 0, k % 7)).alias("b"))
+    return o.select("o_custkey", S.shares_artist(F.col("a"), F.col("b")).alias("shared"))
 
 
-@query("SELECT a.p_partkey, min(b.p_partkey) AS file FROM part a JOIN part b ON b.p_brand = a.p_brand AND contains(' ' || b.p_name || ' - ' || b.p_brand, ' ' || string_split(a.p_name, ' ')[2] || ' ') AND b.p_partkey % 2 = 1 GROUP BY 1")
+@query("""WITH f AS (SELECT p_partkey AS k, p_partkey % 3 AS tier, CASE p_partkey % 3 WHEN 0 THEN '/media/' || lower(p_brand) || '/' ELSE '/other/' END || CASE WHEN p_partkey % 6 = 1 THEN p_brand || ' - ' ELSE '' END || upper(p_name) || ' ' || p_type || '.m4a' AS path FROM part WHERE p_partkey % 5 <> 0),
+ t AS (SELECT p_partkey AS id, p_name AS title, lower(p_brand) AS artist FROM part WHERE p_partkey % 4 = 0) SELECT id, arg_min(path, (tier, path)) AS path, min(tier)::INT AS tier FROM t JOIN f ON contains(lower(path), title) AND (tier > 0 OR contains(lower(path), artist)) GROUP BY 1""")
 def local_file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each part the first file whose name holds a word of its title and its artist: an equi-join on artist and word."""
-    p = read(spark, sf_dir, "part")
-    a = p.select("p_partkey", "p_brand", F.element_at(F.split("p_name", " "), 2).alias("word"))
-    files = p.where("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("file"), F.explode(F.split("p_name", " ")).alias("word"))
-    first = files.groupBy("p_brand", "word").agg(F.min("file").alias("file"))
-    return a.join(first, ["p_brand", "word"]).select("p_partkey", "file")
+    """Files of parts in three places for every fourth part; every fifth file can't be read, and those of the media library stand in folders of artists."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    folder = F.when(k % 3 == 0, F.concat(F.lit("/media/"), F.lower("p_brand"), F.lit("/"))).otherwise(F.lit("/other/"))
+    name = F.concat(F.when(k % 6 == 1, F.concat("p_brand", F.lit(" - "))).otherwise(F.lit("")), F.upper("p_name"), F.lit(" "), "p_type", F.lit(".m4a"))
+    files = p.select(F.concat(folder, name).alias("path"), (k % 3).cast("int").alias("tier"), (k % 5 != 0).alias("readable"))
+    return library.files_at_hand(p.where("p_partkey % 4 = 0").select(k.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist")), files)
 
 
 @query()

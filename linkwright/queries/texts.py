@@ -147,10 +147,32 @@ def html_title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.without_tags(F.col("html")).alias("plain"))
 
 
-@query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS page, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') AS lang FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 4 THEN NULL WHEN 1 THEN 'ab' || page_id WHEN 3 THEN (1000000 + page_id)::VARCHAR ELSE page_id::VARCHAR END AS id FROM pages")
 def extract_ids_from_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lambda p: F.nullif(F.regexp_extract("url", p, 1), F.lit(""))
-    return read(spark, sf_dir, "pages").select("page_id", found("[?&]page=([0-9]+)").alias("page"), found("/([a-z]{2})/").alias("lang"))
+    """Ids of lists in links of several platforms, in share texts, and alone."""
+    k = F.col("page_id")
+    i = k.cast("string")
+    links = [F.concat(F.lit("look: https://music.163.com/#/playlist?x=1&id="), i, F.lit("&y=2")), F.concat(F.lit("https://open.spotify.com/playlist/ab"), i, F.lit("?si=x")), F.concat(F.lit("https://y.qq.com/n/ryqq/playsquare/"), i), (k + 1_000_000).cast("string"), F.col("url")]
+    return read(spark, sf_dir, "pages").select("page_id", readers.playlist_id(F.get(F.array(*links), (k % 5).cast("int"))).alias("id"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://a.b/' || page_id || '/640x480.jpg' WHEN 1 THEN 'https://' || page_id END AS cover, lpad('', 76, 'ab') || '_' || page_id % 1000 AS file FROM pages")
+def cover_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers in a size, links without a scheme, and long names of files with signs that names can't have."""
+    i = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("//a.b/"), i, F.lit("/{w}x{h}.jpg"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://"), i)).otherwise(F.lit(""))
+    name = F.concat(F.repeat(F.lit("ab"), 38), F.lit("?"), (F.col("page_id") % 1000).cast("string"), F.lit(" "))
+    return read(spark, sf_dir, "pages").select("page_id", text.with_scheme(text.artwork(url, 640, 480)).alias("cover"), text.file_name(name).alias("file"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN 1700000000 + c_custkey END AS expires FROM customer")
+def token_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When tokens of customers expire; the payloads need no, one or two signs to be filled up, and some are no tokens."""
+    k = F.col("c_custkey")
+    payload = F.to_json(F.struct(F.concat(F.repeat(F.lit("é>?"), (k % 5).cast("int")), F.lit("x")).alias("sub"), (k + 1_700_000_000).alias("exp")))
+    coded = F.replace(F.translate(F.base64(F.encode(payload, "UTF-8")), "+/", "-_"), F.lit("="), F.lit(""))
+    token = F.when(k % 4 == 3, F.when(k % 8 == 3, "no token").otherwise("a.!!.b")).otherwise(F.concat(F.lit("e30."), coded, F.lit(".x")))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.token_expiry(token).alias("expires"))
 
 
 @query("SELECT page_id, CASE WHEN u LIKE '%163.com%' THEN 'netease' WHEN u LIKE '%y.qq.com%' THEN 'qq' WHEN u LIKE '%open.spotify.com%' THEN 'spotify' WHEN regexp_matches(u, '(?i)\\.(txt|csv)$') THEN 'file' END AS source FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://music.163.com/playlist?id=' || page_id WHEN 1 THEN 'https://y.qq.com/n/ryqq/playlist/' || page_id WHEN 2 THEN 'https://open.spotify.com/playlist/' || page_id WHEN 3 THEN 'list' || page_id || '.CSV' ELSE url END AS u FROM pages)")

@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import tokens
-from linkwright.plans import identity, match, search
+from linkwright.operators import score as S
+from linkwright.plans import identity, link, match, search
 from linkwright.plans import stored as R
 from linkwright.queries.matching import GROUPS, quality_corpus
 from linkwright.sources import store
+from linkwright.sources.store import dropped
 
 SF = "/root/testdata/sf0.001"
 
@@ -166,3 +168,33 @@ def test_code_path_column(spark):
     """No key without a code."""
     t = spark.createDataFrame([(1, "short", "x"), (2, None, "x")], "id long, isrc string, title string")
     assert match.by_code(t, t).count() == 0
+
+
+def test_best_pairs_match_all_pairs_and_grow_with_the_table(spark):
+    """Titles of one to four words, some of them frequent; equal rows, rows without album or duration, and rows without a title."""
+    words = ["the", "love", "of", "night", *[f"w{i}" for i in range(12)]]
+
+    def rows(n, seed):
+        import random
+
+        r = random.Random(seed)
+        return [(i, None if i % 41 == 0 else " ".join(r.choice(words[:4] if r.random() < 0.5 else words) for _ in range(r.randint(1, 4))), r.choice(["x", "y", None]), r.choice(["p", "q", None]), r.choice([None, 100_000, 104_000, 180_000])) for i in range(n)]
+
+    schema = "id long, title string, artist string, album string, duration_ms long"
+    a, b = spark.createDataFrame(rows(90, 1), schema), spark.createDataFrame(rows(250, 2), schema)
+    columns = ["a_id", "b_id", "score", "rank"]
+    for limit in (1, 2, 5):
+        every = S.ranked(link.scored(link.token_pairs(a, b)), "a_id", "score", "b_id").where(F.col("rank") <= limit)
+        best = link.best_pairs(a, b, limit, salts=2)
+        assert sorted(best.select(columns).collect()) == sorted(every.select(columns).collect())
+        dropped(best)
+
+    # every artist has more songs with one frequent word, which none of the rare titles ever meets
+    def frequent(n):
+        common = [(i, f"common t{i}", "x", None, None) for i in range(n)]
+        asked = spark.createDataFrame([(i, f"common t{i}", "x", None, None) for i in range(0, n, 5)], schema)
+        steps = []
+        dropped(link.best_pairs(asked, spark.createDataFrame(common, schema), 1, salts=2, steps=steps))
+        return sum(s["pairs"] for s in steps)
+
+    assert frequent(400) == 80 and frequent(800) == 160
