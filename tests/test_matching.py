@@ -1,6 +1,7 @@
 """Similarity tables and whole matches."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkwright.operators.similarity import Aliases, album_similarity, compare_artists, compare_titles, same_set
 from linkwright.plans import match, search
@@ -53,6 +54,32 @@ def test_match(spark):
     assert again[1] == "auto_accept" and 4 not in again
 
 
+def test_other_names_count(spark):
+    """A title in another script is settled by its translation or an alias, the candidate's other rows aren't, and aliases of a table hold for these names too."""
+    from linkwright.operators import aliases as A
+
+    none = [None, "list", None]
+    mine = tracks(spark, [
+        (1, "夜の歌", ["Ana Lee"], None, 200_000, *none, "Song of the Night", []), (2, "夜の歌二", ["Ana Lee"], None, 200_000, *none, " ", ["Nothing", "Bright Morning Light"]),
+        (3, "夜の歌三", ["Ana Lee"], None, 200_000, *none, None, None), (4, "夜の歌四", ["Ana Lee"], None, 200_000, *none, "Night Anthem", []), (5, "Bright Morning Light", ["Ana Lee"], None, 200_000, *none, "Unlike It", []),
+    ])
+    theirs = tracks(spark, [(10, "Song of the Night", ["Ana Lee"], None, 200_000, None, "cat", None, None, []), (11, "Bright Morning Light", ["Ana Lee"], None, 200_000, None, "cat", None, None, [])])
+    ids = mine.select("id").join(theirs.select(F.col("id").alias("match_id")))
+    got = {(r.id, r.match_id): r for r in match.score_pairs(match.pair_up(mine, theirs, ids)).collect()}
+    assert len(got) == 10
+    assert got[1, 10].title_score == 1.0 and got[1, 10].method == "exact" and not got[1, 10].conflicts and got[1, 11].title_score < 0.8
+    assert got[2, 11].title_score == 1.0 and got[2, 10].title_score < 0.8 and got[5, 11].title_score == 1.0
+    assert all(got[3, m].title_score < 0.45 and "title_unverified" in got[3, m].conflicts for m in (10, 11)) and got[4, 10].title_score < 0.95
+    # a name is compared as if it were the title itself
+    plain = spark.createDataFrame([(4, 10, "Night Anthem", "Song of the Night")], "id int, match_id int, a_title string, b_title string")
+    assert got[4, 10].title_score == max(r.t.similarity for r in match.compared_titles(plain).collect())
+    table = spark.createDataFrame([("title", None, "Night Anthem", "g"), ("title", None, "Song of the Night", "g")], "kind string, scope string, name string, group string")
+    known = {(r.id, r.match_id): r for r in match.score_pairs(match.pair_up(mine, theirs, ids), A.keyed(table, spark)).collect()}
+    assert known[4, 10].method == "alias" and known[4, 10].title_score == 1.0 and known[4, 11].title_score == got[4, 11].title_score
+    decided = {r.id: r for r in match.match(mine, theirs).collect()}
+    assert decided[1].match_id == 10 and decided[2].match_id == 11 and decided[1].decision == decided[2].decision == "auto_accept" and decided[3].decision != "auto_accept"
+
+
 def test_planned_queries(spark):
     rows = [(1, "さくら", ["もり"], "Cherry", ["One", "Two", "Three"]), (2, "Plain", [], None, None)]
     got = search.planned(spark.createDataFrame(rows, "id int, title string, artists array<string>, trans_title string, aliases array<string>")).collect()
