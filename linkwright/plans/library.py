@@ -78,16 +78,18 @@ def files_at_hand(tracks: DataFrame, files: DataFrame) -> DataFrame:
     A file's name must hold the title, as parsed or as it is. In tier 0, the media library, the artist must stand in the
     path; in later ones it may be missing if the title stands in the name as parsed. Files that can't be read are passed over. Holding is no
     equality, so titles meet the files that have their rarest piece of three letters (of all letters, if they have fewer); a title with a piece that no file has is in none.
+    Tracks of one title and artist are looked up once, and rows of one path and tier are one file.
     """
     with Tables() as tables:
         core, artist = title_parts("title")["core"], F.when(F.length(F.trim(F.coalesce("artist", F.lit("")))) > 0, artist_parts(F.array("artist"))["primary"])
         lower = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
-        t = tables.save(tracks.select("id", lower(core).alias("clean"), normalize_plain(F.col("title")).alias("norm"), lower(artist).alias("artist")), "wanted")
+        asked = tables.save(tracks.select("title", "artist").distinct(), "asked")
+        t = tables.save(asked.select(F.col("title").alias("_title"), F.col("artist").alias("_artist"), lower(core).alias("clean"), normalize_plain(F.col("title")).alias("norm"), lower(artist).alias("artist")), "wanted")
         path = F.lower("path")
-        f = files.where("readable").select("path", "tier", path.alias("_path"), normalize_plain(F.substring_index("path", "/", -1)).alias("_name"))
+        f = files.where("readable").select("path", "tier").distinct().select("path", "tier", path.alias("_path"), normalize_plain(F.substring_index("path", "/", -1)).alias("_name"))
         f = tables.save(f.withColumn("_stem", F.regexp_replace(F.lower(F.substring_index("path", "/", -1)), r"\.[^.]*$", "")), "files")
         pieces = F.array_distinct(F.flatten(F.array(*[_pieces(F.col("_name"), F.lit(n)) for n in range(1, PIECE + 1)])))
-        names = tables.save(f.select("path", F.explode(pieces).alias("piece")), "pieces")
+        names = tables.save(f.dropDuplicates(["path"]).select("path", F.explode(pieces).alias("piece")), "pieces")
         forms = t.select(F.explode(F.array("clean", "norm")).alias("form")).where("form != ''").distinct()
         own = forms.select("form", F.explode(_pieces(F.col("form"), F.least(F.lit(PIECE), F.length("form")))).alias("piece"))
         often = own.join(names.groupBy("piece").agg(F.count("*").alias("df")), "piece", "left")
@@ -98,7 +100,9 @@ def files_at_hand(tracks: DataFrame, files: DataFrame) -> DataFrame:
         library = named | F.contains("_path", F.col("artist"))
         other = named | (F.col("clean") == "") | F.contains("_stem", F.col("clean"))
         kept = both.where(F.when(F.col("tier") == 0, library).otherwise(other))
-        return saved(kept.groupBy("id").agg(F.min(F.struct("tier", "path")).alias("m")).select("id", "m.path", "m.tier"), "at-hand")
+        best = kept.groupBy("_title", "_artist").agg(F.min(F.struct("tier", "path")).alias("m"))
+        own = tracks.join(best, F.col("title").eqNullSafe(F.col("_title")) & F.col("artist").eqNullSafe(F.col("_artist")))
+        return saved(own.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.path", "m.tier"), "at-hand")
 
 
 def synced(items: DataFrame, library_at: Callable[[int], DataFrame], tries: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

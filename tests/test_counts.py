@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.plans import link
+from linkwright.plans import library, link
 from linkwright.queries import QUERIES
-from linkwright.sources.store import Tables
+from linkwright.sources.store import Tables, dropped
 
 SF = "/root/testdata/sf0.001"
 ROWS = "id long, title string, artist string, album string, duration_ms long"
@@ -50,3 +50,22 @@ def test_copies_add_no_work(spark):
     with Tables() as tables:
         small, large = (link.met_sets(t, t, ("album",), tables) for t in (few, many))
         assert [x.count() for x in small] == [x.count() for x in large] and large[1].agg(F.sum("n")).first()[0] == 200 * small[1].agg(F.sum("n")).first()[0] == 1000
+
+
+def test_files_of_one_path_are_looked_up_once(spark, monkeypatch):
+    """Copies of files and tracks add no row to what is compared, and each track has its file."""
+    sizes = {}
+    save = library.Tables.save
+
+    def counted(self, df, name):
+        table = save(self, df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(library.Tables, "save", counted)
+    files = spark.createDataFrame([(p, t, True) for p, t in (("/m/x/abc one.m4a", 0), ("/o/abc two.m4a", 1), ("/o/abc two.m4a", 2), ("/o/zed.m4a", 1))] * 50, "path string, tier int, readable boolean")
+    tracks = spark.createDataFrame([(i, ("Abc", "Zed", None, "Abc")[i % 4], ("X", None, "X", "Y")[i % 4]) for i in range(80)], "id long, title string, artist string")
+    got = library.files_at_hand(tracks, files)
+    assert {x.id: (x.path, x.tier) for x in got.collect()} == {i: (("/m/x/abc one.m4a", 0), ("/o/zed.m4a", 1), None, ("/o/abc two.m4a", 1))[i % 4] for i in range(80) if i % 4 != 2}
+    dropped(got)
+    assert sizes["wanted"] == 4 and sizes["files"] == 4 and sizes["pieces"] < 150
