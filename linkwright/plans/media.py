@@ -43,7 +43,7 @@ def first_seen(hits: DataFrame) -> DataFrame:
 
 
 def ranked(seen: DataFrame, limit: int = LIMIT, enough: int = ENOUGH) -> DataFrame:
-    """(id, rank, media, score, way, searches) of first_seen() hits: those of searches up to the one that makes ``enough`` of the first tier, by score, then by arrival.
+    """(id, rank, media, score, way, searches) of first_seen() hits: those of searches up to the one that makes ``enough`` of the first tier, by score, then by arrival; of videos that one hit brings the larger id comes first, so reruns agree.
 
     ``searches`` is the ordinal of the last search with a video that counts. Videos are counted by search before searches are put in order, so no track's hits are sorted whole.
     """
@@ -51,7 +51,7 @@ def ranked(seen: DataFrame, limit: int = LIMIT, enough: int = ENOUGH) -> DataFra
     so_far = each.withColumn("all", F.sum("n").over(Window.partitionBy("id").orderBy("ord")))
     ends = so_far.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("all") >= enough, F.col("ord"))), F.max("ord")).alias("searches"))
     kept = seen.join(ends, "id").where(F.col("ord") <= F.col("searches")).withColumn("score", S.media_score(F.col("tier"), F.col("plays"), F.col("seconds")))
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "ord", "hit")
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "ord", "hit", F.col("media").desc())
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("id", "rank", "media", "score", S.fetch_gate(F.col("tier")).alias("way"), "searches")
 
 

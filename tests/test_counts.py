@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.plans import library, link
+from linkwright.plans import library, link, media
 from linkwright.queries import QUERIES
 from linkwright.sources.store import Tables, dropped
 
@@ -69,3 +69,13 @@ def test_files_of_one_path_are_looked_up_once(spark, monkeypatch):
     assert {x.id: (x.path, x.tier) for x in got.collect()} == {i: (("/m/x/abc one.m4a", 0), ("/o/zed.m4a", 1), None, ("/o/abc two.m4a", 1))[i % 4] for i in range(80) if i % 4 != 2}
     dropped(got)
     assert sizes["wanted"] == 4 and sizes["files"] == 4 and sizes["pieces"] < 150
+
+
+def test_videos_of_one_hit_keep_their_order(spark):
+    """Whatever the order of rows, videos that score and arrive alike have the same ranks."""
+    rows = [(1, 1, 7, m, 3, 50, 200) for m in range(10)]
+    ranks = []
+    for part in (rows, rows[::-1], rows[5:] + rows[:5]):
+        seen = spark.createDataFrame(part, "id int, ord int, hit int, media int, tier int, plays long, seconds int").coalesce(1)
+        ranks.append({x["rank"]: x.media for x in media.ranked(seen).collect()})
+    assert ranks[0] == ranks[1] == ranks[2] == {i + 1: 9 - i for i in range(8)}
