@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright.functions.text import show_size
-from linkwright.plans import library, link, media
+from linkwright.operators import tables as T
+from linkwright.plans import library, link, media, search
 from linkwright.queries import QUERIES
 from linkwright.sources.store import Tables, dropped
 
@@ -90,3 +91,33 @@ def test_sizes_are_rounded_as_c_does(spark):
     got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", show_size(F.col("n")).alias("s")).collect()
     assert [x for x in got if x.s != want(x.n)] == []
     assert spark.range(1).select(show_size(F.lit(None).cast("long")).alias("s")).first().s is None
+
+
+def test_equal_tracks_are_planned_once(spark):
+    """Of two hundred tracks of two kinds two reach the parsers, and plans are those of each alone."""
+    kinds = [("夜に駆ける (x)", ["YOASOBI"], None, ["y"]), ("b", None, "c", None)]
+    t = spark.createDataFrame([(i, *kinds[i % 2]) for i in range(200)], "id long, title string, artists array<string>, trans_title string, aliases array<string>")
+    got = {}
+    for x in search.planned(t).orderBy("id", "ord").collect():
+        got.setdefault(x.id, []).append(tuple(x)[1:])
+    alone = [[tuple(x)[1:] for x in search.planned(t.where(F.col("id") == i)).orderBy("ord").collect()] for i in (0, 1)]
+    assert len(got) == 200 and all(got[i] == alone[i % 2] for i in got)
+    plan = search.planned(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("ArrowEvalPython") < plan.rindex("Aggregate [title")
+    fronts = ["cn", "hk", "cn", "us"]
+    relaxed = lambda df: sorted(tuple(x) for x in df.collect())
+    few = t.where("id < 2")
+    rows = relaxed(search.relaxed_plans(search.plans(few), fronts))
+    assert rows == relaxed(search.relaxed(search.planned(few), fronts))
+    assert [(o, f) for i, o, _, f in rows if i == 0] == [(1, "cn"), (2, "cn"), (3, "cn"), (4, "hk"), (5, "hk"), (6, "hk")]
+
+
+def test_rolling_counts_of_crowded_moments(spark):
+    """Equal to a count one by one, with many rows at a moment, none of a group's, times before 1970 and missing ones; no frame slides over rows."""
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([None, *range(-3, 9000, 450)])) for i in range(600)]
+    t = spark.createDataFrame(rows, "n int, g string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    counted = T.rolling_count(t, "g", "ts", 3600)
+    want = {n: sum(h == g and (b == a if a is None or b is None else a - 3600 < b <= a) for _, h, b in rows) for n, g, a in rows}
+    assert {x.n: x.recent for x in counted.collect()} == want and counted.columns == [*t.columns, "recent"]
+    assert "-3599999999" not in counted._jdf.queryExecution().optimizedPlan().toString()
