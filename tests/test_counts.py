@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions.text import show_size
 from linkwright.operators import tables as T
-from linkwright.plans import library, link, media, search
+from linkwright.plans import library, link, match, media, search
 from linkwright.queries import QUERIES
 from linkwright.sources.store import Tables, dropped
 
@@ -121,3 +121,18 @@ def test_rolling_counts_of_crowded_moments(spark):
     want = {n: sum(h == g and (b == a if a is None or b is None else a - 3600 < b <= a) for _, h, b in rows) for n, g, a in rows}
     assert {x.n: x.recent for x in counted.collect()} == want and counted.columns == [*t.columns, "recent"]
     assert "-3599999999" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_not_sorted_for_their_roles(spark, monkeypatch):
+    """Lists of names are told apart by a distinct; the first row of a group would sort all pairs with all that was parsed of them."""
+
+    def first(*_, **__):
+        raise AssertionError("sorted aggregate")
+
+    monkeypatch.setattr(match.F, "first", first)
+    rows = [(i, i, i, "Song", ["A", "B"][: 1 + i % 2], "x", 200_000, None, "Song", ["B", "A"], "x", 200_000, None) for i in range(40)]
+    sides = ", ".join(f"{s}_title string, {s}_artists array<string>, {s}_album string, {s}_duration_ms long, {s}_isrc string" for s in "ab")
+    scored = match.score_pairs(spark.createDataFrame(rows, f"id long, match_id long, insertion int, {sides}"))
+    got = {x.id: (x.title_score, x.artist_score) for x in scored.collect()}
+    assert len(got) == 40 and all(got[i] == got[i % 2] for i in got) and got[1] == (1.0, 1.0) and got[0][1] < 1
+    dropped(scored)
