@@ -25,7 +25,7 @@ _FIELDS = ("title", "artists", "album", "duration_ms", "isrc")
 
 def result_keys(tracks: DataFrame) -> DataFrame:
     """(id, place, key): the keys of a track's result in the order in which they are tried: code, source and id there, then text with version tags."""
-    t = tracks.withColumn("_t", title_parts("title")).withColumn("_a", artist_parts("artists"))
+    t = T.dealt(tracks.select("id", "title", "artists", "isrc", "source", "original_id")).withColumn("_t", title_parts("title")).withColumn("_a", artist_parts("artists"))
     core = F.lower(F.trim("_t.core"))
     tags = F.when(F.size("_t.tags") > 0, F.array_join(F.array_sort(F.array_distinct("_t.tags")), ",")).otherwise("standard")
     text = F.when(core != "", F.concat_ws("\x1f", F.lit("text"), core, normalize_plain(F.coalesce("_a.primary", F.lit(""))), tags))
@@ -59,7 +59,8 @@ def put(spark: SparkSession, path: str, changes: DataFrame) -> None:
         merged = T.upsert(old.select(changes.columns), changes, ["storefront", "key"], "created_at")
     # a table can't be read and overwritten in one go
     whole = saved(merged, "merged")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("storefront", "bucket").parquet(path)
+    # each partition is one task's, so it is one file
+    whole.repartition("storefront", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("storefront", "bucket").parquet(path)
     dropped(changes, whole)
 
 
