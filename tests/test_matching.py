@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkwright.operators.similarity import Aliases, album_similarity, compare_artists, compare_titles, same_set
 from linkwright.plans import match, search
 from linkwright.queries import matching
+from linkwright.sources import store
 
 ALIASES = Aliases.of([["周华健", "Emil Wakin Chau"], ["晴天", "Sunny Day"]])
 
@@ -80,6 +81,27 @@ def test_other_names_count(spark):
     assert decided[1].match_id == 10 and decided[2].match_id == 11 and decided[1].decision == decided[2].decision == "auto_accept" and decided[3].decision != "auto_accept"
 
 
+def test_python_gets_each_title_once_and_no_short_list(spark, monkeypatch):
+    """Rows that repeat titles add nothing to what workers parse, and a list of aliases starts none."""
+    own, plain = {}, store.saved
+
+    def told(df, name, by=None):
+        out = plain(df, name, by)
+        if "Python" in df._jdf.queryExecution().executedPlan().toString():
+            own.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(store, "saved", told)
+    titles = ["Bright Morning Light", "Bright Morning Light (Live)", "Sunny Day"]
+    rows = lambda lo, source: tracks(spark, [(lo + i, titles[i % 3], ["Ana Lee"], "First", 100_000 + 1_000 * (i // 3), None, source, None, None, []) for i in range(60)])
+    mine = rows(0, "list")
+    out = match.match(mine, rows(100, "cat"), matching.GROUPS)
+    assert out.count() == mine.count() and {r.path for r in out.collect()} == {"search"}
+    store.dropped(out)
+    assert "aliases" not in own
+    assert max(own["titles"]) == 3
+
+
 def test_planned_queries(spark):
     rows = [(1, "さくら", ["もり"], "Cherry", ["One", "Two", "Three"]), (2, "Plain", [], None, None)]
     got = search.planned(spark.createDataFrame(rows, "id int, title string, artists array<string>, trans_title string, aliases array<string>")).collect()
