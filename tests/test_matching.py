@@ -102,6 +102,23 @@ def test_python_gets_each_title_once_and_no_short_list(spark, monkeypatch):
     assert max(own["titles"]) == 3
 
 
+def test_link_batch_searches_every_track(spark, tmp_path, monkeypatch):
+    """Parts are recordings of their own, however many there are: none takes the decision of another part."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey < 8")
+    copies = parts.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).withColumn("p_partkey", F.expr("p_partkey + 700 * copy")).drop("copy")
+    copies.write.parquet(f"{tmp_path}/part.parquet")
+    searched, plain = [], match.stepwise
+
+    def told(tracks, *rest):
+        searched.append(tracks.count())
+        return plain(tracks, *rest)
+
+    monkeypatch.setattr(match, "stepwise", told)
+    out = matching.link_batch(spark, str(tmp_path))
+    assert sorted(r.id for r in out.collect()) == [k + 700 * n for n in range(3) for k in range(0, 8, 2)]
+    assert searched == [12]
+
+
 def test_planned_queries(spark):
     rows = [(1, "さくら", ["もり"], "Cherry", ["One", "Two", "Three"]), (2, "Plain", [], None, None)]
     got = search.planned(spark.createDataFrame(rows, "id int, title string, artists array<string>, trans_title string, aliases array<string>")).collect()
